@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import language, pieces, tokens
 
 QUERIES = {
     "op2_token_counts": tokens.op2_token_counts,
+    "op5_language_id": language.op5_language_id,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op8_best_fit_packing": tokens.op8_best_fit_packing,
 }
 SQL: dict[str, str] = {}
