@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, pieces, tokens
+from . import language, pieces, tokens, toxicity
 
 QUERIES = {
     "op2_token_counts": tokens.op2_token_counts,
     "op5_language_id": language.op5_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": tokens.op8_best_fit_packing,
 }
 SQL: dict[str, str] = {}
