@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, pieces, tokens, toxicity
+from . import language, pieces, suffix, tokens, toxicity
 
 QUERIES = {
     "op2_token_counts": tokens.op2_token_counts,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": tokens.op8_best_fit_packing,
+    "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
 }
 SQL: dict[str, str] = {}
