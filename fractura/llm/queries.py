@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, pieces, suffix, tokens, toxicity
+from . import jaccard, language, pieces, suffix, tokens, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_token_counts": tokens.op2_token_counts,
     "op5_language_id": language.op5_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
