@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, pieces, suffix, tokens, toxicity
+from . import jaccard, language, pieces, search, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_vantage_point_search": search.op3_vantage_point_search,
+    "op4_multi_index_hashing": search.op4_multi_index_hashing,
     "op5_language_id": language.op5_language_id,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": tokens.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_multi_index_hashing": search.OP4_SQL}
