@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, pieces, search, suffix, tokens, toxicity
+from . import jaccard, language, pieces, search, suffix, tokens, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_best_fit_packing": tokens.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
+    "op10_url_filters": urls.op10_url_filters,
 }
-SQL: dict[str, str] = {"op4_multi_index_hashing": search.OP4_SQL}
+SQL: dict[str, str] = {"op4_multi_index_hashing": search.OP4_SQL, "op10_url_filters": urls.OP10_SQL}
