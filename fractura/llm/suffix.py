@@ -8,7 +8,8 @@ equal anchors. So only suffixes that start near anchors (about one place in 16)
    where they lie. Each block sends, for each distinct anchor with its whole neighbourhood (all strings that have this anchor),
    two hashes and its smallest document.
 2. Where a neighbourhood has a smaller document elsewhere, all its strings are earlier ones: done. Where an anchor has several
-   neighbourhoods, the first document of each sends the neighbourhood's bytes, and their suffixes are sorted; in suffix order the
+   neighbourhoods, the first document of each sends the neighbourhood's bytes, and their suffixes are sorted (but for those whose
+   string has a hash of its own, which repeat nothing); in suffix order the
    previous or next entry of a smaller document with a common prefix of ``span`` bytes marks a repeat.
 3. Each block marks covered bytes and gives its documents.
 
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import documents, keep, shared_dir
 
 SPAN, GRAM = 50, 20
-BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 12 << 20
+BLOCK_BYTES = 1 << 20
+BUCKET_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -46,68 +47,74 @@ _BYTE = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _A)
 
 
 def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n bytes from each place on."""
-    parts, h, width = [], _BYTE[data], 1
+    """A hash of the n bytes from each place on: polynomials of random byte values, doubled in width step by step, mixed at the end."""
     size = len(data) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64)
-    at = 0
+    h, width, at, out, base = _BYTE[data], 1, 0, None, int(_A)
     while True:
         if n & width:
-            parts.append(h[at : at + size])
+            part = h[at : at + size]
+            out = part if out is None else out * np.uint64(base) + part
             at += width
         if 2 * width > n:
-            break
-        h = _mix(h[:-width] * _A + h[width:])
-        width *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = _mix(out * _B + p)
-    return out
+            return _mix(out)
+        h = h[:-width] * np.uint64(base) + h[width:]
+        width, base = 2 * width, base * base % 2**64
 
 
 class Anchors:
-    """Anchors of a block: documents lie one behind the other in ``data``, document k from ends[k-1] to ends[k]."""
+    """Anchors of a block: documents lie one behind the other in ``data``, document k from ends[k-1] to ends[k].
+
+    Of each anchor: place p, hash key, document number doc and its id, and the starts first..last of the strings that have it.
+    """
+
+    STEP = 1 << 15
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, ids: np.ndarray, span: int = SPAN, gram: int = GRAM):
-        self.data, self.span, self.reach = data, span, span - gram
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        w = span - gram + 1
-        window, anchor, key = [], [], []
-        step = 1 << 16
-        for low in range(0, max(0, len(data) - span + 1), step):
-            h = gram_hashes(data[low : low + step + span - 1], gram)
-            at = np.arange(len(h), dtype=np.int32)
-            best, where, width = h, at, 1
+        self.span, self.reach = span, span - gram
+        self.padded = np.concatenate([np.zeros(self.reach, np.uint8), data, np.zeros(span, np.uint8)])
+        w, high = span - gram + 1, np.uint64(0xFFFFFFFF00000000)
+        places, keys, firsts, lasts = [], [], [], []
+        number = np.arange(self.STEP + span, dtype=np.uint64)
+        for low in range(0, max(0, len(data) - span + 1), self.STEP):
+            h = gram_hashes(data[low : low + self.STEP + span - 1], gram)
+            best, width = (h & high) | number[: len(h)], 1
             while 2 * width <= w:
-                right = best[width:] < best[:-width]
-                best, where, width = np.where(right, best[width:], best[:-width]), np.where(right, where[width:], where[:-width]), 2 * width
+                best, width = np.minimum(best[width:], best[:-width]), 2 * width
             if width < w:
-                k = w - width
-                right = best[k:] < best[:-k]
-                best, where = np.where(right, best[k:], best[:-k]), np.where(right, where[k:], where[:-k])
-            window.append(np.arange(low, low + len(where)))
-            anchor.append(where.astype(np.int64) + low)
-            key.append(best)
+                best = np.minimum(best[w - width :], best[: width - w])
+            place = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            stop = low + len(place)
+            for e in ends[np.searchsorted(ends, low + 1) : np.searchsorted(ends, stop + span)].tolist():
+                place[max(0, e - span + 1 - low) : max(0, min(e, stop) - low)] = -1
+            begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            end = np.append(begin[1:], len(place)) - 1
+            use = place[begin] >= 0
+            begin, end = begin[use], end[use]
+            keys.append(h[place[begin]])
+            places.append(place[begin] + low)
+            firsts.append(begin + low)
+            lasts.append(end + low)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        s, p, h = cat(window, np.int64), cat(anchor, np.int64), cat(key, np.uint64)
-        stop = np.minimum(s + span, len(data))
-        doc = np.searchsorted(ends, s, "right")
-        good = stop <= ends[np.minimum(doc, len(ends) - 1)] if len(ends) else np.zeros(0, bool)
-        #: start, anchor (number) and document (number) of each string
-        self.s, p, h, doc = s[good], p[good], h[good], doc[good]
-        new = np.concatenate([[True], (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])]) if len(p) else np.zeros(0, bool)
-        self.of = np.cumsum(new) - 1
-        self.p, self.key, self.doc = p[new], h[new], doc[new]
-        self.first = self.s[new]
-        self.last = self.s[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)] if len(p) else self.first
-        self.left = np.maximum(self.p - self.reach, begins[self.doc])
-        self.right = np.minimum(self.p + span, ends[self.doc])
+        p, key, first, last = cat(places, np.int64), cat(keys, np.uint64), cat(firsts, np.int64), cat(lasts, np.int64)
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (first[1:] != last[:-1] + 1)])[: len(p)]
+        self.p, self.key, self.first = p[new], key[new], first[new]
+        self.last = last[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)] if len(p) else last
+        self.doc = np.searchsorted(ends, self.first, "right")
         self.id = ids[self.doc]
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        self.left = np.minimum(self.p - begins[self.doc], self.reach)
+        self.right = np.minimum(ends[self.doc] - self.p, span)
         self.context = self._contexts()
-        order = np.lexsort((self.id, self.context, self.key))
-        k, c = self.key[order], self.context[order]
-        head = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
+        order = np.argsort(self.key, kind="stable")
+        k = self.key[order]
+        same = np.concatenate([[False], k[1:] == k[:-1]])[: len(k)]
+        again = np.flatnonzero(same | np.append(same[1:], False)[: len(k)])
+        part = order[again]
+        order[again] = part[np.lexsort((self.id[part], self.context[part], self.key[part]))]
+        c = self.context[order]
+        head = ~same | np.concatenate([[True], c[1:] != c[:-1]])[: len(k)]
         #: of each distinct neighbourhood, in order of key: its first anchor (of the smallest document)
         self.head = order[head]
         self.cls = np.empty(len(order), np.int64)
@@ -115,27 +122,32 @@ class Anchors:
 
     def bytes_of(self, anchors: np.ndarray) -> np.ndarray:
         """(anchors, reach + span) bytes of the neighbourhoods; places outside the document are 0."""
-        out = np.zeros((len(anchors), self.reach + self.span), np.uint8)
-        for low in range(0, len(anchors), 1 << 15):
-            a = anchors[low : low + (1 << 15)]
-            at = self.p[a, None] - self.reach + np.arange(self.reach + self.span)
-            inside = (at >= self.left[a, None]) & (at < self.right[a, None])
-            out[low : low + len(a)] = np.where(inside, self.data[np.clip(at, 0, max(0, len(self.data) - 1))], 0)
+        out = np.lib.stride_tricks.sliding_window_view(self.padded, self.reach + self.span)[self.p[anchors]]
+        edge = np.flatnonzero((self.left[anchors] < self.reach) | (self.right[anchors] < self.span))
+        at = np.arange(-self.reach, self.span)
+        a = anchors[edge]
+        out[edge] *= (at >= -self.left[a, None]) & (at < self.right[a, None])
         return out
 
     def _contexts(self) -> np.ndarray:
-        h = (self.p - self.left).astype(np.uint64) * _A + (self.right - self.p).astype(np.uint64)
-        for low in range(0, len(h), 1 << 15):
-            part = np.arange(low, min(len(h), low + (1 << 15)))
+        h = self.left.astype(np.uint64) * _A + self.right.astype(np.uint64)
+        for low in range(0, len(h), 1 << 12):
+            part = np.arange(low, min(len(h), low + (1 << 12)))
             b = self.bytes_of(part)
-            b = np.concatenate([b, np.zeros((len(b), -b.shape[1] % 8), np.uint8)], axis=1).view("<u8")
+            if b.shape[1] % 8:
+                b = np.concatenate([b, np.zeros((len(b), -b.shape[1] % 8), np.uint8)], axis=1)
             x = h[part]
-            for k in range(b.shape[1]):
-                x = _mix(x * _B + b[:, k])
+            for column in np.ascontiguousarray(b.view("<u8").T):
+                x = _mix(x * _B + column)
             h[part] = x
         return h
 
 
+def _rows(t) -> Iterator[dict]:
+    for k in range(t.num_rows):
+        yield t.slice(k, 1).to_pylist()[0]
+
+
 def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["data"], np.uint8), np.frombuffer(row["ends"], np.int64), np.frombuffer(row["ids"], np.int64)
 
@@ -191,7 +203,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: i
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 a = Anchors(*_read(row), span, gram)
                 cut = _slices(a.key[a.head], buckets)
                 pick = lambda x: pa.array([x[a.head[i:j]].tobytes() for _, i, j in cut], pa.binary())  # noqa: B023, E731
@@ -223,7 +235,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: i
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         bucket, block, n, context, window, ids = [], [], [], [], [], []
-        for row in left.to_pylist():
+        for row in _rows(left):
             a = Anchors(*_read(row), span, gram)
             want = a.head[answers(right.to_pylist(), 1) == 2]
             for k, i, j in _slices(a.key[want], buckets):
@@ -245,7 +257,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: i
         window = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, 2).astype(np.int64)
         entry = np.repeat(np.arange(len(ids)), window[:, 1] - window[:, 0] + 1)
         at = np.arange(len(entry)) - np.repeat(np.cumsum(window[:, 1] - window[:, 0] + 1) - (window[:, 1] - window[:, 0] + 1), window[:, 1] - window[:, 0] + 1) + window[entry, 0]
-        repeat = previous_factor(np.lib.stride_tricks.sliding_window_view(context, span, axis=1)[entry, at], ids[entry]) >= span
+        h = gram_hashes(context.reshape(-1), span)[entry * context.shape[1] + at]
+        order = np.argsort(h, kind="stable")
+        same = np.concatenate([[False], h[order][1:] == h[order][:-1]])
+        twice = np.sort(order[same | np.append(same[1:], False)])
+        repeat = np.zeros(len(entry), bool)
+        repeat[twice] = previous_factor(np.lib.stride_tricks.sliding_window_view(context, span, axis=1)[entry[twice], at[twice]], ids[entry[twice]]) >= span
         mask = np.zeros(len(ids), np.uint32)
         np.bitwise_or.at(mask, entry[repeat], np.uint32(1) << at[repeat].astype(np.uint32))
         cut = np.cumsum(size)
@@ -256,7 +273,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: i
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for row in left.to_pylist():
+        for row in _rows(left):
             data, ends, ids = _read(row)
             a, got = Anchors(data, ends, ids, span, gram), right.to_pylist()
             one, two = answers(got, 1), answers(got, 2)
@@ -265,10 +282,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: i
             mask[one == 1] = 0xFFFFFFFF
             smallest = a.id[a.head][a.cls]
             of_anchor = np.where(a.id > smallest, np.uint32(0xFFFFFFFF), mask[a.cls])
-            gone = (of_anchor[a.of] >> (a.s - a.p[a.of] + a.reach).astype(np.uint32) & np.uint32(1)) > 0
             step = np.zeros(len(data) + 1, np.int32)
-            np.add.at(step, a.s[gone], 1)
-            np.add.at(step, a.s[gone] + span, -1)
+            whole = of_anchor == 0xFFFFFFFF
+            np.add.at(step, a.first[whole], 1)
+            np.add.at(step, a.last[whole] + span, -1)
+            some = np.flatnonzero(~whole & (of_anchor > 0))
+            k, bit = np.nonzero((of_anchor[some, None] >> np.arange(a.reach + 1, dtype=np.uint32)) & np.uint32(1))
+            gone = a.p[some][k] - a.reach + bit
+            np.add.at(step, gone, 1)
+            np.add.at(step, gone + span, -1)
             cover = np.cumsum(step[:-1]) > 0
             low = 0
             for d, high in zip(ids.tolist(), ends.tolist(), strict=True):
