@@ -66,7 +66,7 @@ def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
 class Anchors:
     """Anchors of a block: documents lie one behind the other in ``data``, document k from ends[k-1] to ends[k].
 
-    Of each anchor: place p, hash key, document number doc and its id, and the starts first..last of the strings that have it.
+    Of each anchor: place p, hash key (mixed anew, as least hashes are all small), document number doc and its id, and the starts first..last of the strings that have it.
     """
 
     STEP = 1 << 15
@@ -92,7 +92,7 @@ class Anchors:
             end = np.append(begin[1:], len(place)) - 1
             use = place[begin] >= 0
             begin, end = begin[use], end[use]
-            keys.append(h[place[begin]])
+            keys.append(_mix(h[place[begin]] * _B))
             places.append(place[begin] + low)
             firsts.append(begin + low)
             lasts.append(end + low)
