@@ -67,7 +67,7 @@ def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, levels: int = LEVELS) -> DataFrame:
     """Adds host, path, rule, verdict, template and purity (the smoothed blocked share) to the rows; columns of these names are replaced.
 
-    A null url, or one without ``://``, has an empty host and path. Rows that a rule fits get its verdict, the others their template's.
+    Hosts without any labelled page reject nothing. A null url, or one without ``://``, has an empty host and path. Rows that a rule fits get its verdict, the others their template's.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "template", "purity")
     seen = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
@@ -79,7 +79,7 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
     whole = hosts.agg(F.coalesce(F.sum("h_blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("h_labelled"), F.lit(0)).alias("n")).first()
     base = F.lit(float((whole.b + 1.0) / (whole.n + 2.0)))
     leaf = tree.groupBy("host", "template").agg(F.sum("blocked").alias("t_blocked"), F.sum("labelled").alias("t_labelled"))
-    prior = (F.col("h_blocked") + STRENGTH * base) / (F.col("h_labelled") + STRENGTH)
+    prior = F.when(F.col("h_labelled") == 0, F.lit(0.0)).otherwise((F.col("h_blocked") + STRENGTH * base) / (F.col("h_labelled") + STRENGTH))
     pure = leaf.join(hosts, "host").select("host", "template", ((F.col("t_blocked") + STRENGTH * prior) / (F.col("t_labelled") + STRENGTH)).alias("purity"))
     verdicts = tree.join(pure, ["host", "template"]).select("host", "path", "template", "purity")
     named = F.coalesce("_ruled", F.when(F.col("purity") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
@@ -120,7 +120,7 @@ def _sql() -> str:
     out.append(f""", tree AS (
   SELECT host, path, blocked, labelled, CASE WHEN len(segments) > {LEVELS} THEN template || '/**' ELSE template END AS template FROM t{LEVELS}
 ), g AS (SELECT (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS base FROM tree
-), h AS (SELECT host, (sum(blocked) + {STRENGTH}::DOUBLE * any_value(base)) / (sum(labelled) + {STRENGTH}::DOUBLE) AS prior FROM tree, g GROUP BY host
+), h AS (SELECT host, CASE WHEN sum(labelled) = 0 THEN 0.0::DOUBLE ELSE (sum(blocked) + {STRENGTH}::DOUBLE * any_value(base)) / (sum(labelled) + {STRENGTH}::DOUBLE) END AS prior FROM tree, g GROUP BY host
 ), p AS (
   SELECT tree.host, template, (sum(blocked) + {STRENGTH}::DOUBLE * any_value(prior)) / (sum(labelled) + {STRENGTH}::DOUBLE) AS purity
   FROM tree JOIN h ON h.host = tree.host GROUP BY tree.host, template

@@ -1,0 +1,296 @@
+import collections
+import hashlib
+import itertools
+import os
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from fractura.llm import jaccard, language, pieces, search, suffix, tokens, toxicity, urls
+
+ODD = [(1, None, None, None, 0), (2, "", "en", "s", 0), (3, "   \n ", None, "s", 5), (4, "one", "en", None, 3)]
+RNG = random.Random(5)
+WORDS = [f"{a}{b}" for a in "the of and ing ble sh ou er".split() for b in ["", "x", "ion", "é"]]
+
+
+def prose(n):
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
+LONG = prose(30_000)
+
+
+# --- tokens
+
+
+def test_length_histogram_and_sums(spark, frame):
+    docs = frame([*ODD, (5, LONG, "en", "s", 0), (5, LONG, "en", "s", 0)])
+    rows = {r.n_tokens: r for r in tokens.suffix_sums(tokens.length_histogram(docs)).collect()}
+    lengths = [len(tokens.encoder()(t or "")) for t in (None, "", "   \n ", "one", LONG, LONG)]
+    for size, r in rows.items():
+        assert r.n_docs == lengths.count(size)
+        assert (r.docs_at_least, r.tokens_at_least) == (sum(x >= size for x in lengths), sum(x for x in lengths if x >= size))
+        assert r.truncated_total == sum(min(x, size) for x in lengths)
+    assert not tokens.suffix_sums(tokens.length_histogram(docs.limit(0))).collect()
+
+
+def test_ids_equal_the_tokenizers_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ["", " a  b\n", "it's 123 é 好", "x<|endoftext|>y", LONG[:2000]]:
+        assert tokens.encoder()(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_is_gapless_and_whole(frame):
+    docs = frame([*ODD, (5, LONG, "en", "s", 0), *((k, prose(RNG.randint(1, 900)), "en", "s", 0) for k in range(10, 120))])
+    rows = tokens.best_fit_pack(tokens.cut_pieces(docs, 256), 256, rows_a_task=7).collect()
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 256
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.doc_id].append(r)
+    for r in docs.collect():
+        ids = np.append(tokens.encoder()(r.text or ""), 2).astype("<u4")
+        got = sorted(by[r.doc_id], key=lambda x: x.piece)
+        assert [x.start for x in got] == [sum(y.length for y in got[:k]) for k in range(len(got))] and sum(x.length for x in got) == len(ids)
+        assert all(x.length == 256 for x in got[1:]) and all(x.ids_crc32 == zlib.crc32(ids[x.start : x.start + x.length].tobytes()) for x in got)
+    assert not tokens.pack_documents(docs.limit(0)).collect()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_against_the_best_packing(seed):
+    r = random.Random(seed)
+    cap = 12
+    items = [r.randint(1, cap) for _ in range(r.randint(1, 7))]
+
+    def best(left, bins):
+        if not left:
+            return len(bins)
+        out = 99
+        for k in range(len(bins)):
+            if bins[k] + left[0] <= cap and bins[k] not in bins[:k]:
+                out = min(out, best(left[1:], [*bins[:k], bins[k] + left[0], *bins[k + 1 :]]))
+        return min(out, best(left[1:], [*bins, left[0]]))
+
+    entries, n = tokens.plan_bins(collections.Counter(items), cap)
+    fill = collections.defaultdict(list)
+    for s, first, count, each, seq, off in entries:
+        for i in range(count):
+            fill[seq + i // each].append((off + i % each * s, s))
+    assert sorted(s for b in fill.values() for _, s in b) == sorted(items) and len(fill) == n
+    assert n <= best(sorted(items, reverse=True), []) + 1
+
+
+# --- pieces
+
+
+@pytest.mark.parametrize("chunk", [3, 17, 40])
+def test_chunks_encode_like_the_library(frame, chunk):
+    parts = ["a", " ", "  ", "the", "ing", "é", "好", "\n", "😀", "tion", "▁", "12"]
+    texts = ["".join(RNG.choice(parts) for _ in range(RNG.randint(0, 50))) for _ in range(25)] + [None, "", "a" * 90, " " * 70]
+    docs = frame([(k, t, None, None, 0) for k, t in enumerate(texts)])
+    m = pieces.model(pieces.MODEL)
+    got = collections.defaultdict(list)
+    for r in pieces.encode(docs, chunk_chars=chunk).orderBy("doc_id", "chunk").collect():
+        got[r.doc_id] += r.ids
+    assert [got[k] for k in range(len(texts))] == [m.sp.encode(t or "") for t in texts]
+
+
+def test_decoding_round_trip(frame):
+    docs = frame([*ODD, (5, LONG, "en", "s", 0)])
+    encoded = pieces.encode(docs, chunk_chars=1000)
+    rows = {r.doc_id: r for r in pieces.digest(encoded).collect()}
+    for r in docs.collect():
+        assert rows[r.doc_id].decoded_crc32 == zlib.crc32((r.text or "").encode())
+    text = b"".join(r.text for r in pieces.decode(encoded).where("doc_id = 5").orderBy("chunk").collect())
+    assert text.decode() == LONG
+
+
+# --- language and toxicity
+
+
+def test_language(frame):
+    en, de = "the of and ing that with".split(), "der und sch ung ein mit".split()
+    rows = [(k, " ".join(RNG.choice(en if k % 2 else de) for _ in range(40)), "en" if k % 2 else "de", None, 0) for k in range(10, 60)]
+    docs = frame([*ODD, (5, LONG, "en", "s", 0), *rows])
+    got = {r.doc_id: r for r in language.identify(docs, language.learn(docs)).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang, _, _ in rows)
+    assert [got[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
+    assert not language.identify(docs.limit(0), {}).collect()
+    assert {r.lang_pred for r in language.identify(docs, language.learn(docs.limit(0))).collect()} == {"und"}
+
+
+def test_toxicity(frame, spark):
+    bad = ["scumword", "vilestuff"]
+    rows = [(k, prose(60) + (f" {RNG.choice(bad)} " if k % 2 else " ") + prose(60), None, None, 0) for k in range(10, 210)]
+    docs = frame([*ODD, *rows])
+    model = toxicity.fit(docs.withColumn("toxic", docs.doc_id % 2))
+    test = frame([(k, prose(500) + (" vilestuff " if k % 2 else " ") + prose(100), None, None, 0) for k in range(1000, 1040)] + ODD)
+    got = toxicity.score(test, model).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got if r.doc_id >= 1000) >= 38
+    assert all(0 <= r.score <= 1 for r in got) and len(got) == 44
+    assert toxicity.fit(docs.selectExpr("*", "0 AS toxic")) is None
+    assert not toxicity.score(docs.limit(0), model).collect()
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(0)
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, mask, y = rng.normal(size=(3, 5, toxicity.INPUTS)), np.arange(5) < np.array([[5], [3], [1]]), np.array([1.0, 0, 1])
+    g = net.gradients(x, mask, y)
+    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * net.forward(x, mask)[0]))))
+    for name, v in net.p.items():
+        at = (0,) * v.ndim
+        v[at] += 1e-4
+        up = loss()
+        v[at] -= 2e-4
+        assert g[name][at] == pytest.approx((up - loss()) / 2e-4, rel=0.02, abs=1e-4)
+        v[at] += 1e-4
+
+
+# --- joins and dedup
+
+
+def test_jaccard_join(frame):
+    texts = {}
+    for k in range(60):
+        base = prose(120).split()
+        texts[k] = " ".join(base)
+        for j in range(RNG.randint(0, 4)):
+            words = list(base)
+            for _ in range(j):
+                words[RNG.randrange(len(words))] = "changed"
+            texts[100 * (k + 1) + j] = " ".join(words)
+    docs = frame([*((9001 + i, t, None, None, 0) for i, (_, t, *_) in enumerate(ODD)), *((k, t, None, None, 0) for k, t in texts.items()), (0, texts[0], None, None, 0)])
+    members, links = jaccard.join(docs)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
+    parent = {k: k for k in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if near(a, b):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = {r.doc_id: r.class_id for r in members.collect()}
+    assert {k: got[k] for k in texts} == {k: root(k) for k in texts}
+    assert all(got[9001 + i] == 9001 + i for i in range(4))
+    assert all(near(r.a, r.b) for r in links.collect())
+    assert not jaccard.join(docs.limit(0))[0].collect()
+
+
+def test_large_bucket_of_near_copies(frame):
+    base = prose(200).split()
+    rows = []
+    for k in range(400):
+        words = list(base)
+        words[k % 200] = f"w{k}"
+        rows.append((k, " ".join(words), None, None, 0))
+    members, links = jaccard.join(frame(rows), small=64)
+    assert {r.class_id for r in members.collect()} == {0}
+    assert links.count() < 20_000
+
+
+def test_repeats(frame):
+    shared = [prose(30) for _ in range(4)]
+    rows = [(k * 7 % 80, " ".join(RNG.choice([prose(5), RNG.choice(shared)[RNG.randint(0, 30) :]]) for _ in range(RNG.randint(0, 12))), None, None, 0) for k in range(80)]
+    rows += [(100 + k, rows[k][1], None, None, 0) for k in range(5)] + [(200 + d, t, a, b, c) for d, t, a, b, c in ODD] + [(300, "z" * 500, None, None, 0), (301, "z" * 120, None, None, 0), (302, LONG, None, None, 0)]
+    first = {}
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(d, first.get(b[i : i + 50], d))
+    docs = frame(rows)
+    for block in (3000, 1 << 20):
+        got = {r.doc_id: r for r in suffix.repeats(docs, block_bytes=block).collect()}
+        assert len(got) == len(rows)
+        for d, t, *_ in rows:
+            b = (t or "").encode()
+            cover = np.zeros(len(b) + 2, bool)
+            for i in range(len(b) - 49):
+                if first[b[i : i + 50]] < d:
+                    cover[i + 1 : i + 51] = True
+            rest = bytes(x for x, c in zip(b, cover[1:-1], strict=True) if not c)
+            want = (len(b), int(cover.sum()), int((cover[1:] & ~cover[:-1]).sum()), hashlib.sha256(rest).hexdigest())
+            assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == want
+    assert not suffix.repeats(docs.limit(0)).collect()
+
+
+def test_previous_factor():
+    texts = ["aab", "aac", "aab", "b__", "aad"]
+    ids = np.array([3, 1, 2, 5, 0])
+    got = suffix.previous_factor(np.frombuffer("".join(texts).encode(), np.uint8).reshape(5, 3), ids)
+    common = lambda a, b: len(os.path.commonprefix([a, b]))
+    assert got.tolist() == [max([0, *(common(texts[i], texts[j]) for j in range(5) if ids[j] < ids[i])]) for i in range(5)]
+
+
+# --- search
+
+
+def vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    x[100:300] = x[5]
+    rows = [(k, [float(v) for v in x[k]]) for k in range(600)] + [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None, *[1.0] * 15])]
+    return x.astype(float), spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score")
+
+
+@pytest.mark.parametrize("factor", [1.0, search.FACTOR])
+def test_vantage_points(spark, factor):
+    x, df = vectors(spark)
+    got = collections.defaultdict(dict)
+    for r in search.nearest(df, df.where("vec_id % 20 = 0"), 10, factor=factor, shard_rows=150).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    hits = 0
+    for q in range(0, 600, 20):
+        s = (x * x[q]).sum(axis=1)
+        want = [int(k) for k in np.lexsort((np.arange(600), -s)) if k != q][:10]
+        mine = [got[q][k][0] for k in range(1, 11)]
+        hits += len(set(want) & set(mine))
+        if factor == 1:
+            assert mine == want and [got[q][k][1] for k in range(1, 11)] == pytest.approx(s[want], abs=1e-12)
+    assert hits >= 0.9 * 300 and len(got) == 30
+    assert not search.nearest(df.limit(0), df.limit(0), 3).collect()
+
+
+def test_multi_index_hashing(spark):
+    x, df = vectors(spark)
+    codes = search.sign_codes(df)
+    got = [(r.query_id, r["rank"], r.vec_id, r.distance) for r in search.hamming_nearest(codes, codes.where("vec_id % 50 = 0"), 7, shard_rows=200).collect()]
+    want = []
+    for q in range(0, 600, 50):
+        d = ((x > 0) != (x[q] > 0)).sum(axis=1)
+        best = [k for k in np.lexsort((np.arange(600), d)) if k != q][:7]
+        want += [(q, n + 1, int(k), int(d[k])) for n, k in enumerate(best)]
+    assert sorted(got) == want
+    assert not search.hamming_nearest(codes.limit(0), codes.limit(0), 3).collect()
+
+
+# --- URLs
+
+
+def test_urls(spark):
+    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://EXAMPLE.org/es/a?x#y"), (5, "https://a.example.org/en/12"), (6, "http://b.org"), (7, "x://c.com/fr/1"), (8, "http://c.com/de/://1"), (9, "http://notexample.org/es/"), (10, "http://d.net/a/b/c/d/e/f/g/h"), (11, "http://d.net/" + "p/" * 3000)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host")).collect()}
+    assert [(got[k].host, got[k].path, got[k].rule, got[k].verdict) for k in range(1, 10)] == [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("example.org", "/es/a", "example.org/es/", "block"), ("a.example.org", "/en/12", "example.org/en/1", "block"),
+        ("b.org", "", None, "allow"), ("c.com", "/fr/1", "com/fr/", "allow"), ("c.com", "/de/://1", "com/de/", "block"), ("notexample.org", "/es/", "org/", "allow"),
+    ]
+    assert len(got) == 11
+    assert not urls.judge(spark.createDataFrame([], "page_id long, url string")).collect()
