@@ -1,0 +1 @@
+"""Part of fractura."""
