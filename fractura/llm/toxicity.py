@@ -24,6 +24,8 @@ GRAMS = (3, 4, 5, 6)
 #: Bounds of the sample the model is fitted to: rows of each label, and characters of a row (longer ones are left out of the fit only).
 SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 40_000
 SEED = 11
+#: Characters that are split into words at once.
+GROUP_CHARS = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,13 +89,19 @@ class Odds:
 class Counts:
     """In how many texts of each label a hash occurs."""
 
-    def __init__(self, pairs: np.ndarray, toxic: np.ndarray):
-        """pairs: (text, hash) columns, distinct."""
-        self.key, at = np.unique(pairs[1], return_inverse=True)
-        self.n1 = np.bincount(at, toxic[pairs[0]], len(self.key))
-        self.n0 = np.bincount(at, 1 - toxic[pairs[0]], len(self.key))
+    def __init__(self, toxic: np.ndarray):
+        self.toxic = toxic
+        self.key, self.n1, self.n0 = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.t1, self.t0 = toxic.sum(), len(toxic) - toxic.sum()
 
+    def add(self, text: np.ndarray, h: np.ndarray) -> None:
+        """Hashes of some whole texts (their numbers beside)."""
+        text, h = _distinct(text, h)
+        key, at = np.unique(np.concatenate([self.key, h]), return_inverse=True)
+        y = self.toxic[text]
+        n1, n0 = (np.bincount(at, np.concatenate([n, m]), len(key)).astype(np.int32) for n, m in ((self.n1, y), (self.n0, 1 - y)))
+        self.key, self.n1, self.n0 = key, n1, n0
+
     def odds(self, n1, n0, t1, t0):
         return np.clip(np.log((n1 + 1) / (t1 + 2)) - np.log((n0 + 1) / (t0 + 2)), -6, 6)
 
@@ -263,17 +271,22 @@ def _worst(network: Network, x: np.ndarray, per_text: np.ndarray, argmax: bool =
 def train(texts: list[str | None], toxic: np.ndarray, seed: int = SEED) -> Model:
     """Fits counts and network. A training text's own label never enters its own inputs (its count is left out of the log odds)."""
     rng, toxic = np.random.default_rng(seed), np.asarray(toxic, np.int64)
-    w = split(texts)
-    pairs = lambda t, h: np.unique(np.stack([t.astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
-    as_counts = lambda q: Counts((q[0].astype(np.int64), q[1]), toxic)
-    words = as_counts(pairs(w.text, w.hash))
-    gram_text = np.concatenate([w.text[w.gram_word[n]] for n in GRAMS])
-    grams = as_counts(_distinct(gram_text, np.concatenate([w.grams[n] for n in GRAMS])))
-    y = toxic[w.text]
-    gram_y = iter([y[w.gram_word[n]] for n in GRAMS])
-    x = inputs(w, lambda h: words.without(h, y), lambda h: grams.without(h, next(gram_y)))
+    words, grams, parts, sizes = Counts(toxic), Counts(toxic), [], []
+    group = np.cumsum([len(t or "") for t in texts]) // GROUP_CHARS
+    groups = [np.flatnonzero(group == g) for g in np.unique(group)]
+    for g in groups:
+        w = split([texts[k] for k in g])
+        words.add(g[w.text], w.hash)
+        grams.add(np.concatenate([g[w.text[w.gram_word[n]]] for n in GRAMS]), np.concatenate([w.grams[n] for n in GRAMS]))
+    for g in groups:
+        w = split([texts[k] for k in g])
+        y = toxic[g[w.text]]
+        gram_y = iter([y[w.gram_word[n]] for n in GRAMS])
+        parts.append(inputs(w, lambda h, y=y: words.without(h, y), lambda h, gram_y=gram_y: grams.without(h, next(gram_y))))
+        sizes.append(w.per_text)
+    x, per_text = np.concatenate(parts), np.concatenate(sizes)
     network, state = Network(seed), {}
-    text, first, size = windows(w.per_text)
+    text, first, size = windows(per_text)
     heat = x[:, :5].max(axis=1) if len(x) else np.zeros(0)
     for step in range(4):
         if step == 0:
@@ -281,12 +294,12 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = SEED) -> Model
             order = np.lexsort((heats, text))
             chosen = order[np.flatnonzero(np.concatenate([text[order][1:] != text[order][:-1], [True]]))]
         else:
-            chosen = _worst(network, x, w.per_text, argmax=True)[0]
+            chosen = _worst(network, x, per_text, argmax=True)[0]
         some = rng.integers(0, len(text), len(texts))
         some = some[toxic[text[some]] == 0]
         use = np.concatenate([chosen, some])
         network.fit(*gather(x, first[use], size[use]), toxic[text[use]].astype(np.float32), max(4, 150 * 256 // max(1, len(use))), rng, state)
-    top = _worst(network, x, w.per_text)
+    top = _worst(network, x, per_text)
     cuts = np.unique(np.quantile(top, np.linspace(0, 1, 2001)))
     miss = [(toxic[top < c].sum() / max(1, toxic.sum())) + ((1 - toxic[top >= c]).sum() / max(1, (1 - toxic).sum())) for c in cuts]
     good = np.flatnonzero(np.array(miss) <= min(miss) + 1e-9)
@@ -326,7 +339,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         for b in batches:
             s = np.zeros(b.num_rows)
             sizes = pa.compute.fill_null(pa.compute.utf8_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(sizes) // 1_000_000
+            group = np.cumsum(sizes) // GROUP_CHARS
             for g in np.unique(group) if m is not None else ():
                 rows = np.flatnonzero(group == g)
                 s[rows] = m.score(b.column(at).slice(rows[0], len(rows)).to_pylist())
