@@ -314,17 +314,21 @@ def _distinct(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[first], h[first]
 
 
-def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """Fits to at most ``rows`` rows of each label (those of the smallest hash of their key), none longer than ``chars`` characters.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fits to at most ``rows`` documents of each label (those of the smallest hash of their key), none longer than ``chars`` characters.
 
-    Rows without label or text are not used; None if a label has no rows.
+    Only keys meet the labels in a shuffle; texts are then read for the keys picked, whose number is bounded by ``rows``. Rows without
+    key, label or text are not used; of rows with one key the smallest text and the larger label are taken. None if a label has no rows.
     """
-    use = labelled.where(F.col(toxic).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= chars))
-    pick = [use.where(F.col(toxic) == k).orderBy(F.xxhash64(F.col(key)), F.col(key), F.col(text)).limit(rows).select(F.col(text).alias("t"), F.col(toxic).cast("long").alias("y")) for k in (0, 1)]
-    got = [p.collect() for p in pick]
-    if not all(got):
+    spark = docs.sparkSession
+    usable = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars)).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    marked = labels.where(F.col(toxic).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(F.col(toxic).cast("long")).alias("y"))
+    known = marked.join(usable.select("k"), "k", "left_semi")
+    picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(rows).collect()]
+    if len({r.y for r in picked}) < 2:
         return None
-    sample = [r for p in got for r in p]
+    few = F.broadcast(spark.createDataFrame(picked, known.schema))
+    sample = usable.join(few, "k").groupBy("k", "y").agg(F.min("t").alias("t")).orderBy("y", F.xxhash64("k"), "k").collect()
     return train([r.t for r in sample], np.array([r.y for r in sample]))
 
 
@@ -351,8 +355,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
 
 def learn(spark: SparkSession, sf_dir: str) -> Model | None:
     """From the labelled documents outside the held-out fold."""
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"))
+    return fit(documents(spark, sf_dir), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

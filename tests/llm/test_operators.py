@@ -135,12 +135,12 @@ def test_toxicity(frame, spark):
     bad = ["scumword", "vilestuff"]
     rows = [(k, prose(60) + (f" {RNG.choice(bad)} " if k % 2 else " ") + prose(60), None, None, 0) for k in range(10, 210)]
     docs = frame([*ODD, *rows])
-    model = toxicity.fit(docs.withColumn("toxic", docs.doc_id % 2))
+    model = toxicity.fit(docs, docs.selectExpr("doc_id", "doc_id % 2 AS toxic"))
     test = frame([(k, prose(500) + (" vilestuff " if k % 2 else " ") + prose(100), None, None, 0) for k in range(1000, 1040)] + ODD)
     got = toxicity.score(test, model).collect()
     assert sum(r.predicted == r.doc_id % 2 for r in got if r.doc_id >= 1000) >= 38
     assert all(0 <= r.score <= 1 for r in got) and len(got) == 44
-    assert toxicity.fit(docs.selectExpr("*", "0 AS toxic")) is None
+    assert toxicity.fit(docs, docs.selectExpr("doc_id", "0 AS toxic")) is None
     assert not toxicity.score(docs.limit(0), model).collect()
 
 
