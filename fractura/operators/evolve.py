@@ -78,6 +78,48 @@ def schedule(progress: DataFrame) -> DataFrame:
     return progress.select("generation", "operator", clip(F.col("weight") * factor, 0.1, 1.0).alias("weight"))
 
 
+def search_state(trace: DataFrame, back: int = 5) -> DataFrame:
+    """(generation, d, i, s, v): diversity; improvement on the best ``back`` generations ago (else the oldest), as a share of 0.15;
+    the streak of generations just before whose best is the same within tolerance, as a share of 5; validity. All in [0, 1]; without a
+    valid objective 0, 0, 1 and the validity."""
+    best = trace.groupBy("generation").agg(F.min("objective").alias("best"))
+    w = Window.orderBy("generation")
+    old = F.coalesce(F.lag("best", back).over(w), F.first("best", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.collect_list("best").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    same = F.greatest(F.lit(1e-6), 1e-4 * F.abs("best"))
+    other = F.transform("before", lambda x, k: F.when(F.abs(x - F.col("best")) > F.col("same"), k + 1).otherwise(0))
+    rows = best.withColumns({"old": old, "before": before, "same": same})
+    rows = rows.withColumn("streak", F.size("before") - F.coalesce(F.array_max(other), F.lit(0)))
+    i = clip(F.greatest(F.lit(0.0), F.col("old") - F.col("best")) / (F.abs("old") + 1e-8) / 0.15)
+    none = F.col("best").isNull()
+    return population_state(trace).join(rows, "generation").select(
+        "generation",
+        F.when(none, 0.0).otherwise(F.col("diversity")).alias("d"),
+        F.when(none, 0.0).otherwise(i).alias("i"),
+        F.when(none, 1.0).otherwise(clip(F.col("streak") / 5)).alias("s"),
+        F.col("validity").alias("v"),
+    )
+
+
+def phase_mixture(state: DataFrame, heat: float = 0.7) -> DataFrame:
+    """Shares of exploring, changing over and exploiting: softmax of linear scores of the state, to four places."""
+    d, i, s, v = (F.col(c) for c in "disv")
+    scores = {"explore": 1.2 * d + 1.0 * s - 0.8 * i + 0.15 * (1 - v), "transition": 1 - 2 * F.abs(d - 0.5) - 0.5 * s + 0.10 * v, "exploit": 1.3 * (1 - d) + 1.0 * i - 1.2 * s + 0.20 * v}
+    rows = state.withColumns({k: F.exp(F.round(x, 4) / heat) for k, x in scores.items()})
+    total = F.col("explore") + F.col("transition") + F.col("exploit")
+    return rows.select("generation", *(F.round(F.col(k) / total, 4).alias(k) for k in scores))
+
+
+def pressures(state: DataFrame) -> DataFrame:
+    """The continuous schedule: explore and exploit pressures, the phase (a lead of more than 0.12), and the factor of each operator role."""
+    d, i, s = (F.col(c) for c in "dis")
+    e, x = F.col("explore"), F.col("exploit")
+    rows = state.withColumns({"explore": clip(0.55 * d + 0.60 * s - 0.25 * i), "exploit": clip(0.70 * (1 - d) + 0.55 * i - 0.45 * s)})
+    change = clip(1 - F.abs(e - x))
+    phase = F.when(x - e > 0.12, "exploit").when(e - x > 0.12, "explore").otherwise("transition")
+    return rows.select("generation", phase.alias("phase"), (0.75 + 0.90 * e).alias("mutation"), (0.75 + 0.95 * x).alias("crossover"), (0.70 + 0.60 * change + 0.20 * d).alias("other"))
+
+
 def credit(rewards: DataFrame, keep: float = 0.75) -> DataFrame:
     """Exponential averages of rewards per operator, from 0: one ordered fold a group."""
     got = rewards.groupBy("operator").agg(F.transform(F.array_sort(F.collect_list(F.struct("generation", "reward"))), lambda x: x.reward).alias("r"))

@@ -62,17 +62,36 @@ def with_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     return canonical(edges.unionByName(more))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(graph_id, node, triangles) for nodes in at least one. Edges point from the end of smaller (degree, id) to the larger, so that
-    a hub's many neighbours don't meet pair by pair."""
+def corners(edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, a): each triangle once. Edges point from the end of smaller (degree, id) to the larger, so that a hub's many
+    neighbours don't meet pair by pair."""
     d = degree(edges)
     e = edges.join(d.toDF("graph_id", "src", "ds"), ["graph_id", "src"]).join(d.toDF("graph_id", "dst", "dd"), ["graph_id", "dst"])
     up = F.struct("ds", "src") < F.struct("dd", "dst")
     e = e.select("graph_id", F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
     wedge = e.alias("x").join(e.alias("y"), (F.col("x.graph_id") == F.col("y.graph_id")) & (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")))
     wedge = wedge.select("x.graph_id", "x.a", F.col("x.b").alias("src"), F.col("y.b").alias("dst"))
-    closed = wedge.join(edges, ["graph_id", "src", "dst"])
-    return closed.select("graph_id", F.explode(F.array("a", "src", "dst")).alias("node")).groupBy("graph_id", "node").agg(F.count("*").alias("triangles"))
+    return wedge.join(edges.select("graph_id", "src", "dst"), ["graph_id", "src", "dst"])
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(graph_id, node, triangles) for nodes in at least one."""
+    return corners(edges).select("graph_id", F.explode(F.array("a", "src", "dst")).alias("node")).groupBy("graph_id", "node").agg(F.count("*").alias("triangles"))
+
+
+def weighted_clustering(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """(graph_id, node, clustering): cube roots of the products of a triangle's weights, as shares of the graph's largest weight,
+    summed up over a node's triangles and divided by d (d - 1) / 2; 0 below two neighbours."""
+    top = edges.groupBy("graph_id").agg(F.max(weight).alias("top"))
+    shares = edges.join(top, "graph_id").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"), (F.col(weight) / F.col("top")).alias("w"))
+    rows = corners(edges).withColumn("product", F.lit(1.0))
+    for x, y in (("src", "dst"), ("a", "src"), ("a", "dst")):
+        ends = rows.withColumn("u", F.least(x, y)).withColumn("v", F.greatest(x, y))
+        rows = ends.join(shares, ["graph_id", "u", "v"]).withColumn("product", F.col("product") * F.col("w")).drop("u", "v", "w")
+    total = rows.select("graph_id", F.explode(F.array("a", "src", "dst")).alias("node"), F.cbrt("product").alias("x")).groupBy("graph_id", "node").agg(F.sum("x").alias("x"))
+    d = F.col("degree")
+    c = F.when(d < 2, 0.0).otherwise(2 * F.coalesce("x", F.lit(0.0)) / (d * (d - 1)))
+    return degree(edges).join(total, ["graph_id", "node"], "left").select("graph_id", "node", c.alias("clustering"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:

@@ -196,6 +196,24 @@ def pagerank_of(adj: Adjacency, damping: float = 0.85, tolerance: float = 1e-6,
     raise ValueError("no convergence")
 
 
+def eigenvector_of(adj: Adjacency, tolerance: float = 1e-6, rounds: int = 1000) -> dict[int, float]:
+    """Power iteration on A + I, of length 1, from equal parts."""
+    names, n = list(adj), len(adj)
+    at = {v: k for k, v in enumerate(names)}
+    a = np.array([at[v] for v, s in adj.items() for _ in s], np.int64)
+    b = np.array([at[u] for s in adj.values() for u in s], np.int64)
+    x = np.full(n, 1 / max(1, n))
+    for _ in range(rounds):
+        new = x + np.bincount(b, x[a], n)
+        new = new / (np.linalg.norm(new) or 1)
+        if np.abs(new - x).sum() < n * tolerance:
+            return dict(zip(names, new.tolist(), strict=True))
+        x = new
+    if not n:
+        return {}
+    raise ValueError("no convergence")
+
+
 def betweenness_of(adj: Adjacency) -> dict[int, float]:
     """Exact, unnormalised, each pair once: shortest-path counts forward, dependencies backward, from every source."""
     total = dict.fromkeys(adj, 0.0)

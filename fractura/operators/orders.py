@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels
+from . import cuts, kernels
 
+STRATEGIES = kernels.STRATEGIES | {"ratio_cut": cuts.by_ratio_cut, "cut_reinsertion": cuts.by_cut_reinsertion, "eigenvector": kernels._adaptive(kernels.eigenvector_of)}
 METRICS = "anc double, anc_prefix_k double, fht_50 long, fht_10 long, lcc_at_k double, k long"
 
 
@@ -15,7 +16,7 @@ def orders(edges: DataFrame, strategies: list[str]) -> DataFrame:
     """(graph_id, strategy, node, step) of each named strategy on each graph."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.STRATEGIES[pdf.strategy.iloc[0]](kernels.adjacency(pdf.src, pdf.dst))
+        found = STRATEGIES[pdf.strategy.iloc[0]](kernels.adjacency(pdf.src, pdf.dst))
         return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "strategy": pdf.strategy.iloc[0], "node": found, "step": range(1, len(found) + 1)})
 
     names = F.explode(F.array(*map(F.lit, strategies)))

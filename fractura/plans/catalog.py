@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fractura.operators import evolve, graph, orders, perturb, reports, text
+from fractura.operators import evolve, graph, orders, perturb, reports, samplers, search, text
 from fractura.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,6 +249,48 @@ def sample_degree(spark, d):
     return graph.induced(e, perturb.top_degree(graph.degree(e), 40))
 
 
+@query()
+def samples(spark, d):
+    return samplers.sample(dense(spark, d), list(samplers.SAMPLERS), 40)
+
+
+@query()
+def sample_quality(spark, d):
+    e = dense(spark, d)
+    return rounded(samplers.quality(e, samplers.sample(e, list(samplers.SAMPLERS), 40)), "mean_degree")
+
+
+# --- searches and cuts
+
+
+@query()
+def cut_orders(spark, d):
+    e = years(spark, d)
+    return rounded(orders.evaluate(e, orders.orders(e, ["ratio_cut", "cut_reinsertion"])), "anc", "anc_prefix_k", "lcc_at_k")
+
+
+@query()
+def annealed_orders(spark, d):
+    return rounded(search.best_of(search.searched(dense(spark, d), "anneal", [1, 2, 3], steps=100)), "anc")
+
+
+@query()
+def bred_orders(spark, d):
+    return rounded(search.best_of(search.searched(dense(spark, d), "breed", [1, 2], generations=10)), "anc")
+
+
+@query(f"WITH {RANK}, f AS (SELECT node, step FROM o WHERE step <= 20) SELECT 'ps' AS graph_id, n.node, row_number() OVER (ORDER BY f.step NULLS LAST, n.node) AS step FROM n LEFT JOIN f ON f.node = n.node")
+def order_completion(spark, d):
+    e = part_supp(spark, d)
+    return search.completed(static(e).where("step <= 20"), graph.nodes(e))
+
+
+@query("WITH r AS (SELECT least(2 * l_partkey, 2 * l_suppkey + 1) AS src, greatest(2 * l_partkey, 2 * l_suppkey + 1) AS dst FROM lineitem) SELECT 'ps' AS graph_id, node, 0.0::DOUBLE AS clustering FROM (SELECT src AS node FROM r UNION SELECT dst FROM r)")
+def clustering_of_two_sided_graph(spark, d):
+    e = read(spark, d, "lineitem").select(F.lit("ps").alias("graph_id"), (2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"))
+    return graph.weighted_clustering(graph.canonical(e).withColumn("weight", F.lit(1.0)))
+
+
 # --- evolution
 
 SURV = T + ", a AS (SELECT *, row_number() OVER (PARTITION BY generation, code ORDER BY objective, id) AS r FROM t WHERE objective IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY generation, objective ORDER BY objective, id) AS q FROM a WHERE r = 1), v AS (SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY objective, id) AS rank, id, objective FROM b WHERE q = 1)"
@@ -304,6 +346,28 @@ def early_stop(spark, d):
     return evolve.early_stop(evolve.best_so_far(trace(spark, d)), 5)
 
 
+STATE = T + """, g AS (SELECT generation, min(objective) AS best FROM t GROUP BY generation), k AS (SELECT generation, best, coalesce(lag(best, 5) OVER w, first(best) OVER w) AS old FROM g WINDOW w AS (ORDER BY generation)),
+u AS (SELECT k.generation, max(q.generation) AS m FROM k LEFT JOIN g q ON q.generation < k.generation AND abs(q.best - k.best) > greatest(1e-6::DOUBLE, 1e-4::DOUBLE * abs(k.best)) GROUP BY k.generation),
+y AS (SELECT u.generation, count(p.generation) AS streak FROM u LEFT JOIN g p ON p.generation < u.generation AND p.generation > coalesce(m, -1) GROUP BY u.generation),
+z AS (SELECT generation, least(greatest((quantile_cont(objective, 0.9) - quantile_cont(objective, 0.1)) / (abs(quantile_cont(objective, 0.5)) + 1e-8), 0.0), 1.0) AS d, count(objective) / count(*) AS v FROM t GROUP BY generation),
+st AS (SELECT z.generation, z.d, least(greatest(0.0::DOUBLE, old - best) / (abs(old) + 1e-8::DOUBLE) / 0.15::DOUBLE, 1.0) AS i, least(streak / 5, 1.0) AS s, z.v FROM z JOIN k ON k.generation = z.generation JOIN y ON y.generation = z.generation)"""
+
+
+@query(f"WITH {STATE} SELECT generation, round(d, 6) AS d, round(i, 6) AS i, round(s, 6) AS s, round(v, 6) AS v FROM st")
+def search_state(spark, d):
+    return rounded(evolve.search_state(trace(spark, d)), "d", "i", "s", "v")
+
+
+@query(f"WITH {STATE}, sc AS (SELECT generation, exp(round(1.2::DOUBLE * d + s - 0.8::DOUBLE * i + 0.15::DOUBLE * (1 - v), 4) / 0.7::DOUBLE) AS a, exp(round(1 - 2 * abs(d - 0.5::DOUBLE) - 0.5::DOUBLE * s + 0.1::DOUBLE * v, 4) / 0.7::DOUBLE) AS b, exp(round(1.3::DOUBLE * (1 - d) + i - 1.2::DOUBLE * s + 0.2::DOUBLE * v, 4) / 0.7::DOUBLE) AS c FROM st) SELECT generation, round(a / (a + b + c), 4) AS explore, round(b / (a + b + c), 4) AS transition, round(c / (a + b + c), 4) AS exploit FROM sc")
+def phase_mixture(spark, d):
+    return evolve.phase_mixture(evolve.search_state(trace(spark, d)))
+
+
+@query(f"WITH {STATE}, pr AS (SELECT generation, d, least(greatest(0.55::DOUBLE * d + 0.6::DOUBLE * s - 0.25::DOUBLE * i, 0.0), 1.0) AS e, least(greatest(0.7::DOUBLE * (1 - d) + 0.55::DOUBLE * i - 0.45::DOUBLE * s, 0.0), 1.0) AS x FROM st) SELECT generation, CASE WHEN x - e > 0.12 THEN 'exploit' WHEN e - x > 0.12 THEN 'explore' ELSE 'transition' END AS phase, round(0.75::DOUBLE + 0.9::DOUBLE * e, 6) AS mutation, round(0.75::DOUBLE + 0.95::DOUBLE * x, 6) AS crossover, round(0.7::DOUBLE + 0.6::DOUBLE * (1 - abs(e - x)) + 0.2::DOUBLE * d, 6) AS other FROM pr")
+def pressures(spark, d):
+    return rounded(evolve.pressures(evolve.search_state(trace(spark, d))), "mutation", "crossover", "other")
+
+
 @query("WITH i AS (SELECT conv_id AS grp, turn AS pos, length(text) AS size FROM conversations), w AS (SELECT grp, pos, sum(size + 8) OVER x::BIGINT AS used, row_number() OVER x AS r FROM i WINDOW x AS (PARTITION BY grp ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)) SELECT grp, pos, used FROM w WHERE used <= 400 AND r <= 50".replace("OVER x::BIGINT", "OVER x"))
 def memory_window(spark, d):
     return evolve.memory_window(read(spark, d, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("pos"), F.length("text").alias("size")), 400)
