@@ -57,17 +57,20 @@ class PieceModel:
         if "  " in text or SPACE in text or text[:1] in ("", " ") or text[-1] == " ":
             return np.array(self.sp.encode(text), "<u4").tobytes()
         words = text.split(" ")
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            if len(self.words) > self.words_kept:
-                self.words.clear()
-            new = [w for w in dict.fromkeys(words) if w not in self.words]
-            ids = np.array(self.sp.encode(" ".join(new)), "<u4")
-            first = np.append(np.flatnonzero(self.marked[ids]), len(ids)) * 4
-            flat = ids.tobytes()
-            self.words |= {w: flat[a:b] for w, a, b in zip(new, first[:-1].tolist(), first[1:].tolist(), strict=True)}
-        return b"".join([self.words[w] for w in words])
+        found = list(map(self.words.get, words))
+        if None not in found:
+            return b"".join(found)
+        if len(self.words) > self.words_kept:
+            self.words.clear()
+        gaps = [k for k, x in enumerate(found) if x is None]
+        new = list(dict.fromkeys([words[k] for k in gaps]))
+        ids = np.array(self.sp.encode(" ".join(new)), "<u4")
+        first = (np.flatnonzero(self.marked[ids]) * 4).tolist()
+        flat = ids.tobytes()
+        self.words.update(zip(new, map(flat.__getitem__, map(slice, first, [*first[1:], len(flat)])), strict=True))
+        for k in gaps:
+            found[k] = self.words[words[k]]
+        return b"".join(found)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes; the mark in front of the first word goes."""
@@ -172,9 +175,12 @@ def _lattice(m: PieceModel, left: str, body: str, right: str, last: bool):
     text, b, e = left + body + right, len(left), len(left) + len(body)
     entry = [(0, "")] if not left else crossing(m, left, body + right)
     ends = {(b - o + len(p), p): k for k, (o, p) in enumerate(entry)} if left else {(0, ""): 0}
-    sync = [x.start() for x in SYNC.finditer(text, b, e)]
     low = max((s for s, _ in ends), default=b)
-    sync = [x for x in sync if x >= low and x < e]
+    first = SYNC.search(text, max(low, b), e)
+    end = text.rfind(SPACE, max(low, b), e)
+    while end > 0 and text[end - 1] == SPACE:
+        end = text.rfind(SPACE, max(low, b), end)
+    sync = [first.start(), end] if first else []
     return text, b, e, entry, ends, sync
 
 
