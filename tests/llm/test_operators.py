@@ -195,15 +195,15 @@ def test_jaccard_join(frame):
     assert not jaccard.join(docs.limit(0))[0].collect()
 
 
-@pytest.mark.parametrize("local", [64, 8192])
-def test_large_bucket_of_near_copies(frame, local):
+@pytest.mark.parametrize("small", [64, 4096])
+def test_large_bucket_of_near_copies(frame, small):
     base = prose(200).split()
     rows = []
     for k in range(400):
         words = list(base)
         words[k % 200] = f"w{k}"
         rows.append((k, " ".join(words), None, None, 0))
-    members, links = jaccard.join(frame(rows), small=64, local=local)
+    members, links = jaccard.join(frame(rows), small=small)
     assert {r.class_id for r in members.collect()} == {0}
     assert links.count() < 20_000
 
