@@ -2,11 +2,10 @@
 
 Sets are embedded by minhash: coordinate i of two sets is equal with the probability of their Jaccard similarity, so (i, value) pairs
 are tokens that similar sets share. A path picks coordinates at random (by its own hash, alike for all sets); each picked token leads
-to a child bucket. Buckets of up to ``small`` sets are compared pair by pair on their signatures. Larger ones are dealt into random
-parts, where sets surely near to another are linked to it and leave (near copies of one text); the others are split by the next
-tokens of the path, up to ``depth`` of them. The recursion of a bucket of up to ``local`` sets stays in one task, which holds its
-signatures; larger buckets are split by the cluster, level by level. Runs repeat with other paths until a pair at the threshold is
-missed with a probability below ``1 - recall``. All links found are then verified on the whole sets, and links make classes.
+to a bucket. All pairs of a bucket are compared on their signatures, each pair in the first bucket that both sets share. Runs repeat
+with other paths until a pair at the threshold is missed with a probability below ``1 - recall``. Sets with a likely partner then
+meet their texts, and all likely pairs of a bucket are verified on the whole sets there: what leaves the bucket are numbers of links
+and a forest of links, which makes the classes.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import documents, keep
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
-HASHES, SMALL, DEPTH, BRANCH = 256, 512, 8, 1.6
-#: Sets of a bucket that is split inside one task: 4 MB of signatures.
+HASHES, BRANCH = 256, 1.6
+#: Sets whose signatures are compared at once.
+SMALL = 512
+#: Sets of a bucket that is compared inside one task: 4 MB of signatures.
 LOCAL = 8_192
 #: Estimates from HASHES coordinates within MARGIN below the threshold are verified too (3 standard deviations).
 MARGIN = 0.08
@@ -121,166 +122,136 @@ def picked(path: np.ndarray, branch: float) -> np.ndarray:
     return _mix(path[:, None] * _M + _mix(i + np.uint64(77))) < np.uint64(int(branch / HASHES * 2**64))
 
 
-def _children(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(next path, row) of each token that the paths pick from their sets."""
-    row, i = np.nonzero(picked(path, BRANCH))
-    return _mix(_mix(path[row] + _M) ^ (i.astype(np.uint64) << np.uint64(16) | sig[row, i])), row
-
-
 def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (path, rep, sig) rows to the (path, rep) rows of the next buckets."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        nxt, row = _children(b.column("path").to_numpy().view(np.uint64), _signatures(b.column("sig")))
-        yield pa.RecordBatch.from_arrays([pa.array(nxt.view(np.int64)), b.column("rep").take(pa.array(row))], ["path", "rep"])
-
-
-def _forest(weight: np.ndarray, least: float) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Edges of a heaviest spanning forest over pairs of at least ``least``, and each point's tree."""
-    n = len(weight)
-    best, source, tree, left = np.full(n, -1.0), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-    edges, trees = [], 0
-    for _ in range(n):
-        v = int(np.argmax(np.where(left, best, -2.0)))
-        if best[v] >= least:
-            edges.append((int(source[v]), v))
-        else:
-            trees += 1
-        left[v], tree[v] = False, trees
-        nearer = left & (weight[v] > best)
-        best[nearer], source[nearer] = weight[v][nearer], v
-    return edges, tree
-
-
-class Buckets:
-    """Compares and splits the buckets of one task. ``low``: the least estimate of a candidate; ``likely``: of an edge of a forest;
-    ``sure``: of a set that stands for a near copy from then on."""
-
-    def __init__(self, low: float, likely: float, sure: float, few: int = 8):
-        self.low, self.likely, self.sure, self.few = low, likely, sure, few
-
-    def compare(self, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, lead): candidates, and for each set the earlier one that stands for it (-1: none).
-
-        In buckets of more than ``few`` sets, likely links are those of a heaviest forest, and pairs that are less than likely are
-        added between its trees only, so that near copies make trees and not all pairs."""
-        n = len(sig)
-        est = np.stack([(sig == own).mean(axis=1) for own in sig])
-        lead = np.full(n, -1)
-        a, b = np.nonzero(np.triu(est >= self.low, 1))
-        if n > self.few and len(a):
-            for v in range(n):
-                if lead[v] < 0:
-                    near = np.flatnonzero((est[v] >= self.sure) & (lead < 0))
-                    lead[near[near > v]] = v
-            own = np.flatnonzero(lead >= 0)
-            est[own, lead[own]] += 1
-            est[lead[own], own] += 1
-            edges, tree = _forest(est, self.likely)
-            between = tree[a] != tree[b]
-            ends = np.array(edges, np.int64).reshape(-1, 2)
-            ends = np.where((lead[ends[:, :1]] == ends[:, 1:]), ends[:, ::-1], ends)
-            a, b = np.concatenate([ends[:, 0], a[between]]), np.concatenate([ends[:, 1], b[between]])
-        return a, b, lead
-
-    def split(self, path: int, sig: np.ndarray, small: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates of a bucket and of all buckets below it, ``depth`` levels in all; each pair once. Equal next buckets, reached
-        by two ways, are one."""
-        found: set[tuple[int, int]] = set()
-        todo = {path: np.arange(len(sig))}
-        for _ in range(depth):
-            paths, rows = [], []
-            for p, who in todo.items():
-                stays = []
-                order = np.argsort(_mix(who.astype(np.uint64) * _M ^ np.uint64(p)), kind="stable") if len(who) > small else np.arange(len(who))
-                for part in np.array_split(who[order], -(-len(who) // small)):
-                    part = np.sort(part)
-                    a, b, lead = self.compare(sig[part])
-                    found.update(zip(part[a].tolist(), part[b].tolist(), strict=True))
-                    stays.append(part[lead < 0])
-                if len(who) > small:
-                    rows.append(np.concatenate(stays))
-                    paths.append(np.full(len(rows[-1]), p, np.uint64))
-            if not rows:
-                break
-            row = np.concatenate(rows)
-            nxt, at = _children(np.concatenate(paths), sig[row])
-            both = np.unique(np.stack([nxt, row[at].astype(np.uint64)]), axis=1)
-            cut = np.flatnonzero(np.diff(both[0])) + 1
-            todo = {int(both[0][g[0]]): both[1][g].astype(np.int64) for g in np.split(np.arange(both.shape[1]), cut) if len(g) > 1}
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
-
-    def links(self, small: int):
-        """From the rows (path, part, depth, rep, sig) of a part of a bucket to link candidates (a, b); with depth 1 it is compared
-        as it stands. ``taken`` tells that b is surely near to a, which stays for both."""
-
-        def found(t: pa.Table) -> pa.Table:
-            rep, head = np.unique(t.column("rep").to_numpy(), return_index=True)
-            sig = _signatures(t.column("sig"))[head]
-            path, depth = t.column("path")[0].as_py(), t.column("depth")[0].as_py()
-            if depth == 1:
-                a, b, lead = self.compare(sig)
-                taken = lead[b] == a
-            else:
-                a, b = self.split(path & (2**64 - 1), sig, small, depth)
-                taken = np.zeros(len(a), bool)
-            return pa.table({"path": pa.array(np.full(len(a), path), pa.int64()), "a": pa.array(rep[a], pa.int64()), "b": pa.array(rep[b], pa.int64()), "taken": pa.array(taken)})
-
-        return found
-
-
-def candidates(sets: DataFrame, threshold: float, small: int, depth: int, local: int = LOCAL) -> DataFrame:
-    """Link candidates (a, b) among (rep, sig, paths) rows of distinct sets."""
-    buckets = Buckets(threshold - MARGIN, threshold + 0.03, min(0.97, threshold + 0.08))
-    sigs = sets.select("rep", "sig")
-    level, found = sets.select(F.explode("paths").alias("path"), "rep"), None
-    for left in range(depth, 0, -1):
-        size = level.groupBy("path").count().where("count > 1")
-        rows = keep(level.join(size, "path").join(sigs, "rep").select("path", "rep", "sig", "count"), "buckets")
-        large = F.col("count") > local
-        parts = F.ceil(F.col("count") / small)
-        dealt = rows.withColumn("part", F.when(large, F.pmod(F.xxhash64("rep", "path"), parts)).otherwise(0)).withColumn("depth", F.when(large | (F.col("count") <= small), 1).otherwise(left))
-        got = keep(dealt.select("path", "part", "depth", "rep", "sig").groupBy("path", "part").applyInArrow(buckets.links(small), "path long, a long, b long, taken boolean"), "links")
-        found = got.select("a", "b") if found is None else found.unionByName(got.select("a", "b"))
-        rest = rows.where(large)
-        if left == 1 or not rest.limit(1).count():
-            break
-        gone = got.where("taken").select("path", F.col("b").alias("rep")).distinct()
-        level = keep(rest.join(gone, ["path", "rep"], "left_anti").select("path", "rep", "sig").mapInArrow(_grow, "path long, rep long"), "level")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verify(links: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the links whose exact similarity reaches the threshold: partners' texts meet the set of a, link by link."""
-    roles = links.select("a", F.col("b").alias("doc")).unionByName(links.select("a", F.col("a").alias("doc")).distinct())
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = roles.join(texts, "doc").repartition("a").sortWithinPartitions("a", "doc")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, own = None, None
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            out = []
-            for part in _groups(np.array([len(t or "") for t in texts], np.int64)):
-                for lead, doc, s in zip(b.column("a").to_pylist()[part], b.column("doc").to_pylist()[part], shingle_sets(texts[part], width), strict=True):
-                    if lead != a:
-                        a, own = lead, None
-                    if doc == lead:
-                        own = s
-                    elif own is not None:
-                        both = len(np.intersect1d(own, s, assume_unique=True))
-                        if both >= threshold * (len(own) + len(s) - both) - 1e-12:
-                            out.append((lead, doc, both / (len(own) + len(s) - both)))
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "jaccard"])
-
-    return rows.select("a", "doc", "text").mapInArrow(exact, "a long, b long, jaccard double").dropDuplicates(["a", "b"])
+class Group:
+    """The sets of one bucket, or of one block of a large one: (path, block, part, rep, sig, paths) rows, each rep once, sorted."""
+
+    def __init__(self, t: pa.Table, least: float, tile: int):
+        self.rep, head = np.unique(t.column("rep").to_numpy(), return_index=True)
+        self.rows = t.take(pa.array(head))
+        self.path, self.block = (t.column(c)[0].as_py() for c in ("path", "block"))
+        self.sig = _signatures(self.rows.column("sig"))
+        self.part = self.rows.column("part").to_numpy()
+        self.least, self.tile = math.ceil(least * HASHES - 1e-9), tile
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(a, bs): for each set the later ones that are candidates and that this bucket answers for. Of the buckets that two sets
+        share, only the one of the smallest path does, so that each pair is met once; in a block of two parts, pairs go across."""
+        n = len(self.sig)
+        ids = self._before()
+        mark = np.zeros(int(ids.max(initial=0)) + 1, bool)
+        two = self.part.min() != self.part.max()
+        for x in range(0, n, self.tile):
+            own = range(x, min(x + self.tile, n))
+            near: list[list[np.ndarray]] = [[] for _ in own]
+            for y in range(x, n, self.tile):
+                tile = self.sig[y : y + self.tile]
+                for a in own:
+                    same = (tile == self.sig[a]).view(np.uint64).reshape(len(tile), 2, -1).sum(axis=2, dtype=np.uint64)
+                    count = ((same * np.uint64(0x0101010101010101)) >> np.uint64(56)).sum(axis=1)
+                    near[a - x].append(np.flatnonzero(count >= self.least) + y)
+            for a in own:
+                b = np.concatenate(near[a - x])
+                b = b[b > a]
+                if two:
+                    b = b[self.part[b] != self.part[a]]
+                if len(b):
+                    mark[ids[a]] = True
+                    mark[0] = False
+                    b = b[~mark[ids[b]].any(axis=1)]
+                    mark[ids[a]] = False
+                if len(b):
+                    yield a, b
+
+    def _before(self) -> np.ndarray:
+        """(sets, most): numbers from 1 of each set's paths below this bucket's, filled up with 0."""
+        paths = self.rows.column("paths").combine_chunks()
+        flat, size = paths.flatten().to_numpy(), np.diff(paths.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        low = flat < self.path
+        number = np.unique(flat[low], return_inverse=True)[1] + 1
+        row = row[low]
+        count = np.bincount(row, minlength=len(size))
+        out = np.zeros((len(size), max(1, int(count.max(initial=0)))), np.int64)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = number
+        return out
+
+
+FOUND = "path long, block int, part int, rep long, sig binary, paths array<long>"
+LINK = "a long, b long, jaccard double, n long"
+
+
+def _with_candidates(least: float, tile: int):
+    """The rows of a group that are in one of its candidates at least."""
+
+    def found(t: pa.Table) -> pa.Table:
+        g = Group(t, least, tile)
+        some = np.zeros(len(g.rep), bool)
+        for a, b in g.pairs():
+            some[a] = some[b] = True
+        return g.rows.filter(pa.array(some))
+
+    return found
+
+
+def _verified(least: float, tile: int, width: int, threshold: float, every: bool):
+    """(a, b, jaccard) of the links of a group, on whole sets: all of them, or a forest of them that joins what they join; and
+    (a, n): how many links each set has here."""
+
+    def found(t: pa.Table) -> pa.Table:
+        g = Group(t, least, tile)
+        sets = []
+        texts = g.rows.column("text").to_pylist()
+        for part in _groups(np.array([len(x or "") for x in texts], np.int64)):
+            sets += shingle_sets(texts[part], width)
+        size = np.array([len(s) for s in sets])
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        first = np.cumsum(size) - size
+        has = np.zeros(int(number.max(initial=0)) + 1, np.int8)
+        n_links, tree, out = np.zeros(len(sets), np.int64), np.arange(len(sets)), []
+        for a, b in g.pairs():
+            own = number[first[a] : first[a] + size[a]]
+            has[own] = 1
+            both = np.zeros(len(b), np.int64)
+            for part in _groups(size[b]):
+                k = size[b[part]]
+                at = np.cumsum(k) - k
+                both[part] = np.add.reduceat(has[number[np.arange(int(k.sum())) + np.repeat(first[b[part]] - at, k)]], at, dtype=np.int64)
+            has[own] = 0
+            union = size[a] + size[b] - both
+            near = both >= threshold * union - 1e-12
+            b, share = b[near], (both / union)[near]
+            n_links[a] += len(b)
+            n_links[b] += 1
+            keep = np.arange(len(b))
+            if not every:
+                trees, keep = np.unique(tree[b], return_index=True)
+                keep = keep[trees != tree[a]]
+                tree[np.isin(tree, trees)] = tree[a]
+            out += zip(g.rep[np.full(len(keep), a)].tolist(), g.rep[b[keep]].tolist(), share[keep].tolist(), [None] * len(keep), strict=True)
+        linked = np.flatnonzero(n_links)
+        out += zip(g.rep[linked].tolist(), [None] * len(linked), [None] * len(linked), n_links[linked].tolist(), strict=True)
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({c: pa.array(x, k) for (c, k), x in zip((("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64()), ("n", pa.int64())), cols, strict=True)})
+
+    return found
+
+
+def linked(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float, small: int, local: int, every: bool) -> DataFrame:
+    """(a, b, jaccard, n): links and, where b is null, numbers of links of a, among (rep, sig, paths) rows of distinct sets. Only sets
+    with a candidate meet their texts."""
+    least = threshold - MARGIN
+    level = sets.select(F.explode("paths").alias("path"), "rep")
+    size = level.groupBy("path").count().where("count > 1")
+    rows = keep(level.join(size, "path").join(sets, "rep").select("path", "rep", "sig", "paths", "count"), "buckets")
+    dealt = rows.select("path", F.lit(0).alias("block"), F.lit(0).alias("part"), "rep", "sig", "paths")
+    some = keep(dealt.groupBy("path", "block").applyInArrow(_with_candidates(least, small), FOUND), "candidates")
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
+    full = some.join(texts.join(some.select("rep").distinct(), "rep", "left_semi"), "rep")
+    return keep(full.groupBy("path", "block").applyInArrow(_verified(least, small, width, threshold, every), LINK), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -301,11 +272,11 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, depth: int = DEPTH, local: int = LOCAL) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, local: int = LOCAL, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: doc_id, class_id (smallest doc_id of its class: texts joined by links, or with equal sets), n_links
     (links of its set to other sets), n_copies (rows with the same set), for each row. links: (a, b, jaccard) between the
-    smallest documents of two distinct sets, all verified; near copies in buckets of more than 8 sets are linked by trees instead
-    of each with each.
+    smallest documents of two distinct sets, all verified; with ``every`` all of them, else of each bucket a forest that joins the
+    same sets. ``n_links`` counts all of them either way.
 
     Rows without words (null, empty) are in no class but their own. Rows with a null id take no part. Repeated rows count as copies.
     """
@@ -314,8 +285,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     each = keep(sketches(docs, doc_id, text, width, runs), "sketches")
     classes = keep(each.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
     sets = classes.where("sig is not null").select("rep", "sig", "paths")
-    links = keep(verify(candidates(sets, threshold, small, depth, local), docs, doc_id, text, width, threshold), "verified")
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    found = linked(sets, docs, doc_id, text, width, threshold, small, local, every)
+    links = found.where("b is not null").select("a", "b", "jaccard")
+    degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     label = components(links).toDF("rep", "label")
     info = classes.select("key", "rep", "n_copies").join(degree, "rep", "left").join(label, "rep", "left")
     members = each.select("doc_id", "key").join(info, "key").select("doc_id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

@@ -208,6 +208,27 @@ def test_large_bucket_of_near_copies(frame, local):
     assert links.count() < 20_000
 
 
+def near_copies(n, words, seed):
+    """Different texts: a word of one base is replaced by one of its own."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
+    return {k: " ".join(base[: (p := rng.randrange(words))] + [f"own{k}"] + base[p + 1 :]) for k in range(n)}
+
+
+@pytest.mark.parametrize("n", [10, 400])
+@pytest.mark.parametrize(("small", "local"), [(512, 8192), (64, 8192)])
+def test_links_of_groups_equal_brute_force(frame, n, small, local):
+    texts = near_copies(n, 80, n) | {1000 + k: prose(60) for k in range(20)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
+    want = {(a, b) for a, b in itertools.combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    degree = collections.Counter(itertools.chain.from_iterable(want))
+    members, links = jaccard.join(frame([(k, t, None, None, 0) for k, t in texts.items()]), small=small, local=local, every=True)
+    got = [(r.a, r.b) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.999 * len(want)
+    counts = {r.doc_id: r.n_links for r in members.collect()}
+    assert sum(counts.values()) == 2 * len(got) and all(counts[k] <= degree[k] for k in texts)
+
+
 def test_repeats(frame):
     shared = [prose(30) for _ in range(4)]
     rows = [(k * 7 % 80, " ".join(RNG.choice([prose(5), RNG.choice(shared)[RNG.randint(0, 30) :]]) for _ in range(RNG.randint(0, 12))), None, None, 0) for k in range(80)]
