@@ -2,8 +2,8 @@
 
 Sets are embedded by minhash: coordinate i of two sets is equal with the probability of their Jaccard similarity, so (i, value) pairs
 are tokens that similar sets share. A path picks coordinates at random (by its own hash, alike for all sets); each picked token leads
-to a bucket. All pairs of a bucket are compared on their signatures, each pair in the first bucket that both sets share. Runs repeat
-with other paths until a pair at the threshold is missed with a probability below ``1 - recall``. Sets with a likely partner then
+to a bucket. All pairs of a bucket are compared on their signatures, each pair in the first bucket that both sets share; buckets of
+more than ``local`` sets are compared in blocks, by as many tasks. Runs repeat with other paths until a pair at the threshold is missed with a probability below ``1 - recall``. Sets with a likely partner then
 meet their texts, and all likely pairs of a bucket are verified on the whole sets there: what leaves the bucket are numbers of links
 and a forest of links, which makes the classes.
 """
@@ -27,8 +27,6 @@ HASHES, BRANCH = 256, 1.6
 SMALL = 512
 #: Sets of a bucket that is compared inside one task: 4 MB of signatures.
 LOCAL = 8_192
-#: Estimates from HASHES coordinates within MARGIN below the threshold are verified too (3 standard deviations).
-MARGIN = 0.08
 SEED = 5
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,13 +127,13 @@ def _signatures(column) -> np.ndarray:
 class Group:
     """The sets of one bucket, or of one block of a large one: (path, block, part, rep, sig, paths) rows, each rep once, sorted."""
 
-    def __init__(self, t: pa.Table, least: float, tile: int):
+    def __init__(self, t: pa.Table, least: int, tile: int):
         self.rep, head = np.unique(t.column("rep").to_numpy(), return_index=True)
         self.rows = t.take(pa.array(head))
         self.path, self.block = (t.column(c)[0].as_py() for c in ("path", "block"))
         self.sig = _signatures(self.rows.column("sig"))
         self.part = self.rows.column("part").to_numpy()
-        self.least, self.tile = math.ceil(least * HASHES - 1e-9), tile
+        self.least, self.tile = least, tile
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
         """(a, bs): for each set the later ones that are candidates and that this bucket answers for. Of the buckets that two sets
@@ -184,7 +182,7 @@ FOUND = "path long, block int, part int, rep long, sig binary, paths array<long>
 LINK = "a long, b long, jaccard double, n long"
 
 
-def _with_candidates(least: float, tile: int):
+def _with_candidates(least: int, tile: int):
     """The rows of a group that are in one of its candidates at least."""
 
     def found(t: pa.Table) -> pa.Table:
@@ -197,7 +195,7 @@ def _with_candidates(least: float, tile: int):
     return found
 
 
-def _verified(least: float, tile: int, width: int, threshold: float, every: bool):
+def _verified(least: int, tile: int, width: int, threshold: float, every: bool):
     """(a, b, jaccard) of the links of a group, on whole sets: all of them, or a forest of them that joins what they join; and
     (a, n): how many links each set has here."""
 
@@ -240,14 +238,44 @@ def _verified(least: float, tile: int, width: int, threshold: float, every: bool
     return found
 
 
-def linked(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float, small: int, local: int, every: bool) -> DataFrame:
+def blocks(rows: DataFrame, local: int) -> DataFrame:
+    """Buckets of more than ``local`` sets are dealt into parts of about half of that, and each two parts, or one with itself, make a
+    block, so that all pairs meet in exactly one block; smaller buckets are one block."""
+    parts = F.when(F.col("count") > local, F.ceil(F.col("count") / (local / 2))).otherwise(1).cast("int")
+    own = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep", "path"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    return met.select("path", block.alias("block"), "part", "rep", "sig", "paths")
+
+
+def least_equal(threshold: float, recall: float) -> int:
+    """Equal coordinates of a candidate: a pair at the threshold has fewer with a tenth of the probability that may be missed at most."""
+    below, k = (1 - threshold) ** HASHES, 0
+    while below <= (1 - recall) / 10 and k < HASHES:
+        k += 1
+        below += math.comb(HASHES, k) * threshold**k * (1 - threshold) ** (HASHES - k)
+    return k
+
+
+def runs_needed(threshold: float, recall: float) -> int:
+    """Runs that miss a pair at the threshold with nine tenths of ``1 - recall`` at most. Each bucket is compared whole, so that there is
+    one level to survive: a pair is missed if it agrees in none of the coordinates picked, those of all runs."""
+    most, runs = 0.9 * (1 - recall), 0
+    while True:
+        runs += 1
+        roots = _mix(np.arange(1, runs + 1, dtype=np.uint64) * _M)
+        own = picked(roots, BRANCH).any(axis=0).sum()
+        if math.exp(-BRANCH * threshold * runs) <= most and (1 - threshold) ** int(own) <= most:
+            return runs
+
+
+def linked(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float, least: int, small: int, local: int, every: bool) -> DataFrame:
     """(a, b, jaccard, n): links and, where b is null, numbers of links of a, among (rep, sig, paths) rows of distinct sets. Only sets
     with a candidate meet their texts."""
-    least = threshold - MARGIN
     level = sets.select(F.explode("paths").alias("path"), "rep")
     size = level.groupBy("path").count().where("count > 1")
     rows = keep(level.join(size, "path").join(sets, "rep").select("path", "rep", "sig", "paths", "count"), "buckets")
-    dealt = rows.select("path", F.lit(0).alias("block"), F.lit(0).alias("part"), "rep", "sig", "paths")
+    dealt = blocks(rows, local)
     some = keep(dealt.groupBy("path", "block").applyInArrow(_with_candidates(least, small), FOUND), "candidates")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     full = some.join(texts.join(some.select("rep").distinct(), "rep", "left_semi"), "rep")
@@ -281,11 +309,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     Rows without words (null, empty) are in no class but their own. Rows with a null id take no part. Repeated rows count as copies.
     """
     docs = docs.where(F.col(doc_id).isNotNull())
-    runs = max(1, math.ceil(math.log(1 - recall) / (-BRANCH * threshold)))
+    runs = runs_needed(threshold, recall)
     each = keep(sketches(docs, doc_id, text, width, runs), "sketches")
     classes = keep(each.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
     sets = classes.where("sig is not null").select("rep", "sig", "paths")
-    found = linked(sets, docs, doc_id, text, width, threshold, small, local, every)
+    found = linked(sets, docs, doc_id, text, width, threshold, least_equal(threshold, recall), small, local, every)
     links = found.where("b is not null").select("a", "b", "jaccard")
     degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     label = components(links).toDF("rep", "label")

@@ -229,6 +229,29 @@ def test_links_of_groups_equal_brute_force(frame, n, small, local):
     assert sum(counts.values()) == 2 * len(got) and all(counts[k] <= degree[k] for k in texts)
 
 
+@pytest.mark.parametrize(("n", "local"), [(300, 64), (9_000, 8_192)])
+def test_links_of_a_bucket_compared_in_blocks(frame, n, local):
+    texts, words = near_copies(n, 200, 3), 200
+    place = [next(p for p, w in enumerate(t.split()) if w.startswith("own")) for t in texts.values()]
+    hit = np.array([[p - 4 <= s <= p for s in range(words - 4)] for p in range(words)])
+    common = words - 4 - (hit[:, None] | hit[None]).sum(axis=2)
+    near = common >= 0.8 * (2 * (words - 4) - common)
+    size = np.bincount(place, minlength=words)
+    want = {k: int(near[p] @ size) - 1 for k, p in enumerate(place)}
+    got = {r.doc_id: r.n_links for r in jaccard.join(frame([(k, t, None, None, 0) for k, t in texts.items()]), local=local)[0].collect()}
+    assert all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
+def test_runs_and_least_estimate_keep_the_recall(threshold):
+    rng = np.random.default_rng(1)
+    runs, least = jaccard.runs_needed(threshold, 0.999), jaccard.least_equal(threshold, 0.999)
+    own = jaccard.picked(jaccard._mix(np.arange(1, runs + 1, dtype=np.uint64) * jaccard._M), jaccard.BRANCH).any(axis=0)
+    same = rng.random((100_000, jaccard.HASHES)) < threshold
+    assert ((same.sum(axis=1) >= least) & same[:, own].any(axis=1)).mean() >= 0.999
+
+
 def test_repeats(frame):
     shared = [prose(30) for _ in range(4)]
     rows = [(k * 7 % 80, " ".join(RNG.choice([prose(5), RNG.choice(shared)[RNG.randint(0, 30) :]]) for _ in range(RNG.randint(0, 12))), None, None, 0) for k in range(80)]
