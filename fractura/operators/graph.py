@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,14 +154,17 @@ def k_core(edges: DataFrame, k: int = 2) -> DataFrame:
         left = nxt
 
 
-def bfs(edges: DataFrame, sources: DataFrame, cutoff: int) -> DataFrame:
-    """(graph_id, source, node, distance) up to the cut-off: a frontier join a round, known nodes taken out by anti join."""
+def bfs(edges: DataFrame, sources: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """(graph_id, source, node, distance) up to the cut-off, or until no node is new: a frontier join a round, known nodes taken out by
+    anti join."""
     both = settle(symmetric(edges))
     seen = settle(sources.select("graph_id", F.col("node").alias("source"), "node", F.lit(0).alias("distance")))
     front = seen
-    for step in range(1, cutoff + 1):
+    for step in itertools.count(1) if cutoff is None else range(1, cutoff + 1):
         grown = front.join(both, ["graph_id", "node"]).select("graph_id", "source", F.col("other").alias("node")).distinct()
         front = settle(grown.join(seen, ["graph_id", "source", "node"], "left_anti").select("graph_id", "source", "node", F.lit(step).alias("distance")))
+        if cutoff is None and not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -173,10 +178,10 @@ def closeness(edges: DataFrame, longest: int) -> DataFrame:
     return r.select("graph_id", F.col("source").alias("node"), F.when(F.col("far") == 0, 0.0).otherwise((F.col("r") - one) / (F.col("n") - 1) * ((F.col("r") - one) / F.col("far"))).alias("closeness"))
 
 
-def path_lengths(edges: DataFrame, longest: int) -> DataFrame:
+def path_lengths(edges: DataFrame) -> DataFrame:
     """Average shortest path and diameter of each graph's largest component."""
     big = largest_component(edges)
-    d = bfs(induced(edges, big), big, longest).where("source <> node")
+    d = bfs(induced(edges, big), big).where("source <> node")
     return d.groupBy("graph_id").agg(F.avg("distance").alias("avg_path"), F.max("distance").alias("diameter"))
 
 

@@ -157,7 +157,7 @@ def bfs_boundary(spark, d):
 
 @query(f"WITH RECURSIVE {BFS} SELECT 'ps' AS graph_id, round(avg(l), 6) AS avg_path, max(l) AS diameter FROM y WHERE a <> x")
 def apl_diameter(spark, d):
-    return rounded(graph.path_lengths(part_supp(spark, d), 14), "avg_path")
+    return rounded(graph.path_lengths(part_supp(spark, d)), "avg_path")
 
 
 @query()
