@@ -37,8 +37,6 @@ def bisect(adj: Adjacency, part: list[int], passes: int = 10) -> tuple[set[int],
                 for u in adj[moved]:
                     if u in side:
                         gain[u] += -2 if side[u] == side[moved] else 2
-            if len(swaps) - upto > 50:
-                break
         if not best:
             break
         for a, b in swaps[:upto]:

@@ -84,3 +84,15 @@ def test_weighted_clustering_with_equal_weights_is_clustering(spark):
 def test_eigenvector_of_a_star():
     c = K.eigenvector_of(adj([(0, k) for k in range(1, 5)]))
     assert c[0] == pytest.approx(2 * c[1], rel=1e-4) and sum(x * x for x in c.values()) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("n", [200, 400])
+def test_a_long_path_is_cut_once(n):
+    a = adj([(k, k + 1) for k in range(n - 1)])
+    one, two = cuts.bisect(a, list(a))
+    assert len(one) == len(two) and sum(len(a[v] & two) for v in one) == 1
+
+
+def test_paths_longer_than_any_bound(spark):
+    edges = spark.createDataFrame([("p", k, k + 1) for k in range(19)], "graph_id string, src long, dst long")
+    assert [tuple(r) for r in graph.path_lengths(edges).collect()] == [("p", 7.0, 19)]
