@@ -28,6 +28,8 @@ SMALL = 512
 #: Sets of a bucket that is compared inside one task: 4 MB of signatures.
 LOCAL = 8_192
 SEED = 5
+#: Ids of candidates that are broadcast at most (8 MB); with more of them, texts are shuffled to meet them.
+BROADCAST_IDS = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -278,7 +280,9 @@ def linked(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int,
     dealt = blocks(rows, local)
     some = keep(dealt.groupBy("path", "block").applyInArrow(_with_candidates(least, small), FOUND), "candidates")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    full = some.join(texts.join(some.select("rep").distinct(), "rep", "left_semi"), "rep")
+    ids = keep(some.select("rep").distinct(), "ids")
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rep", "left_semi")
+    full = some.join(texts, "rep")
     return keep(full.groupBy("path", "block").applyInArrow(_verified(least, small, width, threshold, every), LINK), "links")
 
 
