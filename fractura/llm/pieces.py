@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,10 @@ from .common import documents, keep
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 16_384
 SPACE = "▁"
+#: Neighbours that are combined at once in the tree of matrices.
+FAN = 64
+#: Chunks whose two states are broadcast at most (about 24 MB); with more of them, chunks are shuffled to meet their states.
+BROADCAST_CHUNKS = 1_000_000
 _models: dict[str, PieceModel] = {}
 
 
@@ -233,13 +238,13 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.int32) @ b.astype(np.int32)) > 0
 
 
-def choose(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Entry and exit state of each chunk on the one path through all of them: prefix and suffix products meet at each boundary."""
-    after = [np.ones(1, bool)]
+def choose(matrices: list[np.ndarray], first: int, last: int) -> list[tuple[int, int]]:
+    """Entry and exit state of each part on the one path from state ``first`` to state ``last``: suffix products meet the path so far."""
+    after = [np.arange(matrices[-1].shape[1]) == last]
     for x in reversed(matrices):
         after.append(x[:, after[-1]].any(axis=1))
     after.reverse()
-    state, out = 0, []
+    state, out = first, []
     for k, x in enumerate(matrices):
         nxt = np.flatnonzero(x[state] & after[k + 1])
         if len(nxt) != 1:
@@ -249,98 +254,167 @@ def choose(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_name: str = MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(doc_id, chunk, n_chunks, ids array<int>): the ids of each document, a row for each chunk of ``chunk_chars`` characters.
+def _matrix(row) -> np.ndarray:
+    return np.frombuffer(row.matrix, np.uint8).reshape(row.n_in, -1) > 0
 
-    Ids equal the library's encode(text). Null counts as empty: one chunk without ids. Texts of one chunk are encoded where they
-    are; only the small matrices of giant ones are brought together by document. Repeated ids of rows are not allowed for giant ones.
+
+MATRIX = "row long, part int, n_in int, matrix binary"
+
+
+def fixed_states(matrices: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
+    """(row, part, entry, leave) from (row, part, n_in, matrix): a tree over each row's parts. Upwards, up to ``fan`` neighbours are
+    combined to one matrix, until a row has a single one; downwards, each node's two states give those of its children. ``parts`` is
+    the largest number of parts of a row."""
+    import pandas as pd
+
+    def up(pdf):
+        rows = list(pdf.sort_values("part").itertuples())
+        total = _matrix(rows[0])
+        for r in rows[1:]:
+            total = combine(total, _matrix(r))
+        return pd.DataFrame({"row": [rows[0].row], "part": [rows[0].part // fan], "n_in": [len(total)], "matrix": [total.astype(np.uint8).tobytes()]})
+
+    def down(pdf):
+        rows = list(pdf.sort_values("part").itertuples())
+        found = choose([_matrix(r) for r in rows], int(rows[0].entry), int(rows[0].leave))
+        return pd.DataFrame({"row": rows[0].row, "part": [r.part for r in rows], "entry": [a for a, _ in found], "leave": [b for _, b in found]})
+
+    above = F.floor(F.col("part") / fan).cast("int")
+    levels = [matrices]
+    while parts > 1:
+        levels.append(keep(levels[-1].groupBy("row", above).applyInPandas(up, MATRIX), "matrices"))
+        parts = -(-parts // fan)
+    states = levels[-1].select("row", "part", F.lit(0).alias("entry"), F.lit(0).alias("leave"))
+    for level in levels[-2::-1]:
+        own = level.withColumn("above", above).join(states.select("row", F.col("part").alias("above"), "entry", "leave"), ["row", "above"])
+        states = own.groupBy("row", "above").applyInPandas(down, "row long, part int, entry int, leave int")
+    return states
+
+
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_name: str = MODEL, chunk_chars: int = CHUNK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row, chunk, n_chunks, ids array<int>, and the ``carry`` columns): the ids of each row's text, a row for each chunk of
+    ``chunk_chars`` characters.
+
+    Ids equal the library's encode(text). Null counts as empty: one chunk without ids. Repeated and null ids of documents are kept
+    apart by ``row``, a number of its own for each row of the input. Texts of one chunk are encoded where they are. Giant ones are cut
+    in one pass and their chunks written to the shared folder; only the small matrices are brought together, in a tree.
     """
-    size = F.length("_t")
-    reach = 64
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    short, giant = base.where(size <= chunk_chars), base.where(size > chunk_chars)
+    size, reach = F.length("_t"), 64
+    number = F.monotonically_increasing_id()
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"), *(F.col(c) for c in carry))
+    short = base.where(size <= chunk_chars).select("doc_id", (number * 2).alias("row"), *carry, "_t")
+    giant = base.where(size > chunk_chars).select("doc_id", (number * 2 + 1).alias("row"), *carry, "_t")
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in short.schema.fields[:-1])
+    names = short.columns[:-1]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
         for b in batches:
-            yield _out(b.column(0), [0] * b.num_rows, [1] * b.num_rows, [m.ids(t) if t else b"" for t in b.column(1).to_pylist()])
-
-    marked = F.concat(F.lit(SPACE), F.translate("_t", " ", SPACE))
-    chunks = (
-        giant.select("doc_id", marked.alias("_t"))
-        .select("doc_id", "_t", F.ceil(F.length("_t") / chunk_chars).cast("int").alias("n_chunks"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk"))
-        .select(
-            "doc_id",
-            "chunk",
-            "n_chunks",
-            F.expr(f"substring(_t, greatest(chunk * {chunk_chars} - {reach}, 0) + 1, least(chunk * {chunk_chars}, {reach}))").alias("left"),
-            F.expr(f"substring(_t, chunk * {chunk_chars} + 1, {chunk_chars})").alias("body"),
-            F.expr(f"substring(_t, (chunk + 1) * {chunk_chars} + 1, {reach})").alias("right"),
-        )
-    )
+            yield _out(b.columns[:-1], names, [0] * b.num_rows, [1] * b.num_rows, [m.ids(t) if t else b"" for t in b.column("_t").to_pylist()])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                t = SPACE + b.column("_t")[k].as_py().replace(" ", SPACE)
+                n = -(-len(t) // chunk_chars)
+                for low in range(0, n, 64):
+                    at = range(low, min(n, low + 64))
+                    parts = [[t[max(0, c * chunk_chars - reach) : c * chunk_chars] for c in at], [t[c * chunk_chars : (c + 1) * chunk_chars] for c in at], [t[(c + 1) * chunk_chars : (c + 1) * chunk_chars + reach] for c in at]]
+                    same = [pa.compute.take(x, pa.array([k] * len(at))) for x in b.columns[:-1]]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(list(at), pa.int32()), pa.array([n] * len(at), pa.int32()), *(pa.array(x, pa.string()) for x in parts)], [*names, "part", "n_chunks", "left", "body", "right"])
+
+    chunks = keep(giant.mapInArrow(cut, f"{head}part int, n_chunks int, left string, body string, right string").repartition("row", "part"), "chunks")
+    most = chunks.agg(F.max("n_chunks"), F.count("*")).first()
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
         for b in batches:
             found = [transfer(m, *x)[2] for x in zip(*(b.column(c).to_pylist() for c in ("left", "body", "right")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk"), pa.array([len(x) for x in found], pa.int32()), pa.array([bytes(np.array(x, np.uint8).tobytes()) for x in found], pa.binary())], ["doc_id", "chunk", "n_in", "matrix"])
-
-    kind = base.schema["doc_id"].dataType.simpleString()
-    states = chunks.mapInArrow(matrices, f"doc_id {kind}, chunk int, n_in int, matrix binary")
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("part"), pa.array([len(x) for x in found], pa.int32()), pa.array([bytes(np.array(x, np.uint8).tobytes()) for x in found], pa.binary())], ["row", "part", "n_in", "matrix"])
 
-    def chosen(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("chunk")
-        found = choose([np.frombuffer(x, np.uint8).reshape(n, -1) > 0 for n, x in zip(pdf.n_in, pdf.matrix, strict=True)])
-        return pd.DataFrame({"doc_id": pdf.doc_id.to_numpy(), "chunk": pdf.chunk.to_numpy(), "entry": [a for a, _ in found], "leave": [b for _, b in found]})
-
-    fixed = states.groupBy("doc_id").applyInPandas(chosen, f"doc_id {kind}, chunk int, entry int, leave int")
+    states = keep(fixed_states(keep(chunks.mapInArrow(matrices, MATRIX), "matrices"), most[0] or 0), "states")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
         for b in batches:
             found = [backtrace(m, *x) for x in zip(*(b.column(c).to_pylist() for c in ("left", "body", "right", "entry", "leave")), strict=True)]
-            yield _out(b.column("doc_id"), b.column("chunk"), b.column("n_chunks"), found)
+            yield _out([b.column(c) for c in names], names, b.column("part"), b.column("n_chunks"), found)
 
-    schema = f"doc_id {kind}, chunk int, n_chunks int, ids array<int>"
-    return short.mapInArrow(whole, schema).unionByName(chunks.join(fixed, ["doc_id", "chunk"]).mapInArrow(traced, schema))
+    schema = f"{head}chunk int, n_chunks int, ids array<int>"
+    met = chunks.join(F.broadcast(states) if most[1] <= BROADCAST_CHUNKS else states, ["row", "part"])
+    return short.mapInArrow(whole, schema).unionByName(met.mapInArrow(traced, schema))
 
 
-def _out(doc_id, chunk, n_chunks, ids: list[bytes]) -> pa.RecordBatch:
+def _out(same: list, names: list[str], chunk, n_chunks, ids: list[bytes]) -> pa.RecordBatch:
     flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
     offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
     as_int = lambda x: x if isinstance(x, pa.Array) else pa.array(x, pa.int32())
-    return pa.RecordBatch.from_arrays([doc_id, as_int(chunk), as_int(n_chunks), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "chunk", "n_chunks", "ids"])
+    return pa.RecordBatch.from_arrays([*same, as_int(chunk), as_int(n_chunks), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, "chunk", "n_chunks", "ids"])
 
 
-def digest(encoded: DataFrame, model_name: str = MODEL) -> DataFrame:
-    """A row for each document from its chunks' ids: counts, crc32 of all ids in order, and size and crc32 of the decoded text."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+def _times(matrix: list[int], v: int) -> int:
+    out = 0
+    for row in matrix:
+        if v & 1:
+            out ^= row
+        v >>= 1
+    return out
+
+
+def crc32_joined(a: int, b: int, b_bytes: int) -> int:
+    """crc32 of two strings one behind the other, from theirs and the length of the second: a is carried over that many zero bytes by
+    squarings of the matrix of one zero bit over GF(2)."""
+    shift = [0xEDB88320, *(1 << k for k in range(31))]
+    bits = 8 * b_bytes
+    while bits:
+        if bits & 1:
+            a = _times(shift, a)
+        shift = [_times(shift, x) for x in shift]
+        bits >>= 1
+    return a ^ b
+
 
-    def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def digest(encoded: DataFrame, model_name: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row that was encoded (doc_id, row, ``carry``): counts, crc32 of all ids in order, and size and crc32 of the decoded
+    text. Each chunk gives numbers only; those of a giant text are joined in order, so that no row holds all its ids."""
+    names = ["doc_id", "row", *carry]
+    head = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in names)
+    parts = ["n_tokens", "ids_crc32", "decoded_bytes", "decoded_crc32"]
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
         for b in batches:
-            out = []
-            flat = b.column("ids").combine_chunks() if isinstance(b.column("ids"), pa.ChunkedArray) else b.column("ids")
-            offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            out, chunk = [], b.column("chunk").to_numpy()
+            offsets, values = b.column("ids").offsets.to_numpy(), b.column("ids").values.to_numpy()
             for k in range(b.num_rows):
                 ids = values[offsets[k] : offsets[k + 1]].astype("<u4")
-                text = m.decode(ids)
+                text = m.decode(ids) if chunk[k] == 0 else b"".join([m.bytes_of[i] for i in ids.tolist()])
                 out.append((len(ids), zlib.crc32(ids.tobytes()), len(text), zlib.crc32(text)))
             cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_chunks"), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_chunks", "n_tokens", "ids_crc32", "decoded_bytes", "decoded_crc32"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), b.column("chunk"), b.column("n_chunks"), *(pa.array(c, pa.int64()) for c in cols)], [*names, "chunk", "n_chunks", *parts])
+
+    each = encoded.select(*names, "chunk", "n_chunks", "ids").mapInArrow(numbers, f"{head}chunk int, n_chunks int, " + ", ".join(f"{c} long" for c in parts))
+    together = each.groupBy("row").agg(*(F.first(c).alias(c) for c in (*names[:1], *carry, "n_chunks")), F.array_sort(F.collect_list(F.struct("chunk", *parts))).alias("parts"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row in b.column("parts").to_pylist():
+                n, c, size, d = (row[0][x] for x in parts)
+                for p in row[1:]:
+                    c, d = crc32_joined(c, p["ids_crc32"], 4 * p["n_tokens"]), crc32_joined(d, p["decoded_crc32"], p["decoded_bytes"])
+                    n, size = n + p["n_tokens"], size + p["decoded_bytes"]
+                out.append((n, c, size, d))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), b.column("n_chunks"), *(pa.array(c, pa.int64()) for c in cols)], [*names, "n_chunks", *parts])
 
-    one = encoded.where("n_chunks = 1").select("doc_id", "n_chunks", "ids")
-    many = encoded.where("n_chunks > 1").groupBy("doc_id").agg(F.first("n_chunks").alias("n_chunks"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
-    schema = f"doc_id {kind}, n_chunks int, n_tokens long, ids_crc32 long, decoded_bytes long, decoded_crc32 long"
-    return one.unionByName(many).mapInArrow(row, schema)
+    return together.mapInArrow(joined, f"{head}n_chunks int, " + ", ".join(f"{c} long" for c in parts))
 
 
 def decode(encoded: DataFrame, model_name: str = MODEL) -> DataFrame:
-    """(doc_id, chunk, n_chunks, text binary): the UTF-8 bytes of each chunk; a character that is cut by a chunk end is whole again when chunks are joined."""
+    """(doc_id, row, chunk, n_chunks, text binary): the UTF-8 bytes of each chunk; a character that is cut by a chunk end is whole again when chunks are joined."""
     kind = encoded.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "row", "chunk", "n_chunks"]
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
@@ -349,14 +423,15 @@ def decode(encoded: DataFrame, model_name: str = MODEL) -> DataFrame:
             for chunk, ids in zip(b.column("chunk").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 text = b"".join(m.bytes_of[i] for i in ids)
                 out.append(text[1:] if chunk == 0 and text[:1] == b" " else text)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("chunk"), b.column("n_chunks"), pa.array(out, pa.binary())], ["doc_id", "chunk", "n_chunks", "text"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.binary())], [*names, "text"])
 
-    return encoded.mapInArrow(texts, f"doc_id {kind}, chunk int, n_chunks int, text binary")
+    return encoded.select(*names, "ids").mapInArrow(texts, f"doc_id {kind}, row long, chunk int, n_chunks int, text binary")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of all whole documents and their decoding, as digests; ``round_trip`` holds the decoded text against the given one."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = digest(encode(docs))
-    given = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("given"))
-    return out.join(given, "doc_id").withColumn("round_trip", F.col("given") == F.col("decoded_crc32")).drop("given")
+    """Ids of all whole documents and their decoding, as digests; ``round_trip`` holds the decoded text against the given one. Each row
+    of the table gives one row, whatever its id."""
+    given = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("given")
+    docs = documents(spark, sf_dir).select("doc_id", "text", given)
+    out = digest(encode(docs, carry=("given",)), carry=("given",))
+    return out.withColumn("round_trip", F.col("given") == F.col("decoded_crc32")).drop("given", "row")

@@ -117,6 +117,36 @@ def test_decoding_round_trip(frame):
     assert text.decode() == LONG
 
 
+def test_repeated_and_null_ids_keep_their_rows(frame):
+    giant = prose(9_000)
+    docs = frame([(1, giant, None, None, 0), (1, giant, None, None, 0), (None, giant + " x", None, None, 0), (2, "short", None, None, 0), (2, "other", None, None, 0), (None, None, None, None, 0)])
+    got = pieces.digest(pieces.encode(docs, chunk_chars=500)).collect()
+    want = sorted(((d is None, d or 0), len(t.encode()), zlib.crc32(t.encode())) for d, t in ((1, giant), (1, giant), (None, giant + " x"), (2, "short"), (2, "other"), (None, "")))
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.decoded_bytes, r.decoded_crc32) for r in got) == want
+    m = pieces.model(pieces.MODEL)
+    assert {r.ids_crc32 for r in got if r.doc_id == 1} == {zlib.crc32(np.array(m.sp.encode(giant), "<u4").tobytes())}
+
+
+def test_states_by_a_tree_equal_one_walk(spark):
+    rng = np.random.default_rng(4)
+    sizes = [1, *rng.integers(1, 6, 20).tolist(), 1]
+    path = [0, *(int(rng.integers(0, n)) for n in sizes[1:-1]), 0]
+    parts = []
+    for k, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
+        x = np.zeros((a, b), np.uint8)
+        x[path[k], path[k + 1]] = 1
+        parts.append((7, k, a, bytearray(x.tobytes())))
+    frame = spark.createDataFrame(parts, pieces.MATRIX)
+    for fan in (2, 3, 64):
+        got = sorted((r.part, r.entry, r.leave) for r in pieces.fixed_states(frame, len(parts), fan).collect())
+        assert got == [(k, path[k], path[k + 1]) for k in range(len(parts))]
+
+
+def test_crc32_of_joined_strings():
+    for a, b in ((b"", b""), (b"ab", b""), (b"", b"xyz"), (b"abc" * 100, b"q" * 777)):
+        assert pieces.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 # --- language and toxicity
 
 
