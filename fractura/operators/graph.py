@@ -139,7 +139,8 @@ def pairwise_connectivity(edges: DataFrame) -> DataFrame:
 def largest_component(edges: DataFrame) -> DataFrame:
     """Nodes of the largest component; ties: the one with the smallest node."""
     c = components(edges)
-    best = component_sizes(edges).groupBy("graph_id").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("component"))
+    sizes = c.groupBy("graph_id", "component").agg(F.count("*").alias("size"))
+    best = sizes.groupBy("graph_id").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("component"))
     return c.join(best, ["graph_id", "component"]).select("graph_id", "node")
 
 
@@ -147,11 +148,26 @@ def k_core(edges: DataFrame, k: int = 2) -> DataFrame:
     """Nodes left when nodes of degree below k are removed until none is left to remove."""
     left = settle(edges)
     while True:
-        weak = degree(left).where(F.col("degree") < k)
-        nxt = settle(without_nodes(left, weak))
-        if nxt.count() == left.count():
-            return nodes(nxt)
-        left = nxt
+        weak = settle(degree(left).where(F.col("degree") < k))
+        if not weak.limit(1).count():
+            return nodes(left)
+        left = settle(without_nodes(left, weak))
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(graph_id, node, core): the largest k such that the node is in the k-core. Every round a node's number becomes the largest h such
+    that h neighbours have h or more, from counts by number (a hub's neighbours are summed up before they meet)."""
+    both = settle(symmetric(edges))
+    core = settle(degree(edges).withColumnRenamed("degree", "core"))
+    while True:
+        near = both.join(core.toDF("graph_id", "other", "theirs"), ["graph_id", "other"]).join(core, ["graph_id", "node"])
+        counts = near.groupBy("graph_id", "node", "core", F.least("core", "theirs").alias("v")).agg(F.count("*").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("graph_id", "node").orderBy(F.desc("v")))
+        new = counts.withColumn("h", F.least("v", above)).groupBy("graph_id", "node").agg(F.max("h").alias("h"), F.first("core").alias("core"))
+        new = settle(new)
+        if not new.where("h <> core").limit(1).count():
+            return new.select("graph_id", "node", "core")
+        core = new.select("graph_id", "node", F.col("h").alias("core"))
 
 
 def bfs(edges: DataFrame, sources: DataFrame, cutoff: int | None = None) -> DataFrame:
@@ -169,15 +185,66 @@ def bfs(edges: DataFrame, sources: DataFrame, cutoff: int | None = None) -> Data
     return seen
 
 
-def closeness(edges: DataFrame, longest: int) -> DataFrame:
-    """Reachable-set scaled closeness from distances up to ``longest`` (a bound on the diameter)."""
-    d = bfs(edges, nodes(edges), longest)
+def closeness(edges: DataFrame) -> DataFrame:
+    """Reachable-set scaled closeness of each node, from the distances between all nodes of a component."""
+    d = bfs(edges, nodes(edges))
     n = nodes(edges).groupBy("graph_id").agg(F.count("*").alias("n"))
     r = d.groupBy("graph_id", "source").agg(F.count("*").alias("r"), F.sum("distance").alias("far")).join(n, "graph_id")
     one = F.lit(1.0)
     return r.select("graph_id", F.col("source").alias("node"), F.when(F.col("far") == 0, 0.0).otherwise((F.col("r") - one) / (F.col("n") - 1) * ((F.col("r") - one) / F.col("far"))).alias("closeness"))
 
 
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node, betweenness): unnormalised, each pair once. Shortest paths are counted forward from all sources at once, a
+    frontier a round, and dependencies summed up backward. With ``sources`` only the paths that start there count, each whole (not
+    halved), which for drawn sources is a sample of the sum."""
+    both = settle(symmetric(edges))
+    everywhere = sources is None
+    front = settle((nodes(edges) if sources is None else sources).select("graph_id", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+    levels, seen = [front], front.select("graph_id", "source", "node")
+    while True:
+        grown = front.join(both, ["graph_id", "node"]).groupBy("graph_id", "source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = settle(grown.join(seen, ["graph_id", "source", "node"], "left_anti"))
+        if not front.limit(1).count():
+            break
+        levels.append(front)
+        seen = seen.unionByName(front.select("graph_id", "source", "node"))
+    below = levels[-1].withColumn("need", F.lit(0.0))
+    total = [below]
+    for level in levels[-2:0:-1]:
+        down = level.join(both, ["graph_id", "node"]).join(below.select("graph_id", "source", F.col("node").alias("other"), (F.lit(1.0) + F.col("need")).alias("one"), F.col("paths").alias("theirs")), ["graph_id", "source", "other"])
+        got = down.groupBy("graph_id", "source", "node").agg(F.sum(F.col("paths") / F.col("theirs") * F.col("one")).alias("need"))
+        below = settle(level.join(got, ["graph_id", "source", "node"], "left").select("graph_id", "source", "node", "paths", F.coalesce("need", F.lit(0.0)).alias("need")))
+        total.append(below)
+    needs = total[0]
+    for t in total[1:]:
+        needs = needs.unionByName(t)
+    summed = needs.groupBy("graph_id", "node").agg((F.sum("need") / (2 if everywhere else 1)).alias("betweenness"))
+    return nodes(edges).join(summed, ["graph_id", "node"], "left").select("graph_id", "node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def high_share(values: DataFrame, value: str, q: float = 0.9) -> DataFrame:
+    """(graph_id, share): of nodes whose value is above its graph's interpolated quantile."""
+    top = values.groupBy("graph_id").agg(F.percentile(value, F.lit(q)).alias("cut"))
+    return values.join(top, "graph_id").groupBy("graph_id").agg(F.avg((F.col(value) > F.col("cut")).cast("double")).alias("share"))
+
+
+def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(graph_id, source, target, position, node) of one shortest path of each connected pair (graph_id, source, target): from the
+    target back, always to the smallest neighbour that is one step nearer to the source."""
+    both = settle(symmetric(edges))
+    reach = settle(bfs(edges, pairs.select("graph_id", F.col("source").alias("node")).distinct()))
+    here = settle(pairs.join(reach.withColumnRenamed("node", "target"), ["graph_id", "source", "target"]).select("graph_id", "source", "target", F.col("distance").alias("position"), F.col("target").alias("node")))
+    path = here
+    while True:
+        before = here.join(both, ["graph_id", "node"]).select("graph_id", "source", "target", (F.col("position") - 1).alias("distance"), F.col("other").alias("node"))
+        nearer = before.join(reach, ["graph_id", "source", "node", "distance"])
+        here = settle(nearer.groupBy("graph_id", "source", "target", F.col("distance").alias("position")).agg(F.min("node").alias("node")))
+        if not here.limit(1).count():
+            return path
+        path = path.unionByName(here)
+
+
 def path_lengths(edges: DataFrame) -> DataFrame:
     """Average shortest path and diameter of each graph's largest component."""
     big = largest_component(edges)
@@ -198,6 +265,48 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     return rank
 
 
+def eigenvector(edges: DataFrame, rounds: int = 50, weight: str | None = None) -> DataFrame:
+    """(graph_id, node, centrality): a fixed number of power iterations of A + I (A with weights, if a column is named), of length 1."""
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))
+    links = edges.select("graph_id", ends.alias("e"), w.alias("w")).select("graph_id", "e.node", "e.other", "w")
+    links = settle(links.unionByName(nodes(edges).select("graph_id", "node", F.col("node").alias("other"), F.lit(1.0).alias("w"))))
+    n = nodes(edges).groupBy("graph_id").agg(F.count("*").alias("n"))
+    x = nodes(edges).join(n, "graph_id").select("graph_id", "node", (1.0 / F.col("n")).alias("x"))
+    for step in range(rounds):
+        x = links.join(x, ["graph_id", "node"]).groupBy("graph_id", F.col("other").alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+        if step % 5 == 4 or step == rounds - 1:
+            x = settle(x)
+            norm = x.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+            x = x.join(norm, "graph_id").select("graph_id", "node", (F.col("x") / F.col("norm")).alias("x"))
+    return x.withColumnRenamed("x", "centrality")
+
+
 def static_order(features: DataFrame, by: Column) -> DataFrame:
-    """(graph_id, node, step): nodes by falling feature, smaller ids first on ties."""
-    return features.select("graph_id", "node", F.row_number().over(Window.partitionBy("graph_id").orderBy(by.desc(), "node")).cast("long").alias("step"))
+    """(graph_id, node, step): nodes by falling feature, smaller ids first on ties. Ranks are counts ahead by (feature, range of ids) and
+    places inside such a part, so that no task sorts a whole graph."""
+    rows = features.select("graph_id", "node", by.alias("_by"), F.shiftright("node", 16).alias("_range"))
+    part = ["graph_id", "_by", "_range"]
+    before = Window.partitionBy("graph_id").orderBy(F.desc("_by"), "_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*part).agg(F.count("*").alias("n")).select(*part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy("node"))
+    return rows.join(ahead, part).select("graph_id", "node", (F.col("ahead") + inside).cast("long").alias("step"))
+
+
+def features(edges: DataFrame) -> DataFrame:
+    """(graph_id, node, degree, clustering, core, betweenness): what strategies may look at."""
+    out = degree(edges)
+    for more in (clustering(edges), core_numbers(edges), betweenness(edges)):
+        out = out.join(more, ["graph_id", "node"])
+    return out
+
+
+def summary(edges: DataFrame) -> DataFrame:
+    """The feature record of each graph: average degree, variance of degrees, average path and diameter of the largest component (0 for
+    a single node), largest core number, share of nodes of high betweenness."""
+    out = degree_stats(edges).select("graph_id", "avg_degree", "degree_variance")
+    paths = path_lengths(edges).select("graph_id", F.col("avg_path").alias("apl_lcc"), F.col("diameter").alias("diameter_lcc"))
+    core = core_numbers(edges).groupBy("graph_id").agg(F.max("core").alias("max_core"))
+    high = high_share(betweenness(edges), "betweenness").withColumnRenamed("share", "bridge_ratio")
+    out = out.join(paths, "graph_id", "left").join(core, "graph_id").join(high, "graph_id")
+    return out.na.fill({"apl_lcc": 0.0, "diameter_lcc": 0})

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import cuts, kernels
+from .graph import static_order
 
 STRATEGIES = kernels.STRATEGIES | {"ratio_cut": cuts.by_ratio_cut, "cut_reinsertion": cuts.by_cut_reinsertion, "eigenvector": kernels._adaptive(kernels.eigenvector_of)}
 METRICS = "anc double, anc_prefix_k double, fht_50 long, fht_10 long, lcc_at_k double, k long"
@@ -23,12 +26,15 @@ def orders(edges: DataFrame, strategies: list[str]) -> DataFrame:
     return edges.withColumn("strategy", names).groupBy("graph_id", "strategy").applyInPandas(one, "graph_id string, strategy string, node long, step long")
 
 
-def _scored(edges: DataFrame, order: DataFrame, make, schema: str) -> DataFrame:
+def _scored(edges: DataFrame, order: DataFrame, make, schema: str, partial: bool = False) -> DataFrame:
+    """One row set a (graph, strategy). ``partial``: orders may be prefixes; the other nodes follow by id, and make gets the prefix too."""
+
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         steps = right.sort_values("step").node.tolist()
-        rows = make(kernels.adjacency(left.src, left.dst, steps), steps)
+        adj = kernels.adjacency(left.src, left.dst, steps)
+        rows = make(adj, steps + [v for v in adj if v not in set(steps)], steps) if partial else make(adj, steps)
         return rows.assign(graph_id=right.graph_id.iloc[0], strategy=right.strategy.iloc[0])[[c.split()[0] for c in schema.split(", ")]]
 
     edges, order = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (edges, order))  # own columns, where one is made from the other
@@ -41,6 +47,18 @@ def evaluate(edges: DataFrame, order: DataFrame) -> DataFrame:
     return _scored(edges, order, lambda adj, steps: pd.DataFrame([kernels.metrics(adj, steps)]), f"graph_id string, strategy string, {METRICS}")
 
 
+def prefix_anc(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """(graph_id, strategy, steps, anc) of orders of any length: the mean share of connected pairs left after each removal that the
+    order has; null without removals or pairs."""
+
+    def one(adj, steps, given):
+        cp, _ = kernels.connectivity(adj, steps)
+        n = len(given)
+        return pd.DataFrame({"steps": [n], "anc": [float(cp[1 : n + 1].sum() / (n * cp[0])) if n and cp[0] else None]})
+
+    return _scored(edges, order, one, "graph_id string, strategy string, steps long, anc double", partial=True)
+
+
 def step_series(edges: DataFrame, order: DataFrame) -> DataFrame:
     """(graph_id, strategy, step, cp, lcc): connected pairs and largest component after each step from 0 on."""
 
@@ -69,10 +87,52 @@ def truncated(points: DataFrame, stop: float, low: float = 1e-4) -> DataFrame:
 
 
 def summary(metrics: DataFrame) -> DataFrame:
-    """Mean and population deviation over graphs."""
+    """Means over graphs, the population deviation of ANC, and the k of the last graph; nulls are left out."""
     return metrics.groupBy("strategy").agg(F.avg("anc").alias("anc"), F.stddev_pop("anc").alias("anc_std"), F.avg("anc_prefix_k").alias("anc_prefix_k"), F.avg("fht_50").alias("fht_50"), F.avg("fht_10").alias("fht_10"), F.avg("lcc_at_k").alias("lcc_at_k"), F.max_by("k", "graph_id").alias("k"))
 
 
+#: Stages of an order by share of its steps.
+STAGES = (0.0, 0.1, 0.2, 0.4, 0.6, 1.0)
+
+
+def stages(order: DataFrame, bounds: tuple[float, ...] = STAGES) -> DataFrame:
+    """Adds stage (from 1) to the steps: parts of an order from floor(share * n) on; a part without a step is widened to one, which
+    then is in two stages."""
+    n = F.max("step").over(Window.partitionBy("graph_id", "strategy"))
+    slices = []
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False), 1):
+        start = F.floor(F.lit(low) * F.col("_n"))
+        end = F.col("_n") if k == len(bounds) - 1 else F.least(F.col("_n"), F.greatest(F.floor(F.lit(high) * F.col("_n")), start + 1))
+        slices.append(F.when((F.col("step") > start) & (F.col("step") <= end), F.lit(k)))
+    inside = F.filter(F.array(*slices), lambda x: x.isNotNull())
+    return order.withColumn("_n", n).withColumn("stage", F.explode(inside)).drop("_n")
+
+
+def stage_summary(staged: DataFrame, features: list[str]) -> DataFrame:
+    """(strategy, stage, feature, n, mean, std): population deviation of each feature in each stage, over graphs."""
+    pairs = F.expr(f"stack({len(features)}, {', '.join(f"'{c}', cast({c} as double)" for c in features)}) as (feature, x)")
+    return staged.select("strategy", "stage", pairs).groupBy("strategy", "stage", "feature").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+
+
+def window_limits(points: DataFrame, x: str, y: str, low: float, high: float) -> DataFrame:
+    """(strategy, y_min, y_max): 0.85 of the smallest and 1.03 of the largest value inside a range of x."""
+    return points.where(F.col(x).between(low, high)).groupBy("strategy").agg((F.min(y) * 0.85).alias("y_min"), (F.max(y) * 1.03).alias("y_max"))
+
+
+def fused_order(features: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """An order by a weighted sum of features, each scaled to [0, 1] inside its graph (0 where they hardly differ)."""
+    ends = features.groupBy("graph_id").agg(*(f(c).alias(f"_{k}_{c}") for c in weights for k, f in (("min", F.min), ("max", F.max))))
+    scaled = lambda c: F.when(F.col(f"_max_{c}") - F.col(f"_min_{c}") < 1e-12, 0.0).otherwise((F.col(c) - F.col(f"_min_{c}")) / (F.col(f"_max_{c}") - F.col(f"_min_{c}")))
+    score = functools.reduce(lambda a, b: a + b, (w * scaled(c) for c, w in weights.items()))
+    return static_order(features.join(ends, "graph_id").withColumn("score", F.round(score, 9)), F.col("score"))
+
+
+def best_k(found: DataFrame, value: str, k: int, *key: str) -> DataFrame:
+    """The k rows of each graph with the smallest values, ties by key."""
+    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy(value, *key))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def unvisited_ratio(neighbours: DataFrame, order: DataFrame) -> DataFrame:
     """At the moment a node goes: the share of its neighbours that are still there. neighbours: (graph_id, node, other)."""
     later = neighbours.join(order, ["graph_id", "node"]).join(order.select("graph_id", F.col("node").alias("other"), F.col("step").alias("o")), ["graph_id", "other"])

@@ -120,16 +120,36 @@ def by_community(adj: Adjacency, k: int, rng: random.Random) -> list[int]:
 
 
 def hybrid(adj: Adjacency, k: int, rng: random.Random) -> list[int]:
-    """A third from the top twentieth by degree, a third by a walk outwards from it, the rest by degree."""
+    """A third drawn from the top twentieth by degree (ties at its end included), a third by a walk outwards from a random node, the
+    rest by degree."""
+    if not adj:
+        return []
     ranked = _ranked(adj)
-    out = dict.fromkeys(ranked[: min(k // 3 or 1, max(1, len(ranked) // 20))])
-    queue = deque(out)
-    while queue and len(out) < 2 * k // 3:
-        for u in sorted(adj[queue.popleft()]):
-            if u not in out and len(out) < 2 * k // 3:
-                out[u] = None
+    least = len(adj[ranked[int(len(ranked) * 0.05)]])
+    top = [v for v in ranked if len(adj[v]) >= least]
+    out = dict.fromkeys(rng.sample(top, min(len(top), k // 3)))
+    start = rng.choice(sorted(adj))
+    seen, queue = {start: None}, deque([start])
+    while queue and len(seen) < k // 3:
+        near = sorted(adj[queue.popleft()])
+        rng.shuffle(near)
+        for u in near:
+            if u not in seen and len(seen) < k // 3:
+                seen[u] = None
                 queue.append(u)
-    return (list(out) + [v for v in ranked if v not in out])[:k]
+    return list(dict.fromkeys([*out, *seen, *ranked]))[:k]
+
+
+def by_core(adj: Adjacency, k: int, rng: random.Random) -> list[int]:
+    """By falling core number, in random order inside a number."""
+    core, left, level = {}, kernels._copy(adj), 0
+    while left:
+        v = min(left, key=lambda x: (len(left[x]), x))
+        level = max(level, len(left[v]))
+        core[v] = level
+        kernels._strip(left, v)
+    draws = {v: rng.random() for v in sorted(adj)}
+    return sorted(adj, key=lambda v: (-core[v], draws[v]))[:k]
 
 
 SAMPLERS: dict[str, Callable[[Adjacency, int, random.Random], list[int]]] = {
@@ -140,9 +160,35 @@ SAMPLERS: dict[str, Callable[[Adjacency, int, random.Random], list[int]]] = {
     "snowball": snowball,
     "by_community": by_community,
     "hybrid": hybrid,
+    "by_core": by_core,
 }
 
 
+QUALITY = "graph_id string, sampler string, n_nodes long, n_edges long, max_degree long, mean_degree double, clustering double, connected boolean, avg_path double"
+
+
+def repaired(adj: Adjacency, got: list[int]) -> list[int]:
+    """The largest connected part of a sample; where it has less than half of the sample, each node outside joins with a shortest path
+    to the smallest node of that part that it reaches."""
+    left, parts = set(got), []
+    while left:
+        part = set(kernels._ball({v: adj[v] & left for v in left}, min(left), len(left)))
+        parts.append(part)
+        left -= part
+    if len(parts) < 2:
+        return sorted(got)
+    big = set(max(parts, key=lambda p: (len(p), -min(p))))
+    if len(big) < len(got) // 2:
+        for v in sorted(set(got) - big):
+            far = kernels._ball(adj, v, len(adj))
+            met = sorted(u for u in big if u in far)
+            while met and far[met[0]]:
+                big.add(met[0])
+                met = sorted(u for u in adj[met[0]] if far.get(u, len(adj)) == far[met[0]] - 1)
+            big |= {v} if met else set()
+    return sorted(big)
+
+
 def sample(edges: DataFrame, names: list[str], k: int, seed: int = 42) -> DataFrame:
     """(graph_id, sampler, node): k nodes of each graph (all, if it has fewer), the same for the same seed."""
 
@@ -155,9 +201,20 @@ def sample(edges: DataFrame, names: list[str], k: int, seed: int = 42) -> DataFr
 
 
 def quality(edges: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Nodes and edges of each sample, and its largest and mean degree inside."""
+    """Of each sample: nodes, edges, largest and mean degree, mean clustering, whether it is connected, and the average path if so.
+    One task a sample, whose size the sampler bounds."""
     pick = sampled.select("graph_id", "sampler", "node")
     inside = edges.join(pick.withColumnRenamed("node", "src"), ["graph_id", "src"]).join(pick.withColumnRenamed("node", "dst"), ["graph_id", "sampler", "dst"])
-    deg = inside.select("graph_id", "sampler", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph_id", "sampler", "node").agg(F.count("*").alias("d"))
-    rows = pick.join(deg, ["graph_id", "sampler", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    return rows.groupBy("graph_id", "sampler").agg(F.count("*").alias("n_nodes"), (F.sum("d") / 2).cast("long").alias("n_edges"), F.max("d").alias("max_degree"), F.avg("d").alias("mean_degree"))
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        adj = kernels.adjacency(left.src, left.dst, right.node)
+        size = [len(s) for s in adj.values()]
+        tri = [sum(len(adj[u] & s) for u in s) / (len(s) * (len(s) - 1)) if len(s) > 1 else 0.0 for s in adj.values()]
+        balls = [kernels._ball(adj, v, len(adj)) for v in adj]
+        whole = all(len(b) == len(adj) for b in balls)
+        path = sum(sum(b.values()) for b in balls) / (len(adj) * (len(adj) - 1)) if whole and len(adj) > 1 else None
+        row = (right.graph_id.iloc[0], right.sampler.iloc[0], len(adj), sum(size) // 2, max(size), sum(size) / len(size), sum(tri) / len(tri), whole, path)
+        return pd.DataFrame([row], columns=[c.split()[0] for c in QUALITY.split(", ")])
+
+    key = ("graph_id", "sampler")
+    return inside.select(*key, "src", "dst").groupBy(*key).cogroup(pick.select(*(F.col(c).alias(c) for c in pick.columns)).groupBy(*key)).applyInPandas(one, QUALITY)

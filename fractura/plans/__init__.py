@@ -1 +1,6 @@
-"""Part of fractura."""
+"""Registered queries: importing this package fills ``QUERIES`` and ``SQL``."""
+
+from . import catalog, networks
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "catalog", "networks"]

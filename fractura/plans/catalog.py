@@ -1,296 +1,18 @@
-"""Registered queries and their SQL. Graphs and traces are derived from the star-schema tables."""
+"""Queries of the evolutionary loop, of texts and of reports."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fractura.operators import evolve, graph, orders, perturb, reports, samplers, search, text
+from fractura.operators import evolve, reports, text
 from fractura.session import read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
-
+from .inputs import trace
+from .registry import query, rounded
 
-# --- derived inputs
-
-E = "e AS (SELECT DISTINCT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09), c AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e)"
-S = E + ", s AS (SELECT src AS node, dst AS other FROM c UNION ALL SELECT dst, src FROM c), n AS (SELECT DISTINCT node FROM s), d AS (SELECT node, count(*) AS degree FROM s GROUP BY node)"
-D = """e AS (SELECT DISTINCT 2 * l_suppkey AS src, 2 * c_nationkey + 1 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity >= 50),
-f AS (SELECT src, dst FROM e UNION SELECT e.src, g.src FROM e JOIN e g ON e.dst = g.dst AND e.src < g.src AND (e.src + g.src) % 7 = 0),
-c AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM f), s AS (SELECT src AS node, dst AS other FROM c UNION ALL SELECT dst, src FROM c), d AS (SELECT node, count(*) AS degree FROM s GROUP BY node)"""
-REACH = S + ", r(a, b) AS (SELECT node, node FROM n UNION SELECT r.a, s.other FROM r JOIN s ON s.node = r.b), k AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a), z AS (SELECT component, count(*) AS size FROM k GROUP BY component)"
-RANK = S + ", o AS (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS step FROM d)"
-STEPS = RANK + """, g AS (SELECT s.node, s.other, least(x.step, y.step) AS death FROM s JOIN o x ON x.node = s.node JOIN o y ON y.node = s.other),
-t AS (SELECT unnest(range(0, (SELECT count(*) FROM o) + 1)) AS step),
-r(step, a, b) AS (SELECT t.step, o.node, o.node FROM t JOIN o ON o.step > t.step UNION SELECT r.step, r.a, g.other FROM r JOIN g ON g.node = r.b AND g.death > r.step),
-q AS (SELECT step, a, count(*) AS size FROM r GROUP BY step, a), u AS (SELECT t.step, coalesce(sum(size - 1) // 2, 0)::BIGINT AS cp, coalesce(max(size), 0)::BIGINT AS lcc FROM t LEFT JOIN q ON q.step = t.step GROUP BY t.step)"""
 T = "t AS (SELECT event_id AS id, day(ts)::BIGINT AS generation, event_type AS operator, value AS objective, props AS code FROM events)"
 
-
-def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.09")
-    return graph.canonical(rows.select(F.lit("ps").alias("graph_id"), (2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")))
-
-
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read(spark, sf_dir, "lineitem").where("l_quantity >= 50").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    e = li.select(F.lit("sn").alias("graph_id"), (2 * F.col("l_suppkey")).alias("src"), (2 * F.col("c_nationkey") + 1).cast("long").alias("dst")).distinct()
-    pair = e.alias("x").join(e.alias("y"), (F.col("x.dst") == F.col("y.dst")) & (F.col("x.src") < F.col("y.src")) & ((F.col("x.src") + F.col("y.src")) % 7 == 0)).select("x.graph_id", "x.src", F.col("y.src").alias("dst"))
-    return graph.canonical(e.unionByName(pair))
-
-
-def years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.05")
-    return graph.canonical(rows.select(F.year("l_shipdate").cast("string").alias("graph_id"), (2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")))
-
-
-def static(edges: DataFrame) -> DataFrame:
-    return graph.static_order(graph.degree(edges), F.col("degree")).withColumn("strategy", F.lit("static"))
-
-
-def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), F.col("event_type").alias("operator"), F.col("value").alias("objective"), F.col("props").alias("code"))
-
-
-# --- graph primitives
-
-
-@query(f"WITH {E} SELECT 'ps' AS graph_id, src, dst FROM c")
-def edges_canonical(spark, d):
-    return part_supp(spark, d)
-
-
-@query(f"WITH {S} SELECT 'ps' AS graph_id, node, degree FROM d")
-def degree(spark, d):
-    return graph.degree(part_supp(spark, d))
-
-
-@query("WITH w AS (SELECT 2 * l_partkey AS node, l_discount AS x FROM lineitem UNION ALL SELECT 2 * l_suppkey + 1, l_discount FROM lineitem) SELECT 'ps' AS graph_id, node, round(sum(x), 6) AS strength FROM w GROUP BY node")
-def strength(spark, d):
-    e = read(spark, d, "lineitem").select(F.lit("ps").alias("graph_id"), (2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"), F.col("l_discount").alias("weight"))
-    return rounded(graph.strength(e), "strength")
-
-
-@query(f"WITH {S} SELECT 'ps' AS graph_id, count(*) AS n_nodes, (sum(degree) // 2)::BIGINT AS n_edges, round(avg(degree), 6) AS avg_degree, round(var_pop(degree), 6) AS degree_variance FROM d")
-def degree_stats(spark, d):
-    return rounded(graph.degree_stats(part_supp(spark, d)), "avg_degree", "degree_variance")
-
-
-@query(f"WITH {S} SELECT 'ps' AS graph_id, src, dst FROM c WHERE src IN (SELECT node FROM d WHERE degree >= 2) AND dst IN (SELECT node FROM d WHERE degree >= 2)")
-def induced_subgraph(spark, d):
-    e = part_supp(spark, d)
-    return graph.induced(e, graph.degree(e).where("degree >= 2"))
-
-
-@query(f"WITH {S} SELECT 'ps' AS graph_id, src, dst FROM c WHERE src NOT IN (SELECT node FROM d WHERE degree >= 3) AND dst NOT IN (SELECT node FROM d WHERE degree >= 3)")
-def node_removal(spark, d):
-    e = part_supp(spark, d)
-    return graph.without_nodes(e, graph.degree(e).where("degree >= 3"))
-
-
-@query(f"WITH {E} SELECT 'ps' AS graph_id, src, dst FROM c UNION SELECT 'ps', least(src, dst + 2), greatest(src, dst + 2) FROM c WHERE src <> dst + 2")
-def edge_insertion(spark, d):
-    e = part_supp(spark, d)
-    return graph.with_edges(e, e.select("graph_id", "src", (F.col("dst") + 2).alias("dst")))
-
-
-@query(f"WITH {D}, t AS (SELECT x.node, count(*) AS n FROM s x JOIN s y ON x.node = y.node AND x.other < y.other JOIN c ON c.src = x.other AND c.dst = y.other GROUP BY x.node) SELECT 'sn' AS graph_id, d.node, round(CASE WHEN degree < 2 THEN 0 ELSE 2 * coalesce(n, 0) / (degree * (degree - 1)) END, 6) AS clustering FROM d LEFT JOIN t ON t.node = d.node")
-def clustering(spark, d):
-    return rounded(graph.clustering(dense(spark, d)), "clustering")
-
-
-@query(f"WITH {D}, t AS (SELECT x.node, count(*) AS n FROM s x JOIN s y ON x.node = y.node AND x.other < y.other JOIN c ON c.src = x.other AND c.dst = y.other GROUP BY x.node) SELECT 'sn' AS graph_id, round(avg(CASE WHEN degree < 2 THEN 0 ELSE 2 * coalesce(n, 0) / (degree * (degree - 1)) END), 6) AS avg_clustering FROM d LEFT JOIN t ON t.node = d.node")
-def avg_clustering(spark, d):
-    return rounded(graph.clustering(dense(spark, d)).groupBy("graph_id").agg(F.avg("clustering").alias("avg_clustering")), "avg_clustering")
-
-
-@query(f"WITH {S}, a AS (SELECT avg(degree) AS m FROM d) SELECT 'ps' AS graph_id, s.node, round(avg(CASE WHEN d.degree <= a.m THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS fragility FROM s JOIN d ON d.node = s.other, a GROUP BY s.node")
-def fragility(spark, d):
-    return rounded(graph.fragility(part_supp(spark, d)), "fragility")
-
-
-@query(f"WITH RECURSIVE {REACH} SELECT 'ps' AS graph_id, node, component FROM k")
-def components(spark, d):
-    return graph.components(part_supp(spark, d))
-
-
-@query(f"WITH RECURSIVE {REACH} SELECT 'ps' AS graph_id, count(*) AS n_components, max(size) AS largest, sum(size * (size - 1) // 2)::BIGINT AS connected_pairs, count(*) = 1 AS connected, (SELECT count(*) FROM c) = sum(size) - count(*) AS forest FROM z")
-def pairwise_connectivity(spark, d):
-    return graph.pairwise_connectivity(part_supp(spark, d))
-
-
-@query(f"WITH RECURSIVE {REACH} SELECT 'ps' AS graph_id, node FROM k WHERE component = (SELECT component FROM z ORDER BY size DESC, component LIMIT 1)")
-def largest_component(spark, d):
-    return graph.largest_component(part_supp(spark, d))
-
-
-@query()
-def two_core(spark, d):
-    return graph.k_core(dense(spark, d), 2)
-
-
-BFS = REACH + ", b AS (SELECT component FROM z ORDER BY size DESC, component LIMIT 1), m AS (SELECT node FROM k WHERE component = (SELECT component FROM b)), w(a, x, l) AS (SELECT node, node, 0 FROM m UNION SELECT w.a, s.other, l + 1 FROM w JOIN s ON s.node = w.x WHERE l < 14), y AS (SELECT a, x, min(l) AS l FROM w GROUP BY a, x)"
-
-
-@query(f"WITH RECURSIVE {BFS} SELECT 'ps' AS graph_id, a AS source, x AS node, l AS distance FROM y WHERE l = 3")
-def bfs_boundary(spark, d):
-    e = part_supp(spark, d)
-    return graph.bfs(e, graph.largest_component(e), 3).where("distance = 3")
-
-
-@query(f"WITH RECURSIVE {BFS} SELECT 'ps' AS graph_id, round(avg(l), 6) AS avg_path, max(l) AS diameter FROM y WHERE a <> x")
-def apl_diameter(spark, d):
-    return rounded(graph.path_lengths(part_supp(spark, d)), "avg_path")
-
-
-@query()
-def pagerank(spark, d):
-    return rounded(graph.pagerank(part_supp(spark, d), 10), "rank")
-
-
-# --- orders and metrics
-
-
-@query(f"WITH {RANK} SELECT 'ps' AS graph_id, node, step, 'static' AS strategy FROM o")
-def order_static_degree(spark, d):
-    return static(part_supp(spark, d))
-
-
-@query(f"WITH RECURSIVE {STEPS} SELECT 'ps' AS graph_id, 'static' AS strategy, step, cp, lcc FROM u")
-def step_series(spark, d):
-    e = part_supp(spark, d)
-    return orders.step_series(e, static(e))
-
-
-@query(f"""WITH RECURSIVE {STEPS}, v AS (SELECT *, max(step) OVER () AS n, max(CASE WHEN step = 0 THEN cp END) OVER () AS c0 FROM u), k AS (SELECT greatest(1, floor(0.15 * max(n)))::BIGINT AS k FROM v)
-SELECT 'ps' AS graph_id, 'static' AS strategy, round(sum(CASE WHEN step > 0 THEN cp / c0 END) / max(n), 6) AS anc, round(sum(CASE WHEN step BETWEEN 1 AND k THEN cp / c0 END) / max(k), 6) AS anc_prefix_k,
- min(CASE WHEN step > 0 AND cp / c0 <= 0.5 THEN step END) AS fht_50, min(CASE WHEN step > 0 AND cp / c0 <= 0.1 THEN step END) AS fht_10, round(max(CASE WHEN step = k THEN lcc END) / max(n), 6) AS lcc_at_k, max(k) AS k FROM v, k""")
-def anc_static_degree(spark, d):
-    e = part_supp(spark, d)
-    return rounded(orders.evaluate(e, static(e)), "anc", "anc_prefix_k", "lcc_at_k")
-
-
-CURVE = STEPS + ", v AS (SELECT *, max(step) OVER () AS n, max(CASE WHEN step = 0 THEN cp END) OVER () AS c0, max(CASE WHEN step = 0 THEN lcc END) OVER () AS l0 FROM u), p AS (SELECT step, step / n AS removed, lcc / l0 AS lcc_ratio, cp / c0 AS cp_ratio FROM v WHERE step <= least(n, ceil(n * 0.7)))"
-
-
-@query(f"WITH RECURSIVE {CURVE} SELECT 'ps' AS graph_id, 'static' AS strategy, step, round(removed, 6) AS removed, round(lcc_ratio, 6) AS lcc_ratio, round(cp_ratio, 6) AS cp_ratio FROM p")
-def dismantling_curve(spark, d):
-    return rounded(orders.curve(step_series(spark, d)), "removed", "lcc_ratio", "cp_ratio")
-
-
-@query(f"WITH RECURSIVE {CURVE} SELECT 'ps' AS graph_id, 'static' AS strategy, step, round(least(greatest(cp_ratio, 1e-4), 1.0), 6) AS cp_clipped FROM p WHERE step <= coalesce((SELECT min(step) FROM p WHERE cp_ratio <= 0.05), step)")
-def curve_truncated(spark, d):
-    return rounded(orders.truncated(orders.curve(step_series(spark, d)), 0.05), "cp_clipped")
-
-
-@query(f"WITH {RANK} SELECT 'ps' AS graph_id, s.node, max(x.step) AS step, round(avg(CASE WHEN y.step > x.step THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS ratio FROM s JOIN o x ON x.node = s.node JOIN o y ON y.node = s.other GROUP BY s.node")
-def unvisited_ratio(spark, d):
-    e = part_supp(spark, d)
-    return rounded(orders.unvisited_ratio(graph.symmetric(e), static(e)), "ratio")
-
-
-@query("SELECT event_id, event_type, round(CASE WHEN count(*) OVER g = 1 THEN 0.5 ELSE (rank() OVER (PARTITION BY event_type ORDER BY value) - 1 + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2) / (count(*) OVER g - 1) END, 6) AS percentile FROM events WINDOW g AS (PARTITION BY event_type)")
-def percentile_rank(spark, d):
-    return rounded(orders.percentile_rank(read(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "value").drop("value"), "percentile")
-
-
-@query()
-def strategies_by_year(spark, d):
-    e = years(spark, d)
-    return rounded(orders.evaluate(e, orders.orders(e, ["degree", "core", "influence", "min_sum", "seed_unvisited", "seed_fewest_visited", "seed_sqrt", "seed_log"])), "anc", "anc_prefix_k", "lcc_at_k")
-
-
-@query()
-def strategies_small(spark, d):
-    e = part_supp(spark, d).where("src % 3 = 0").withColumn("graph_id", F.lit("third"))
-    return rounded(orders.evaluate(e, orders.orders(e, ["betweenness", "closeness", "pagerank", "belief"])), "anc", "anc_prefix_k", "lcc_at_k")
-
-
-@query()
-def instance_summary(spark, d):
-    e = years(spark, d)
-    return rounded(orders.summary(orders.evaluate(e, orders.orders(e, ["degree", "core"]))), "anc", "anc_std", "anc_prefix_k", "fht_50", "fht_10", "lcc_at_k")
-
-
-# --- perturbation and sampling
-
-
-@query(f"WITH {E}, r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 42, src, dst)), src, dst) AS r, count(*) OVER () AS n FROM c) SELECT 'ps' AS graph_id, src, dst FROM r WHERE r > greatest(1, round(n * 0.2))")
-def perturb_edges(spark, d):
-    return perturb.drop_edges(part_supp(spark, d), 0.2, 42)
-
-
-@query(f"WITH {S}, r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', 43, node)), node) AS r, count(*) OVER () AS n FROM n), g AS (SELECT node FROM r WHERE r <= greatest(1, round(n * 0.1))) SELECT 'ps' AS graph_id, src, dst FROM c WHERE src NOT IN (SELECT node FROM g) AND dst NOT IN (SELECT node FROM g)")
-def perturb_nodes(spark, d):
-    e = part_supp(spark, d)
-    return graph.without_nodes(e, perturb.pick_nodes(graph.nodes(e), 0.1, 43))
-
-
-@query(f"WITH {D}, t AS (SELECT node FROM d ORDER BY degree DESC, node LIMIT 40) SELECT 'sn' AS graph_id, src, dst FROM c WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)")
-def sample_degree(spark, d):
-    e = dense(spark, d)
-    return graph.induced(e, perturb.top_degree(graph.degree(e), 40))
-
-
-@query()
-def samples(spark, d):
-    return samplers.sample(dense(spark, d), list(samplers.SAMPLERS), 40)
-
-
-@query()
-def sample_quality(spark, d):
-    e = dense(spark, d)
-    return rounded(samplers.quality(e, samplers.sample(e, list(samplers.SAMPLERS), 40)), "mean_degree")
-
-
-# --- searches and cuts
-
-
-@query()
-def cut_orders(spark, d):
-    e = years(spark, d)
-    return rounded(orders.evaluate(e, orders.orders(e, ["ratio_cut", "cut_reinsertion"])), "anc", "anc_prefix_k", "lcc_at_k")
-
-
-@query()
-def annealed_orders(spark, d):
-    return rounded(search.best_of(search.searched(dense(spark, d), "anneal", [1, 2, 3], steps=100)), "anc")
-
-
-@query()
-def bred_orders(spark, d):
-    return rounded(search.best_of(search.searched(dense(spark, d), "breed", [1, 2], generations=10)), "anc")
-
-
-@query(f"WITH {RANK}, f AS (SELECT node, step FROM o WHERE step <= 20) SELECT 'ps' AS graph_id, n.node, row_number() OVER (ORDER BY f.step NULLS LAST, n.node) AS step FROM n LEFT JOIN f ON f.node = n.node")
-def order_completion(spark, d):
-    e = part_supp(spark, d)
-    return search.completed(static(e).where("step <= 20"), graph.nodes(e))
-
-
-@query("WITH r AS (SELECT least(2 * l_partkey, 2 * l_suppkey + 1) AS src, greatest(2 * l_partkey, 2 * l_suppkey + 1) AS dst FROM lineitem) SELECT 'ps' AS graph_id, node, 0.0::DOUBLE AS clustering FROM (SELECT src AS node FROM r UNION SELECT dst FROM r)")
-def clustering_of_two_sided_graph(spark, d):
-    e = read(spark, d, "lineitem").select(F.lit("ps").alias("graph_id"), (2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst"))
-    return graph.weighted_clustering(graph.canonical(e).withColumn("weight", F.lit(1.0)))
-
-
 # --- evolution
 
 SURV = T + ", a AS (SELECT *, row_number() OVER (PARTITION BY generation, code ORDER BY objective, id) AS r FROM t WHERE objective IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY generation, objective ORDER BY objective, id) AS q FROM a WHERE r = 1), v AS (SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY objective, id) AS rank, id, objective FROM b WHERE q = 1)"

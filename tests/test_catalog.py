@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from fractura.plans import catalog
+from fractura import plans
 
 DATA = "/root/testdata/sf0.001"
 
@@ -17,14 +17,14 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, db, name):
-    got = catalog.QUERIES[name](spark, DATA)
+    got = plans.QUERIES[name](spark, DATA)
     rows, cols = got.collect(), sorted(got.columns)
-    if name not in catalog.SQL:
+    if name not in plans.SQL:
         assert cols
         return
-    want = db.sql(catalog.SQL[name])
+    want = db.sql(plans.SQL[name])
     names = list(want.columns)
     assert sorted(names) == cols
     key = lambda r: tuple(map(str, r))
