@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,15 +37,6 @@ def operator_stats(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("generation", "operator").agg(F.count("*").alias("offspring"), F.count("objective").alias("valid"), F.min("objective").alias("best"), F.avg("objective").alias("mean"))
 
 
-def rewards(stats: DataFrame) -> DataFrame:
-    """clip(1.6 improvement + 0.5 valid share ... - 0.3 failed share, -1, 1), improvement against the best of the generation before."""
-    best = stats.groupBy("generation").agg(F.min("best").alias("g_best"))
-    before = best.select((F.col("generation") + 1).alias("generation"), F.col("g_best").alias("last_best"))
-    gain = F.greatest(F.lit(0.0), (F.col("last_best") - F.col("best")) / F.greatest(F.abs("last_best"), F.lit(1e-8)))
-    valid = F.col("valid") / F.col("offspring")
-    return stats.join(before, "generation", "left").select("generation", "operator", clip(1.6 * F.coalesce(gain, F.lit(0.0)) + 0.2 * valid - 0.3 * (1 - valid), -1.0, 1.0).alias("reward"))
-
-
 def best_so_far(trace: DataFrame) -> DataFrame:
     """(generation, best, best_so_far, improves, delta): improvement is strict by 1e-12; the first row improves with delta 0."""
     g = trace.groupBy("generation").agg(F.min("objective").alias("best"))
@@ -52,6 +45,13 @@ def best_so_far(trace: DataFrame) -> DataFrame:
     return g.withColumn("before", before).select("generation", "best", F.least("best", F.coalesce("before", "best")).alias("best_so_far"), (F.col("before").isNull() | (F.col("best") < F.col("before") - 1e-12)).alias("improves"), F.when(F.col("best") < F.col("before") - 1e-12, F.col("before") - F.col("best")).otherwise(0.0).alias("delta"))
 
 
+def greedy(chain: DataFrame) -> DataFrame:
+    """(operator, generation, objective, accepted): a single solution per operator, replaced only by a strictly better one."""
+    before = F.min("objective").over(Window.partitionBy("operator").orderBy("generation").rowsBetween(Window.unboundedPreceding, -1))
+    better = F.col("objective") < F.coalesce(before, F.lit(float("inf")))
+    return chain.select("operator", "generation", "objective", F.coalesce(better, F.lit(False)).alias("accepted"))
+
+
 def population_state(trace: DataFrame) -> DataFrame:
     """Diversity of each generation: (q90 - q10) / (|median| + 1e-8), clipped; validity: share of non-null objectives."""
     q = lambda p: F.percentile("objective", F.lit(p))
@@ -64,28 +64,23 @@ def early_stop(curve: DataFrame, patience: int) -> DataFrame:
     return curve.withColumn("stale", (F.col("generation") - last).cast("long")).select("generation", "stale", (F.col("stale") >= patience).alias("stop"))
 
 
-def memory_window(items: DataFrame, budget: int, extra: int = 8, most: int = 50) -> DataFrame:
-    """The latest items of each group whose lengths (and ``extra`` each) sum up to the budget, at most ``most``."""
+def memory_window(items: DataFrame, budget: int, extra: int = 8, most: int = 50, longest: int = 1200, show: int = 10) -> DataFrame:
+    """The latest items of each group whose lengths (of ``longest`` at most, and ``extra`` each) sum up to the budget, at most ``most``,
+    but always the last one; ``shown`` marks the ``show`` latest."""
     w = Window.partitionBy("grp").orderBy(F.desc("pos"))
-    rows = items.withColumn("used", F.sum(F.col("size") + extra).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.row_number().over(w))
-    return rows.where((F.col("used") <= budget) & (F.col("r") <= most)).select("grp", "pos", F.col("used").cast("long").alias("used"))
-
-
-def schedule(progress: DataFrame) -> DataFrame:
-    """Phase weights by progress: below 0.3 mutation x 1.5 and others x 0.8, below 0.7 unchanged, then crossover x 1.5; in [0.1, 1]."""
-    p, role = F.col("progress"), F.substring("operator", 1, 1)
-    factor = F.when(p < 0.3, F.when(role == "m", 1.5).otherwise(0.8)).when(p < 0.7, 1.0).otherwise(F.when(role == "e", 1.5).otherwise(0.8))
-    return progress.select("generation", "operator", clip(F.col("weight") * factor, 0.1, 1.0).alias("weight"))
+    size = F.least("size", F.lit(longest)) + extra
+    rows = items.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("r", F.row_number().over(w))
+    return rows.where(((F.col("used") <= budget) & (F.col("r") <= most)) | (F.col("r") == 1)).select("grp", "pos", F.col("used").cast("long").alias("used"), (F.col("r") <= show).alias("shown"))
 
 
 def search_state(trace: DataFrame, back: int = 5) -> DataFrame:
     """(generation, d, i, s, v): diversity; improvement on the best ``back`` generations ago (else the oldest), as a share of 0.15;
-    the streak of generations just before whose best is the same within tolerance, as a share of 5; validity. All in [0, 1]; without a
+    the streak of generations just before whose best is the same within tolerance, as a share of ``back`` (no more of them are looked at); validity. All in [0, 1]; without a
     valid objective 0, 0, 1 and the validity."""
     best = trace.groupBy("generation").agg(F.min("objective").alias("best"))
     w = Window.orderBy("generation")
     old = F.coalesce(F.lag("best", back).over(w), F.first("best", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.collect_list("best").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.collect_list("best").over(w.rowsBetween(-back, -1))
     same = F.greatest(F.lit(1e-6), 1e-4 * F.abs("best"))
     other = F.transform("before", lambda x, k: F.when(F.abs(x - F.col("best")) > F.col("same"), k + 1).otherwise(0))
     rows = best.withColumns({"old": old, "before": before, "same": same})
@@ -96,39 +91,46 @@ def search_state(trace: DataFrame, back: int = 5) -> DataFrame:
         "generation",
         F.when(none, 0.0).otherwise(F.col("diversity")).alias("d"),
         F.when(none, 0.0).otherwise(i).alias("i"),
-        F.when(none, 1.0).otherwise(clip(F.col("streak") / 5)).alias("s"),
+        F.when(none, 1.0).otherwise(clip(F.col("streak") / back)).alias("s"),
         F.col("validity").alias("v"),
     )
 
 
-def phase_mixture(state: DataFrame, heat: float = 0.7) -> DataFrame:
-    """Shares of exploring, changing over and exploiting: softmax of linear scores of the state, to four places."""
-    d, i, s, v = (F.col(c) for c in "disv")
-    scores = {"explore": 1.2 * d + 1.0 * s - 0.8 * i + 0.15 * (1 - v), "transition": 1 - 2 * F.abs(d - 0.5) - 0.5 * s + 0.10 * v, "exploit": 1.3 * (1 - d) + 1.0 * i - 1.2 * s + 0.20 * v}
-    rows = state.withColumns({k: F.exp(F.round(x, 4) / heat) for k, x in scores.items()})
-    total = F.col("explore") + F.col("transition") + F.col("exploit")
-    return rows.select("generation", *(F.round(F.col(k) / total, 4).alias(k) for k in scores))
-
-
-def pressures(state: DataFrame) -> DataFrame:
-    """The continuous schedule: explore and exploit pressures, the phase (a lead of more than 0.12), and the factor of each operator role."""
-    d, i, s = (F.col(c) for c in "dis")
-    e, x = F.col("explore"), F.col("exploit")
-    rows = state.withColumns({"explore": clip(0.55 * d + 0.60 * s - 0.25 * i), "exploit": clip(0.70 * (1 - d) + 0.55 * i - 0.45 * s)})
-    change = clip(1 - F.abs(e - x))
-    phase = F.when(x - e > 0.12, "exploit").when(e - x > 0.12, "explore").otherwise("transition")
-    return rows.select("generation", phase.alias("phase"), (0.75 + 0.90 * e).alias("mutation"), (0.75 + 0.95 * x).alias("crossover"), (0.70 + 0.60 * change + 0.20 * d).alias("other"))
-
-
 def credit(rewards: DataFrame, keep: float = 0.75) -> DataFrame:
     """Exponential averages of rewards per operator, from 0: one ordered fold a group."""
     got = rewards.groupBy("operator").agg(F.transform(F.array_sort(F.collect_list(F.struct("generation", "reward"))), lambda x: x.reward).alias("r"))
     return got.select("operator", F.aggregate("r", F.lit(0.0), lambda c, x: keep * c + (1 - keep) * x).alias("credit"))
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k largest dot products of each query with all vectors, its own left out; a stated query set against all rows."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = queries.select(F.col("id").alias("query"), F.col("vec").alias("q")).join(vectors.select("id", F.col("vec").alias("v")), F.col("query") != F.col("id"))
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096) -> DataFrame:
+    """The k largest dot products of each query with all vectors (id, vec), its own left out; a stated query set against all rows.
+
+    Both sides are put together in blocks of about ``rows``; each two blocks meet in one task, which leaves k rows a query. Null
+    vectors, and those of another length than a block's first, take no part.
+    """
+
+    def packed(side: DataFrame, name: str, n: int) -> DataFrame:
+        some = side.where("vec is not null").select(F.pmod(F.xxhash64("id"), F.lit(n)).alias(name), "id", F.col("vec").cast("array<double>").alias("vec"))
+        return some.groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("vec").alias(f"{name}_vecs"))
+
+    nq, nv = (max(1, -(-side.count() // rows)) for side in (queries, vectors))
+    asked = packed(queries, "q", nq).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))))
+    pairs = asked.join(packed(vectors, "v", nv), "v")
+
+    def look(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                width = len(row["q_vecs"][0])
+                q, v = ([(i, x) for i, x in zip(row[f"{c}_ids"], row[f"{c}_vecs"], strict=True) if len(x) == width] for c in "qv")
+                if not v:
+                    continue
+                ids, own, x = (np.array([i for i, _ in q], np.int64), np.array([i for i, _ in v], np.int64), np.array([y for _, y in v]))
+                for i, y in zip(ids, (np.array(y) for _, y in q), strict=True):
+                    dot = (x * y).sum(axis=1)
+                    other = np.flatnonzero(own != i)
+                    best = other[np.lexsort((own[other], -dot[other]))][:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), i)), pa.array(own[best]), pa.array(dot[best])], ["query", "id", "dot"])
+
+    found = pairs.select("q_ids", "q_vecs", "v_ids", "v_vecs").mapInArrow(look, "query long, id long, dot double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("dot"), "id"))
-    return pairs.select("query", "id", dot.alias("dot")).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 from collections import deque
 from collections.abc import Callable
 
@@ -107,20 +108,28 @@ def _two_core(adj: Adjacency) -> Adjacency:
 
 
 def decycle(adj: Adjacency) -> list[int]:
-    """Removes the node of highest degree inside the 2-core until there is none."""
+    """Removes the node of highest degree inside the 2-core until there is none. A heap with outdated entries skipped."""
     core, out = _two_core(adj), []
-    while core:
-        v = min(core, key=lambda x: (-len(core[x]), x))
+    heap = [(-len(s), v) for v, s in core.items()]
+    heapq.heapify(heap)
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v not in core or -d != len(core[v]):
+            continue
         out.append(v)
-        near = core[v]
+        touched = set(core[v])
         _strip(core, v)
-        weak = [u for u in near if len(core[u]) < 2]
+        weak = [u for u in touched if len(core[u]) < 2]
         while weak:
             u = weak.pop()
             if u in core:
                 more = core[u]
                 _strip(core, u)
+                touched |= more
                 weak += [w for w in more if len(core[w]) < 2]
+        for u in touched:
+            if u in core:
+                heapq.heappush(heap, (-len(core[u]), u))
     return out
 
 
@@ -276,6 +285,70 @@ def _seeded(key: Callable[[int, int, int], tuple]) -> Callable[[Adjacency], list
     return order
 
 
+def by_rule(adj: Adjacency, rule: Callable[[Adjacency, list[int]], int], residual: bool = False, robust: bool = False) -> list[int]:
+    """An order by a caller's rule(graph, nodes left) -> next node. The rule sees the whole graph, or with ``residual`` what is left of
+    it. Where it raises, the node left of the largest degree in the whole graph goes, the smallest on ties; so it does with ``robust``
+    where the rule names a node that is unknown or gone (with ``residual`` the first node left), which else is an error."""
+    left, seen, out = dict.fromkeys(adj), _copy(adj), []
+    while left:
+        names = list(left)
+        fallback = min(names, key=lambda v: (-len(adj[v]), v))
+        try:
+            v = rule(seen, names)
+        except Exception:  # noqa: BLE001
+            v = fallback
+        if v not in left:
+            if not (robust or residual):
+                raise ValueError(f"the rule names {v!r}, which is unknown or gone")
+            v = names[0] if residual else fallback
+        del left[v]
+        out.append(v)
+        if residual:
+            _strip(seen, v)
+    return out
+
+
+def by_random_ties(adj: Adjacency, centrality: Callable[[Adjacency], dict[int, float]], seed: int) -> list[int]:
+    """Adaptive by a centrality; ties are broken at random."""
+    rng, left, out = random.Random(seed), _copy(adj), []
+    while left:
+        c = centrality(left)
+        top = max(c.values())
+        out.append(v := rng.choice(sorted(x for x in c if c[x] >= top - 1e-12)))
+        _strip(left, v)
+    return out
+
+
+def degree_of(adj: Adjacency) -> dict[int, float]:
+    return {v: float(len(s)) for v, s in adj.items()}
+
+
+CENTRALITIES = {"degree": degree_of, "betweenness": betweenness_of, "closeness": closeness_of, "pagerank": pagerank_of}
+
+
+def weighted_eigenvector_of(adj: Adjacency, weight: dict[tuple[int, int], float], tolerance: float = 1e-6, rounds: int = 5000) -> dict[int, float]:
+    """Of the matrix of weights (by (smaller, larger) pair), of length 1: power iteration on it and the identity, and where that does not
+    converge the first vector of a dense solver."""
+    names = list(adj)
+    at, n = {v: k for k, v in enumerate(names)}, len(adj)
+    if not n:
+        return {}
+    a = np.array([at[v] for v, s in adj.items() for _ in s], np.int64)
+    b = np.array([at[u] for s in adj.values() for u in s], np.int64)
+    w = np.array([weight[min(v, u), max(v, u)] for v, s in adj.items() for u in s], float)
+    x = np.full(n, 1 / n)
+    for _ in range(rounds):
+        new = x + np.bincount(b, x[a] * w, n)
+        new = new / (np.linalg.norm(new) or 1)
+        if np.abs(new - x).sum() < n * tolerance:
+            return dict(zip(names, new.tolist(), strict=True))
+        x = new
+    dense = np.zeros((n, n))
+    np.add.at(dense, (a, b), w)
+    top = np.abs(np.linalg.eigh(dense)[1][:, -1])
+    return dict(zip(names, top.tolist(), strict=True))
+
+
 def _reinsert_forest(adj: Adjacency, removed: list[int]) -> list[int]:
     """Puts removals back, last first, where the graph stays a forest: the neighbours present lie in pairwise different trees."""
     parent = {v: v for v in adj}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,30 @@ def orders(edges: DataFrame, strategies: list[str]) -> DataFrame:
     return edges.withColumn("strategy", names).groupBy("graph_id", "strategy").applyInPandas(one, "graph_id string, strategy string, node long, step long")
 
 
+def by_rules(edges: DataFrame, rules: dict[str, Callable], residual: bool = False, robust: bool = False) -> DataFrame:
+    """(graph_id, strategy, node, step) of callers' own rules on each graph; see ``kernels.by_rule``."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf.strategy.iloc[0]
+        found = kernels.by_rule(kernels.adjacency(pdf.src, pdf.dst), rules[name], residual, robust)
+        return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "strategy": name, "node": found, "step": range(1, len(found) + 1)})
+
+    names = F.explode(F.array(*map(F.lit, rules)))
+    return edges.withColumn("strategy", names).groupBy("graph_id", "strategy").applyInPandas(one, "graph_id string, strategy string, node long, step long")
+
+
+def attacks(edges: DataFrame, seeds: list[int]) -> DataFrame:
+    """(graph_id, strategy, seed, cost): 10,000 times the ANC of adaptive attacks with random ties, by centrality and seed."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        adj, name, seed = kernels.adjacency(pdf.src, pdf.dst), pdf.strategy.iloc[0], int(pdf.seed.iloc[0])
+        order = kernels.by_random_ties(adj, kernels.CENTRALITIES[name], seed)
+        return pd.DataFrame({"graph_id": [pdf.graph_id.iloc[0]], "strategy": [name], "seed": [seed], "cost": [10_000 * kernels.metrics(adj, order)["anc"]]})
+
+    rows = edges.withColumn("strategy", F.explode(F.array(*map(F.lit, kernels.CENTRALITIES)))).withColumn("seed", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))))
+    return rows.groupBy("graph_id", "strategy", "seed").applyInPandas(one, "graph_id string, strategy string, seed long, cost double")
+
+
 def _scored(edges: DataFrame, order: DataFrame, make, schema: str, partial: bool = False) -> DataFrame:
     """One row set a (graph, strategy). ``partial``: orders may be prefixes; the other nodes follow by id, and make gets the prefix too."""
 

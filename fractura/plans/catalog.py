@@ -1,11 +1,11 @@
-"""Queries of the evolutionary loop, of texts and of reports."""
+"""Queries of the evolutionary loop and of reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fractura.operators import evolve, reports, text
+from fractura.operators import evolve, reports
 from fractura.session import read
 
 from .inputs import trace
@@ -40,19 +40,6 @@ def operator_stats(spark, d):
     return rounded(evolve.operator_stats(trace(spark, d)), "mean")
 
 
-REWARD = STAT + ", p AS (SELECT generation + 1 AS generation, min(best) AS last_best FROM o GROUP BY generation), w AS (SELECT o.generation, operator, least(greatest(1.6::DOUBLE * coalesce(greatest(0.0::DOUBLE, (last_best - best) / greatest(abs(last_best), 1e-8)), 0.0) + 0.2::DOUBLE * (valid / offspring) - 0.3::DOUBLE * (1 - valid / offspring), -1.0), 1.0) AS reward FROM o LEFT JOIN p ON p.generation = o.generation)"
-
-
-@query(f"WITH {REWARD} SELECT generation, operator, round(reward, 6) AS reward FROM w")
-def operator_reward(spark, d):
-    return rounded(evolve.rewards(evolve.operator_stats(trace(spark, d))), "reward")
-
-
-@query(f"WITH {REWARD}, k AS (SELECT operator, reward, row_number() OVER (PARTITION BY operator ORDER BY generation DESC) - 1 AS age FROM w) SELECT operator, round(sum(0.25::DOUBLE * pow(0.75::DOUBLE, age) * reward), 6) AS credit FROM k GROUP BY operator")
-def operator_credit(spark, d):
-    return rounded(evolve.credit(evolve.rewards(evolve.operator_stats(trace(spark, d)))), "credit")
-
-
 @query(f"WITH {BEST} SELECT generation, best, best_so_far, improves, round(delta, 6) AS delta FROM w")
 def best_so_far(spark, d):
     return rounded(evolve.best_so_far(trace(spark, d)), "delta")
@@ -80,19 +67,9 @@ def search_state(spark, d):
     return rounded(evolve.search_state(trace(spark, d)), "d", "i", "s", "v")
 
 
-@query(f"WITH {STATE}, sc AS (SELECT generation, exp(round(1.2::DOUBLE * d + s - 0.8::DOUBLE * i + 0.15::DOUBLE * (1 - v), 4) / 0.7::DOUBLE) AS a, exp(round(1 - 2 * abs(d - 0.5::DOUBLE) - 0.5::DOUBLE * s + 0.1::DOUBLE * v, 4) / 0.7::DOUBLE) AS b, exp(round(1.3::DOUBLE * (1 - d) + i - 1.2::DOUBLE * s + 0.2::DOUBLE * v, 4) / 0.7::DOUBLE) AS c FROM st) SELECT generation, round(a / (a + b + c), 4) AS explore, round(b / (a + b + c), 4) AS transition, round(c / (a + b + c), 4) AS exploit FROM sc")
-def phase_mixture(spark, d):
-    return evolve.phase_mixture(evolve.search_state(trace(spark, d)))
-
-
-@query(f"WITH {STATE}, pr AS (SELECT generation, d, least(greatest(0.55::DOUBLE * d + 0.6::DOUBLE * s - 0.25::DOUBLE * i, 0.0), 1.0) AS e, least(greatest(0.7::DOUBLE * (1 - d) + 0.55::DOUBLE * i - 0.45::DOUBLE * s, 0.0), 1.0) AS x FROM st) SELECT generation, CASE WHEN x - e > 0.12 THEN 'exploit' WHEN e - x > 0.12 THEN 'explore' ELSE 'transition' END AS phase, round(0.75::DOUBLE + 0.9::DOUBLE * e, 6) AS mutation, round(0.75::DOUBLE + 0.95::DOUBLE * x, 6) AS crossover, round(0.7::DOUBLE + 0.6::DOUBLE * (1 - abs(e - x)) + 0.2::DOUBLE * d, 6) AS other FROM pr")
-def pressures(spark, d):
-    return rounded(evolve.pressures(evolve.search_state(trace(spark, d))), "mutation", "crossover", "other")
-
-
-@query("WITH i AS (SELECT conv_id AS grp, turn AS pos, length(text) AS size FROM conversations), w AS (SELECT grp, pos, sum(size + 8) OVER x::BIGINT AS used, row_number() OVER x AS r FROM i WINDOW x AS (PARTITION BY grp ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)) SELECT grp, pos, used FROM w WHERE used <= 400 AND r <= 50".replace("OVER x::BIGINT", "OVER x"))
+@query("WITH i AS (SELECT conv_id AS grp, turn AS pos, least(length(text), 1200) AS size FROM conversations), w AS (SELECT grp, pos, sum(size + 8) OVER x AS used, row_number() OVER x AS r FROM i WINDOW x AS (PARTITION BY grp ORDER BY pos DESC ROWS UNBOUNDED PRECEDING)) SELECT grp, pos, used, r <= 10 AS shown FROM w WHERE (used <= 4000 AND r <= 50) OR r = 1")
 def memory_window(spark, d):
-    return evolve.memory_window(read(spark, d, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("pos"), F.length("text").alias("size")), 400)
+    return evolve.memory_window(read(spark, d, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("pos"), F.length("text").alias("size")), 4000)
 
 
 @query("WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE label = 0), p AS (SELECT q.vec_id AS query, v.vec_id AS id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::DOUBLE * v.embedding[i]::DOUBLE)) AS dot FROM q JOIN embeddings v ON v.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dot DESC, id) AS rank FROM p) SELECT query, id, round(dot, 5) AS dot, rank FROM r WHERE rank <= 4")
@@ -101,52 +78,6 @@ def embedding_topk(spark, d):
     return evolve.top_similar(v, v.where("label = 0"), 4).withColumn("dot", F.round("dot", 5))
 
 
-# --- text
-
-TOK = "k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*|\\d+(?:\\.\\d+)?')) AS token FROM labelled)"
-BENCH = "labelled AS (SELECT item_id AS doc_id, text FROM benchmark)"
-TFIDF = f"{BENCH}, {TOK}, f AS (SELECT doc_id, token, count(*) AS n FROM k GROUP BY doc_id, token), z AS (SELECT doc_id, sum(n) AS size FROM f GROUP BY doc_id), y AS (SELECT token, count(*) AS df FROM f GROUP BY token), x AS (SELECT f.doc_id, f.token, n / size * (ln((1 + (SELECT count(*) FROM labelled)) / (1 + df)) + 1) AS x FROM f JOIN z ON z.doc_id = f.doc_id JOIN y ON y.token = f.token), m AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY doc_id), w AS (SELECT x.doc_id, token, x / norm AS w FROM x JOIN m ON m.doc_id = x.doc_id)"
-COS = TFIDF + ", j AS (SELECT p.doc_id AS a, q.doc_id AS b, sum(p.w * q.w) AS cosine FROM w p JOIN w q ON p.token = q.token AND p.doc_id < q.doc_id GROUP BY p.doc_id, q.doc_id)"
-
-
-def items(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-
-
-@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM documents")
-def normalise(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.squeeze(F.col("text")).alias("t"))
-
-
-@query(f"WITH labelled AS (SELECT doc_id, text FROM documents), {TOK} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k GROUP BY token")
-def token_counts(spark, d):
-    return text.tokens(read(spark, d, "documents")).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
-
-
-@query(f"WITH {TFIDF} SELECT doc_id, token, round(w, 6) AS w FROM w")
-def tfidf(spark, d):
-    return rounded(text.tfidf(items(spark, d)), "w")
-
-
-@query(f"WITH {COS} SELECT a, b, round(cosine, 6) AS cosine FROM j WHERE cosine >= 0.05")
-def pair_cosine(spark, d):
-    return rounded(text.cosines(text.tfidf(items(spark, d)), 0.05), "cosine")
-
-
-BASIN = COS + ", l AS (SELECT a, b FROM j WHERE cosine >= 0.15 UNION ALL SELECT b, a FROM j WHERE cosine >= 0.15), r(a, b) AS (SELECT doc_id, doc_id FROM labelled UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), bas AS (SELECT a AS doc_id, min(b) AS basin FROM r GROUP BY a)"
-
-
-@query(f"WITH RECURSIVE {BASIN} SELECT doc_id, basin FROM bas")
-def basins(spark, d):
-    i = items(spark, d)
-    return text.basins(i, text.cosines(text.tfidf(i), 0.15))
-
-
-@query(f"WITH RECURSIVE {BASIN}, c AS (SELECT basin, count(*) AS n FROM bas GROUP BY basin), p AS (SELECT n / sum(n) OVER () AS p FROM c) SELECT count(*) AS basins, round(sum(p * p), 6) AS hhi, round(max(p), 6) AS largest, round(exp(-sum(p * ln(p))), 6) AS effective FROM p")
-def basin_concentration(spark, d):
-    return rounded(text.concentration(basins(spark, d)), "hhi", "largest", "effective")
-
-
 # --- analytics
 
 PHASE = "CASE WHEN generation BETWEEN 1 AND 10 THEN 'early' WHEN generation BETWEEN 11 AND 20 THEN 'middle' WHEN generation BETWEEN 21 AND 30 THEN 'late' ELSE 'other' END"

@@ -48,7 +48,10 @@ m AS (SELECT g AS graph_id, strategy, sum(CASE WHEN step > 0 THEN cp / c0 END) /
  coalesce(min(CASE WHEN step > 0 AND cp / c0 <= 0.5 THEN step END), max(n)) AS fht_50, coalesce(min(CASE WHEN step > 0 AND cp / c0 <= 0.1 THEN step END), max(n)) AS fht_10,
  max(CASE WHEN step = k THEN lcc END) / max(n) AS lcc_at_k, max(k) AS k FROM v GROUP BY g, strategy)"""
 #: A trace: candidates (events) by generation (their day) and operator.
-TRACE = "t AS (SELECT event_id AS id, day(ts)::BIGINT AS generation, event_type AS operator, value AS objective, props AS code, user_id AS user_id FROM events)"
+TRACE = """t AS (SELECT event_id AS id, day(ts)::BIGINT AS generation, CASE event_type WHEN 'view' THEN 'm1' WHEN 'click' THEN 'm2' WHEN 'purchase' THEN 'e1' WHEN 'signup' THEN 'e2' ELSE 'i1' END AS operator,
+ CASE WHEN user_id % 10 = 3 THEN NULL ELSE value END AS objective, props AS code, user_id / 10.0::DOUBLE AS time FROM events)"""
+#: Base weights of its operators.
+BASE = {"e1": 0.5, "e2": 0.6, "i1": 0.45, "m1": 0.55, "m2": 0.4}
 
 
 def distances(most: str = "(SELECT max(c0) FROM (SELECT count(*) AS c0 FROM n GROUP BY g))") -> str:
@@ -92,4 +95,15 @@ def static(edges: DataFrame) -> DataFrame:
 
 
 def trace(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), F.col("event_type").alias("operator"), F.col("value").alias("objective"), F.col("props").alias("code"), "user_id")
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), F.col("event_type").alias("operator"), F.col("value").alias("objective"), F.col("props").alias("code"))
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The trace with names of operators, times, and candidates that failed (a null objective)."""
+    kind = F.col("event_type")
+    name = F.when(kind == "view", "m1").when(kind == "click", "m2").when(kind == "purchase", "e1").when(kind == "signup", "e2").otherwise("i1")
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), name.alias("operator"), F.when(F.col("user_id") % 10 != 3, F.col("value")).alias("objective"), F.col("props").alias("code"), (F.col("user_id") / 10.0).alias("time"))
+
+
+def base(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(BASE.items()), "operator string, weight double")

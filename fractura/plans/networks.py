@@ -368,6 +368,25 @@ def order_completion(spark, d):
     return search.completed(static(e).where("step <= 20"), graph.nodes(e))
 
 
+_RULE = f"""{TYPES}, ru(i, g, node, other) AS (SELECT 0, g, node, other FROM (SELECT g, node, other FROM s UNION ALL SELECT g, node, NULL FROM n)
+ UNION ALL SELECT i + 1, g, node, other FROM (SELECT *, first_value(node) OVER (PARTITION BY g ORDER BY al, node DESC) AS v FROM (SELECT *, count(other) OVER (PARTITION BY g, node) AS al FROM ru)) WHERE node <> v AND (other IS NULL OR other <> v))"""
+
+
+@query(f"WITH RECURSIVE {_RULE}, pk AS (SELECT g, node, i + 1 AS step, row_number() OVER (PARTITION BY g, i ORDER BY count(other), node DESC) AS r FROM ru GROUP BY g, i, node) SELECT g AS graph_id, 'least' AS strategy, node, step FROM pk WHERE r = 1")
+def order_by_rule(spark, d):
+    return orders.by_rules(types(spark, d), {"least": lambda adj, left: min(left, key=lambda v: (len(adj[v]), -v))}, residual=True)
+
+
+@query(f"WITH {TYPES}{RANK} SELECT g AS graph_id, 'broken' AS strategy, node, step FROM o")
+def order_by_failing_rule(spark, d):
+    return orders.by_rules(types(spark, d), {"broken": lambda adj, left: 1 // 0})
+
+
+@query()
+def random_tie_attacks(spark, d):
+    return rounded(orders.attacks(types(spark, d), [1, 2]), "cost")
+
+
 @query()
 def cut_orders(spark, d):
     e = types(spark, d)

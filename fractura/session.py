@@ -22,8 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the folder all executors share (the session's spark.checkpoint.dir; our own where unset)."""
+    """Cuts lineage with a checkpoint in the folder all executors share, spark.checkpoint.dir. Only a session of one machine (tests) may go
+    without: it gets a folder of its own."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fractura-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith(("local[", "local,")) and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="fractura-"))
     return df.checkpoint()
