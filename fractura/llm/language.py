@@ -19,56 +19,74 @@ DIMENSIONS = 1024
 SEED = 7
 UNDETERMINED = "und"
 SHARPNESS = 25.0
+#: Trigrams whose vectors are multiplied at once, and letters whose vectors are kept.
+BLOCK, LETTERS_KEPT = 8_192, 20_000
+#: Trigrams that are counted at once.
+GROUP_CODES = 2_000_000
 _letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Symbol of each code point up to 0xFFFF: 0 for what is no letter, else 1 to 255."""
+    """Whether each code point is a letter."""
     if not _letters:
-        _letters.append(np.array([1 + i % 255 if chr(i).isalpha() else 0 for i in range(0x10000)], np.uint8))
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _letters[0]
 
 
 def trigrams(text: str) -> np.ndarray:
-    """Trigram codes of the lower-cased text; runs of other characters than letters count as one gap; none for a text without letters."""
+    """Trigram codes (21 bits a letter) of the lower-cased text; runs of other characters than letters count as one gap, 0; none for a
+    text without letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    s = letter_table()[np.minimum(points, 0xFFFF)]
-    far = points > 0xFFFF
-    if far.any():
-        s = s.copy()
-        s[far] = [1 + int(p) % 255 if chr(p).isalpha() else 0 for p in points[far]]
-    s = np.concatenate([np.zeros(1, np.uint8), s, np.zeros(1, np.uint8)])
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])].astype(np.int32)
-    return (s[:-2] << 16) | (s[1:-1] << 8) | s[2:] if len(s) > 2 else np.zeros(0, np.int32)
+    s = np.where(letter_table()[points], points, 0).astype(np.int64)
+    s = np.concatenate([[0], s, [0]])
+    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
+    return (s[:-2] << 42) | (s[1:-1] << 21) | s[2:] if len(s) > 2 else np.zeros(0, np.int64)
 
 
 class Vectors:
-    """Trigram vectors, made when first asked for; at most ``kept`` stay."""
+    """Trigram vectors, made when first asked for from those of their letters, each of which has its own; at most ``kept`` stay."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED, kept: int = 50_000):
-        rng = np.random.default_rng(seed)
-        self.letter = rng.integers(0, 2, (256, dimensions), np.int8) * 2 - 1
-        self.kept, self.row = kept, {}
+        self.dimensions, self.seed, self.kept = dimensions, seed, kept
+        self.letter: dict[int, np.ndarray] = {}
+        self.row: dict[int, int] = {}
         self.table = np.zeros((0, dimensions), np.int8)
 
+    def letters(self, points: np.ndarray) -> np.ndarray:
+        """A row for each code point (or gap): -1 and 1 at random, from the seed and the point."""
+        own, at = np.unique(points, return_inverse=True)
+        if len(self.letter) + len(own) > LETTERS_KEPT:
+            self.letter = {}
+        for p in own.tolist():
+            if p not in self.letter:
+                self.letter[p] = np.random.default_rng([self.seed, p]).integers(0, 2, self.dimensions, np.int8) * 2 - 1
+        return np.stack([self.letter[p] for p in own.tolist()])[at]
+
     def of(self, codes: np.ndarray) -> np.ndarray:
-        """A row for each code (distinct codes)."""
+        """A row for each code (distinct codes, ``BLOCK`` of them at most)."""
         if len(self.row) + len(codes) > self.kept:
             self.row, self.table = {}, self.table[:0]
         new = np.array([c for c in codes.tolist() if c not in self.row], np.int64)
         if len(new):
-            a, b, c = (self.letter[(new >> k) & 255] for k in (16, 8, 0))
+            a, b, c = (self.letters((new >> k) & 0x1FFFFF) for k in (42, 21, 0))
             self.row |= {x: len(self.table) + k for k, x in enumerate(new.tolist())}
             self.table = np.concatenate([self.table, np.roll(a, 2, axis=1) * np.roll(b, 1, axis=1) * c])
         return self.table[[self.row[x] for x in codes.tolist()]]
 
 
 def bundle(counts: list[tuple[np.ndarray, np.ndarray]], vectors: Vectors) -> np.ndarray:
-    """A vector for each text from its (distinct codes, counts)."""
+    """A vector for each text from its (distinct codes, counts), the weights square roots of counts; ``BLOCK`` codes at a time."""
     codes, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
-    weight = np.zeros((len(counts), len(codes)), np.float32)
-    weight[np.repeat(np.arange(len(counts)), [len(c) for c, _ in counts]), at] = np.concatenate([np.sqrt(n) for _, n in counts])
-    return weight @ vectors.of(codes).astype(np.float32)
+    text = np.repeat(np.arange(len(counts)), [len(c) for c, _ in counts])
+    root = np.sqrt(np.concatenate([n for _, n in counts])).astype(np.float32)
+    out = np.zeros((len(counts), vectors.dimensions), np.float32)
+    for low in range(0, len(codes), BLOCK):
+        part = codes[low : low + BLOCK]
+        mine = (at >= low) & (at < low + BLOCK)
+        weight = np.zeros((len(counts), len(part)), np.float32)
+        weight[text[mine], at[mine] - low] = root[mine]
+        out += weight @ vectors.of(part).astype(np.float32)
+    return out
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -76,25 +94,33 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dimensions: i
     what comes to the driver is ``dimensions`` numbers a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: dict[str, list[np.ndarray]] = {}
-            for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found.setdefault(name, []).append(trigrams(t.as_py()))
+        def counted(found: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
             for name, codes in found.items():
                 code, n = np.unique(np.concatenate(codes), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
+        for b in batches:
+            found: dict[str, list[np.ndarray]] = {}
+            held = 0
+            for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found.setdefault(name, []).append(codes := trigrams(t.as_py()))
+                held += len(codes)
+                if held > GROUP_CODES:
+                    yield from counted(found)
+                    found, held = {}, 0
+            yield from counted(found)
+
     def profile(pdf):
         import pandas as pd
 
         v, total = Vectors(dimensions, seed), np.zeros(dimensions)
-        for k in range(0, len(pdf), 10_000):
-            part = pdf.iloc[k : k + 10_000]
+        for k in range(0, len(pdf), BLOCK):
+            part = pdf.iloc[k : k + BLOCK]
             total += np.sqrt(part.n.to_numpy(float)) @ v.of(part.code.to_numpy()).astype(float)
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "profile": [total / (np.linalg.norm(total) or 1)]})
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang), F.col(text))
-    counts = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counts.groupBy("lang").applyInPandas(profile, "lang string, profile array<double>").collect()
     return {r.lang: np.array(r.profile) for r in sorted(found, key=lambda r: r.lang)}
 

@@ -161,6 +161,27 @@ def test_language(frame):
     assert {r.lang_pred for r in language.identify(docs, language.learn(docs.limit(0))).collect()} == {"und"}
 
 
+def test_each_letter_has_its_own_vector():
+    letters = language.Vectors().letters(np.array([ord("a"), ord("a") + 255, 0x4E00, 0x4E00 + 255, 0x10400, 0], np.int64)).astype(int)
+    assert (abs(letters @ letters.T - language.DIMENSIONS * np.eye(6)) < 0.2 * language.DIMENSIONS).all()
+    assert language.trigrams("𐐨b1").tolist() == [0x10428 << 21 | ord("b"), 0x10428 << 42 | ord("b") << 21]
+
+
+def test_bundles_do_not_depend_on_blocks(monkeypatch):
+    texts = [np.unique(language.trigrams(prose(60)), return_counts=True) for _ in range(5)]
+    whole = language.bundle(texts, language.Vectors())
+    monkeypatch.setattr(language, "BLOCK", 7)
+    assert np.allclose(language.bundle(texts, language.Vectors()), whole, atol=1e-3)
+
+
+def test_table_of_odds_keeps_colliding_keys():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 2**63, 70_000, np.uint64) >> np.uint64(20) << np.uint64(20) | np.uint64(5))
+    values = rng.normal(size=len(keys)).astype(np.float32)
+    table = toxicity.Odds(keys, values)
+    assert (table(keys) == values).all() and not table(keys + np.uint64(1)).any()
+
+
 def test_toxicity(frame, spark):
     bad = ["scumword", "vilestuff"]
     rows = [(k, prose(60) + (f" {RNG.choice(bad)} " if k % 2 else " ") + prose(60), None, None, 0) for k in range(10, 210)]
@@ -360,6 +381,15 @@ def test_multi_index_hashing(spark):
 # --- URLs
 
 
+def test_templates_split_below_any_level(spark):
+    """Paths that differ only in their ninth segment, by which rules block some, are told apart there; labels that don't differ make *."""
+    rows = [(n, f"http://x.com/{'/'.join('abcdefgh')}/{'bad' if n % 2 else 'good'}/{n}") for n in range(40)]
+    rules = [("block", "x.com", "/a/b/c/d/e/f/g/h/bad/1"), ("allow", "x.com", "/a/b/c/d/e/f/g/h/good/1"), ("allow", "x.com", "/a/b/c/d/e/f/g/h/good/2")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert len(got) == 40 and got[3].template == "/*" * 8 + "/=bad/*" and got[4].template == "/*" * 8 + "/=good/*"
+    assert (got[3].rule, got[3].verdict, got[4].verdict) == (None, "block", "allow")
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "http://EXAMPLE.org/es/a?x#y"), (5, "https://a.example.org/en/12"), (6, "http://b.org"), (7, "x://c.com/fr/1"), (8, "http://c.com/de/://1"), (9, "http://notexample.org/es/"), (10, "http://d.net/a/b/c/d/e/f/g/h"), (11, "http://d.net/" + "p/" * 3000)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host")).collect()}

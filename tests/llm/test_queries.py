@@ -32,3 +32,38 @@ def test_pipeline(spark):
     left = {r.doc_id for r in before.collect()}
     assert {r.doc_id for r in after.collect()} == left and len(left) > 100
     assert corpus_pipeline.STAGES[2][1](spark, before.limit(0), DATA).count() == 0
+
+
+def test_stages_on_strange_rows(spark):
+    """Copies, rows without or with repeated ids, a long text in no language."""
+    base = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = base.where("doc_id < 60 and n_chars between 300 and 3000").collect()
+    one = max(some, key=lambda r: len(r.text))
+    row = lambda d, t: (d, t, "en", "s", len(t))
+    far = "".join(chr(0x4E00 + k * 37 % 20000) for k in range(400))
+    rows = [tuple(r) for r in some] + [row(5001, one.text), row(5002, one.text + " tail"), row(None, one.text), row(5003, far), row(5004, "first text here"), row(5004, "another text there"), row(5005, "12 34 !!")]
+    docs = spark.createDataFrame(rows, base.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = [(r.doc_id, r.text) for r in stages["language ID"](spark, docs, DATA).collect()]
+    assert len(kept) == len(rows) - 2 and not {5003, 5005} & {d for d, _ in kept}
+    left = [(r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, docs, DATA).collect()]
+    ids = [d for d, _ in left]
+    assert ids.count(None) == 1 and not {5001, 5002} & set(ids) and ids.count(5004) == 1 and (5004, "another text there") in left
+    texts = {r.doc_id: r.text for r in stages["suffix-array dedup"](spark, spark.createDataFrame([row(1, "x" * 10 + one.text), row(2, "y" * 10 + one.text), row(None, one.text)], base.schema), DATA).collect()}
+    assert texts[1] == "x" * 10 + one.text and texts[2] == "y" * 10 and texts[None] == one.text
+
+
+def test_folds_and_query_sets(spark):
+    import zlib
+
+    rest = lambda d, n: zlib.crc32(str(d).encode()) % n
+    five = queries.QUERIES["op5_language_id"](spark, DATA).collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert len(five) == len(lang) and all(r.held_out == (rest(r.doc_id, 3) == 1) for r in five)
+    held = [r for r in five if r.held_out and lang[r.doc_id] is not None]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
+    seven = queries.QUERIES["op7_toxicity"](spark, DATA).collect()
+    assert len(seven) == len(lang) and all(r.held_out == (rest(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.5) for r in seven)
+    three = queries.QUERIES["op3_vantage_point_search"](spark, DATA).collect()
+    asked = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r.query_id for r in three} <= asked and all(r.vec_id != r.query_id and 1 <= r["rank"] <= 20 for r in three)
