@@ -48,7 +48,7 @@ class Words:
 def split(texts: list[str | None]) -> Words:
     low = [(t or "").lower() for t in texts]
     c = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = letter_table()[np.minimum(c, 0xFFFF)] > 0
+    letter = letter_table()[c]
     edge = np.diff(np.concatenate([[0], letter.view(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     size = end - start
@@ -72,18 +72,36 @@ def split(texts: list[str | None]) -> Words:
 
 
 class Odds:
-    """Log odds by 64-bit hash, in a table with signatures; hashes that are not in it give 0."""
+    """Log odds by 64-bit hash, in a table of four places a key; a key whose place is taken has the next free one. Hashes that are not in
+    it give 0."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 18):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(16, int(4 * len(keys)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
-        order = np.argsort(np.abs(values), kind="stable")
-        slot = keys[order] & self.mask
-        self.key[slot], self.value[slot] = keys[order], values[order]
+        self.used = np.zeros(1 << bits, bool)
+        keys, at = np.unique(keys, return_index=True)
+        values, slot = values[at], keys & self.mask
+        while len(keys):
+            first = np.zeros(len(keys), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            first &= ~self.used[slot]
+            self.key[slot[first]], self.value[slot[first]], self.used[slot[first]] = keys[first], values[first], True
+            keys, values, slot = keys[~first], values[~first], (slot[~first] + np.uint64(1)) & self.mask
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         slot = h & self.mask
-        return np.where(self.key[slot] == h, self.value[slot], np.float32(0))
+        hit = self.key[slot] == h
+        out = np.where(hit, self.value[slot], np.float32(0))
+        open_ = np.flatnonzero(~hit & self.used[slot])
+        while len(open_):
+            slot = (slot if len(slot) == len(open_) else slot[open_]) + np.uint64(1) & self.mask
+            want, found = h[open_], self.key[slot]
+            hit = (found == want) & self.used[slot]
+            out[open_[hit]] = self.value[slot[hit]]
+            more = ~hit & self.used[slot]
+            open_, slot = open_[more], slot[more]
+        return out
 
 
 class Counts:
@@ -108,8 +126,7 @@ class Counts:
     def table(self) -> Odds:
         v = self.odds(self.n1, self.n0, self.t1, self.t0)
         use = (np.abs(v) > 0.9) & (self.n1 + self.n0 > 1)
-        order = np.argsort(-np.abs(v[use]), kind="stable")[:60_000]
-        return Odds(self.key[use][order], v[use][order].astype(np.float32))
+        return Odds(self.key[use], v[use].astype(np.float32))
 
     def without(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log odds of hashes in texts of label y, when each text's own count is left out."""
@@ -333,7 +350,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1; without a model 0) and ``predicted`` (1 from 0.5 on) to the rows; columns of these names are replaced."""
+    """Adds ``score`` (0 to 1; without a model 0) and ``predicted`` (1 from 0.5 on) to the rows; columns of these names are replaced.
+
+    Null and empty texts are scored as one empty window, texts of any length by all their windows; rows of one text get one score.
+    """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
