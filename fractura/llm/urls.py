@@ -14,8 +14,6 @@ from .common import keep, table
 
 #: (verdict, host, path): fits the host and all its subdomains where the path starts so; the longest rule wins.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Levels of the tree; segments below the last one are not told apart.
-LEVELS = 6
 #: A segment stays if it has MIN_PAGES pages and one in MIN_SHARE of its parent's.
 MIN_PAGES, MIN_SHARE = 3, 10
 #: Pages that a template's prior counts for.
@@ -42,29 +40,42 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
     return best, verdict
 
 
-def templates(paths: DataFrame, levels: int = LEVELS) -> DataFrame:
+def templates(paths: DataFrame) -> DataFrame:
     """From distinct (host, path, pages, blocked, labelled) rows to the same rows with a template.
 
     One level a round; a round's tables are kept, so that plans stay short. All steps are aggregates with partial sums, and joins on
-    (host, template, segment).
+    (host, template, segment). A branch that has too few pages for any frequent segment, or labels of one kind only, has no segment that
+    stays, here or below: its paths get ``*`` for all the rest and leave. So there are as many rounds as branches are deep that may still
+    split, whatever the depth of the paths.
     """
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = keep(paths.withColumn("segments", segments).withColumn("template", F.lit("")), "tree")
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(1, min(levels, deepest) + 1):
+    out, level = None, 0
+    sums = ("pages", "blocked", "labelled")
+    while True:
+        level += 1
         here = rows.withColumn("segment", F.get("segments", F.lit(level - 1)))
-        child = here.where("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("pages", "blocked", "labelled")))
-        parent = child.groupBy("host", "template").agg(*(F.sum(c).alias(f"p_{c}") for c in ("pages", "blocked", "labelled")))
+        child = here.where("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in sums))
+        parent = child.groupBy("host", "template").agg(*(F.sum(c).alias(f"p_{c}") for c in sums))
+        live = parent.where((F.col("p_pages") >= MIN_PAGES) & (F.col("p_blocked") > 0) & (F.col("p_blocked") < F.col("p_labelled")))
         b, n, pb, pn = (F.col(c).cast("double") for c in ("blocked", "labelled", "p_blocked", "p_labelled"))
         apart = (b * pn - pb * n) * (b * pn - pb * n) > 4 * pb * (pn - pb) * n
         frequent = (F.col("pages") >= MIN_PAGES) & (F.col("pages") * MIN_SHARE >= F.col("p_pages"))
-        stays = child.join(parent, ["host", "template"]).where(frequent & apart).select("host", "template", "segment", F.lit(True).alias("stays"))
-        step = F.when(F.col("segment").isNull(), F.lit("")).when(F.col("stays"), F.concat(F.lit("/="), "segment")).otherwise(F.lit("/*"))
-        rows = keep(here.join(stays, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", step)).drop("segment", "stays"), "tree")
-    return rows.withColumn("template", F.when(F.size("segments") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segments")
-
-
-def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES, levels: int = LEVELS) -> DataFrame:
+        stays = child.join(live, ["host", "template"]).where(frequent & apart).select("host", "template", "segment", F.lit(True).alias("stays"))
+        step = F.when(F.col("stays"), F.concat(F.lit("/="), "segment")).otherwise(F.lit("/*"))
+        met = here.join(stays, ["host", "template", "segment"], "left").join(live.select("host", "template", F.lit(True).alias("live")), ["host", "template"], "left")
+        left = F.size("segments") - (level - 1)
+        met = met.withColumn("ends", F.col("live").isNull() | (left <= 1))
+        rest = F.when(left <= 0, F.lit("")).when(F.col("live").isNull(), F.expr(f"repeat('/*', size(segments) - {level - 1})")).otherwise(step)
+        met = keep(met.withColumn("template", F.concat("template", rest)).drop("segment", "stays", "live"), "tree")
+        done = met.where("ends").drop("segments", "ends")
+        out = done if out is None else out.unionByName(done)
+        rows = met.where("not ends").drop("ends")
+        if not rows.limit(1).count():
+            return out
+
+
+def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """Adds host, path, rule, verdict, template and purity (the smoothed blocked share) to the rows; columns of these names are replaced.
 
     Hosts without any labelled page reject nothing. A null url, or one without ``://``, has an empty host and path. Rows that a rule fits get its verdict, the others their template's.
@@ -74,7 +85,7 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     seen = seen.withColumns({"rule": rule, "_ruled": verdict})
     paths = seen.groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("_ruled") == "block", 1).otherwise(0)).alias("blocked"), F.count("_ruled").alias("labelled"))
-    tree = keep(templates(paths, levels), "templates")
+    tree = keep(templates(paths), "templates")
     hosts = tree.groupBy("host").agg(F.sum("blocked").alias("h_blocked"), F.sum("labelled").alias("h_labelled"))
     whole = hosts.agg(F.coalesce(F.sum("h_blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("h_labelled"), F.lit(0)).alias("n")).first()
     base = F.lit(float((whole.b + 1.0) / (whole.n + 2.0)))
@@ -94,7 +105,7 @@ def _sql() -> str:
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(v, h, p)}'" for v, h, p in longest) + " END"
-    out = [f"""WITH cut AS (
+    out = [f"""WITH RECURSIVE cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), split AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM cut
@@ -105,20 +116,15 @@ def _sql() -> str:
          list_filter(string_split(path, '/'), lambda x: x <> '') AS segments, '' AS template
   FROM seen GROUP BY host, path
 )"""]
-    for k in range(1, LEVELS + 1):
-        out.append(f""", c{k} AS (
-  SELECT host, template, segments[{k}] AS segment, sum(pages) AS pages, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS n
-  FROM t{k - 1} WHERE len(segments) >= {k} GROUP BY ALL
-), s{k} AS (
-  SELECT host, template, segment FROM (
-    SELECT *, sum(pages) OVER w AS pp, sum(b) OVER w AS pb, sum(n) OVER w AS pn FROM c{k} WINDOW w AS (PARTITION BY host, template))
-  WHERE pages >= {MIN_PAGES} AND pages * {MIN_SHARE} >= pp AND (b * pn - pb * n) * (b * pn - pb * n) > 4 * pb * (pn - pb) * n
-), t{k} AS (
-  SELECT t.* EXCLUDE (template), t.template || CASE WHEN len(t.segments) < {k} THEN '' WHEN s.segment IS NOT NULL THEN '/=' || s.segment ELSE '/*' END AS template
-  FROM t{k - 1} t LEFT JOIN s{k} s ON s.host = t.host AND s.template = t.template AND s.segment = t.segments[{k}]
+    out.append(f""", lv AS (
+  SELECT 0 AS level, host, path, pages, blocked, labelled, segments, template FROM t0
+  UNION ALL SELECT level, host, path, pages, blocked, labelled, segments, template || CASE WHEN sp >= {MIN_PAGES} AND sp * {MIN_SHARE} >= pp AND (b * pn - pb * n) * (b * pn - pb * n) > 4 * pb * (pn - pb) * n THEN '/=' || segment ELSE '/*' END FROM (
+    SELECT *, sum(pages) OVER s AS sp, sum(blocked) OVER s::DOUBLE AS b, sum(labelled) OVER s::DOUBLE AS n, sum(pages) OVER w AS pp, sum(blocked) OVER w::DOUBLE AS pb, sum(labelled) OVER w::DOUBLE AS pn
+    FROM (SELECT level + 1 AS level, host, path, pages, blocked, labelled, segments, template, segments[level + 1] AS segment FROM lv WHERE len(segments) > level)
+    WINDOW w AS (PARTITION BY host, template), s AS (PARTITION BY host, template, segment))
 )""")
     out.append(f""", tree AS (
-  SELECT host, path, blocked, labelled, CASE WHEN len(segments) > {LEVELS} THEN template || '/**' ELSE template END AS template FROM t{LEVELS}
+  SELECT host, path, blocked, labelled, template FROM lv WHERE level = len(segments)
 ), g AS (SELECT (coalesce(sum(blocked), 0) + 1.0::DOUBLE) / (coalesce(sum(labelled), 0) + 2.0::DOUBLE) AS base FROM tree
 ), h AS (SELECT host, CASE WHEN sum(labelled) = 0 THEN 0.0::DOUBLE ELSE (sum(blocked) + {STRENGTH}::DOUBLE * any_value(base)) / (sum(labelled) + {STRENGTH}::DOUBLE) END AS prior FROM tree, g GROUP BY host
 ), p AS (
