@@ -162,7 +162,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACT
     """(query_id, rank, vec_id, score): each query's k vectors of the largest inner product found, its own row left out.
 
     Equal vectors are searched once and stand for their smallest ids. Trees are built once per shard and kept; every row is in one.
-    Vectors null, zero, or with null or non-finite components take no part, on either side; an empty table gives no rows.
+    Vectors null, zero, with null or non-finite components, or of another length than the commonest take no part, on either side; an
+    empty table gives no rows. A query id that is repeated asks with the smallest of its vectors.
     """
     points = keep(_distinct(_usable(vectors, vec_id, embedding), "v", k), "points")
     top = points.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
@@ -172,7 +173,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACT
         return pa.table({"shard": t.column("shard")[:1].combine_chunks(), "index": pa.array([pickle.dumps((tree, _ids(t.column("ids").to_pylist(), k)))], pa.binary())})
 
     index = keep(_sharded(points, "v", shard_rows).groupBy("shard").applyInArrow(build, "shard int, index binary"), "trees")
-    asked = _usable(queries, vec_id, embedding).dropDuplicates(["vec_id"])
+    asked = _usable(queries, vec_id, embedding).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,7 +252,8 @@ def sign_codes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 def hamming_nearest(codes: DataFrame, queries: DataFrame, k: int, shard_rows: int = 4 * SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, distance): each query's k codes of the smallest Hamming distance, exact, its own row left out, ties to smaller ids.
 
-    codes, queries: (vec_id, code array<long>). Equal codes are searched once and stand for their smallest ids.
+    codes, queries: (vec_id, code array<long>), all of one length. Equal codes are searched once and stand for their smallest ids. A query
+    id that is repeated asks with the smallest of its codes.
     """
     points = keep(_distinct(codes.where("vec_id is not null and code is not null"), "code", k), "codes")
 
@@ -260,7 +262,7 @@ def hamming_nearest(codes: DataFrame, queries: DataFrame, k: int, shard_rows: in
         return pa.table({"shard": t.column("shard")[:1].combine_chunks(), "index": pa.array([pickle.dumps((index, _ids(t.column("ids").to_pylist(), k)))], pa.binary())})
 
     index = keep(_sharded(points, "code", shard_rows).groupBy("shard").applyInArrow(build, "shard int, index binary"), "multi")
-    asked = queries.where("vec_id is not null and code is not null").dropDuplicates(["vec_id"])
+    asked = queries.where("vec_id is not null and code is not null").groupBy("vec_id").agg(F.min("code").alias("code"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
