@@ -25,6 +25,8 @@ CHUNK_CHARS = 16_384
 SPACE = "▁"
 #: Neighbours that are combined at once in the tree of matrices.
 FAN = 64
+#: Chunks whose matrices are combined in one task.
+CHUNKS_A_TASK = 500
 #: Chunks whose two states are broadcast at most (about 24 MB); with more of them, chunks are shuffled to meet their states.
 BROADCAST_CHUNKS = 1_000_000
 _models: dict[str, PieceModel] = {}
@@ -261,10 +263,10 @@ def _matrix(row) -> np.ndarray:
 MATRIX = "row long, part int, n_in int, matrix binary"
 
 
-def fixed_states(matrices: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
+def fixed_states(matrices: DataFrame, parts: int, fan: int = FAN, tasks: int = 8) -> DataFrame:
     """(row, part, entry, leave) from (row, part, n_in, matrix): a tree over each row's parts. Upwards, up to ``fan`` neighbours are
     combined to one matrix, until a row has a single one; downwards, each node's two states give those of its children. ``parts`` is
-    the largest number of parts of a row."""
+    the largest number of parts of a row, ``tasks`` what a level is dealt out to: small as matrices are, they take their time."""
     import pandas as pd
 
     def up(pdf):
@@ -280,14 +282,15 @@ def fixed_states(matrices: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
         return pd.DataFrame({"row": rows[0].row, "part": [r.part for r in rows], "entry": [a for a, _ in found], "leave": [b for _, b in found]})
 
     above = F.floor(F.col("part") / fan).cast("int")
+    dealt = lambda df: df.repartition(tasks, "row", "above")
     levels = [matrices]
     while parts > 1:
-        levels.append(keep(levels[-1].groupBy("row", above).applyInPandas(up, MATRIX), "matrices"))
+        levels.append(keep(dealt(levels[-1].withColumn("above", above)).groupBy("row", "above").applyInPandas(up, MATRIX), "matrices"))
         parts = -(-parts // fan)
     states = levels[-1].select("row", "part", F.lit(0).alias("entry"), F.lit(0).alias("leave"))
     for level in levels[-2::-1]:
         own = level.withColumn("above", above).join(states.select("row", F.col("part").alias("above"), "entry", "leave"), ["row", "above"])
-        states = own.groupBy("row", "above").applyInPandas(down, "row long, part int, entry int, leave int")
+        states = dealt(own).groupBy("row", "above").applyInPandas(down, "row long, part int, entry int, leave int")
     return states
 
 
@@ -332,7 +335,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model_na
             found = [transfer(m, *x)[2] for x in zip(*(b.column(c).to_pylist() for c in ("left", "body", "right")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("part"), pa.array([len(x) for x in found], pa.int32()), pa.array([bytes(np.array(x, np.uint8).tobytes()) for x in found], pa.binary())], ["row", "part", "n_in", "matrix"])
 
-    states = keep(fixed_states(keep(chunks.mapInArrow(matrices, MATRIX), "matrices"), most[0] or 0), "states")
+    states = keep(fixed_states(keep(chunks.mapInArrow(matrices, MATRIX), "matrices"), most[0] or 0, tasks=max(8, most[1] // CHUNKS_A_TASK)), "states")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_name)
