@@ -170,9 +170,9 @@ def held_phase(spark, d):
     return control.held_phase(control.phase_scores(_smoothed(spark, d)))
 
 
-@query(f"WITH {TRACE}{_STATE}{_BASE}{_BLEND} SELECT generation, operator, round(weight, 6) AS weight FROM bl")
+@query(f"WITH {TRACE}{_STATE}{_BASE}{_BLEND} SELECT generation, operator, round(weight, 9) AS weight FROM bl")
 def weights_by_state(spark, d):
-    return rounded(control.blended(phase_mixture(spark, d), base(spark)), "weight")
+    return rounded(control.blended(phase_mixture(spark, d), base(spark)), "weight", places=9)
 
 
 @query(f"""WITH {_STATS}{_STATE}{_BASE}{_BLEND}, cr AS (SELECT a.generation, a.operator, coalesce(sum(0.25::DOUBLE * pow(0.75::DOUBLE, a.n - 1 - b.n) * b.reward), 0) AS credit
