@@ -46,8 +46,8 @@ def _pairs(index: DataFrame, queries: DataFrame, value: str, query_rows: int) ->
         return pa.table({"queries": pa.array([pickle.dumps((t.column("vec_id").to_numpy(), np.array(t.column(value).to_pylist())))], pa.binary())})
 
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("block").applyInArrow(packed, "queries binary")
-    shards = [r.shard for r in index.select("shard").collect()]
-    return blocks.withColumn("shard", F.explode(F.array(*map(F.lit, shards)) if shards else F.array().cast("array<int>"))).join(index, "shard")
+    last = index.agg(F.max("shard")).first()[0]
+    return blocks.where(F.lit(last is not None)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last or 0)))).join(index, "shard")
 
 
 def _best(query_id: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int, own: bool) -> list[np.ndarray]:
@@ -126,6 +126,19 @@ class VantageTree:
             score[has, n] = (queries[has] * self.vectors[self.row[has, n]]).sum(axis=1)
         return self.row, score
 
+    def search_ties(self, queries: np.ndarray, k: int, factor: float = 1.0, more: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which queries, rows, inner products) with all that tie with a query's k-th product: ``more`` rows than k are looked for, and
+        twice as many again for the queries whose last one found still ties, until none does or all rows are found."""
+        who, n = np.arange(len(queries)), len(self.vectors)
+        while len(who):
+            m = min(n, k + more)
+            row, score = self.search(queries[who], m, factor)
+            near = 1e-9 * self.top * np.linalg.norm(queries[who], axis=1)
+            kth = np.partition(score, max(m - k, 0), axis=1)[:, max(m - k, 0)]
+            tied = (m < n) & (kth > -np.inf) & (kth <= score.min(axis=1) + near)
+            yield who[~tied], row[~tied], score[~tied]
+            who, more = who[tied], more + m
+
     def _visit(self, at: int, who: np.ndarray, factor: float) -> None:
         node = self.nodes[at]
         if len(node) == 1:
@@ -161,7 +174,8 @@ class VantageTree:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k vectors of the largest inner product found, its own row left out.
 
-    Equal vectors are searched once and stand for their smallest ids. Trees are built once per shard and kept; every row is in one.
+    Equal vectors are searched once and stand for their smallest ids; different vectors that tie at the last rank are all looked for.
+    Trees are built once per shard and kept; every row is in one.
     Vectors null, zero, with null or non-finite components, or of another length than the commonest take no part, on either side; an
     empty table gives no rows. A query id that is repeated asks with the smallest of its vectors.
     """
@@ -180,9 +194,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACT
             for ix, qs in zip(b.column("index"), b.column("queries"), strict=True):
                 (tree, ids), (qid, q) = pickle.loads(ix.as_py()), pickle.loads(qs.as_py())
                 for low in range(0, len(qid), 1024):
-                    row, score = tree.search(q[low : low + 1024], min(len(ids), k + 9), factor)
-                    got = _best(qid[low : low + 1024], np.where(row[..., None] >= 0, ids[row], -1), score, k, False)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "vec_id", "score"])
+                    for who, row, score in tree.search_ties(q[low : low + 1024], k + 1, factor):
+                        got = _best(qid[low + who], np.where(row[..., None] >= 0, ids[row], -1), score, k, False)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["query_id", "vec_id", "score"])
 
     found = _pairs(index, asked, "v", query_rows).select("index", "queries").mapInArrow(look, "query_id long, vec_id long, score double")
     return _ranked(found, k)

@@ -365,6 +365,22 @@ def test_vantage_points(spark, factor):
     assert not search.nearest(df.limit(0), df.limit(0), 3).collect()
 
 
+def test_vantage_points_ties(spark):
+    """80 different vectors tie with the fifth product, spread over trees; the smallest ids of them are wanted."""
+    x = np.zeros((200, 3))
+    x[:, 1] = np.arange(200)
+    x[:, 0] = np.where(np.arange(200) % 5 < 2, 1.0, 0.5)
+    x[[190, 195]] = [[3, 0, 0], [2, 0, 0]]
+    x[20] = [1, 0, 0]
+    ids = np.random.default_rng(4).permutation(200) + 1000
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    s = x @ x[20]
+    want = [int(ids[k]) for k in np.lexsort((ids, -s)) if k != 20][:5]
+    for rows in (60, 1000):
+        got = sorted((r["rank"], r.vec_id) for r in search.nearest(df, df.where(f"vec_id = {ids[20]}"), 5, factor=1.0, shard_rows=rows).collect())
+        assert [v for _, v in got] == want
+
+
 def test_multi_index_hashing(spark):
     x, df = vectors(spark)
     codes = search.sign_codes(df)
