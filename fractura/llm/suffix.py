@@ -161,8 +161,12 @@ def _slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(at[a]), int(a), int(b)) for a, b in zip(cut, [*cut[1:], len(at)], strict=True)]
 
 
-def write_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> DataFrame:
-    """The documents as a table bucketed by block; a row a block."""
+def write_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The documents as a table bucketed by block, a row a block; and the number of buckets of keys.
+
+    The table has as many buckets as Spark allows (spark.sql.sources.bucketing.maxBuckets) or fewer, of about four blocks; with more
+    blocks than that a task reads more of them, one after another.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -184,7 +188,8 @@ def write_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> D
 
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    parts = int(min(20_000, max(8, total // (4 * block_bytes))))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    parts = int(min(most, max(8, total // (4 * block_bytes))))
     name = f"blocks_{uuid.uuid4().hex}"
     packed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pack, "block long, data binary, ends binary, ids binary")
     packed.write.bucketBy(parts, "block").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
