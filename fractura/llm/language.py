@@ -162,6 +162,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents. One without id is in no fold: nothing is learned from it, and its held_out is null."""
     docs = documents(spark, sf_dir)
     profiles = learn(docs.where(fold("doc_id", 3) != 1))
     return identify(docs.select("doc_id", "text"), profiles).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "cosine")

@@ -51,7 +51,8 @@ def encoder(vocabulary: str = VOCABULARY) -> Callable[[str], np.ndarray]:
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(n_tokens, n_docs): documents by exact encoded length; a null text counts as empty (length 0). An empty table gives no row."""
+    """(n_tokens, n_docs): documents by exact encoded length; a null text counts as empty (length 0), each of repeated rows for itself.
+    An empty table gives no row."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -101,7 +102,10 @@ def length_quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def cut_pieces(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and then END_ID, cut into ``limit`` ids where longer; the first piece takes what is over."""
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and then END_ID, cut into ``limit`` ids where longer; the first piece takes what is over.
+
+    A null text is empty: one piece, of END_ID alone. Rows of one id, or of none, are cut each for itself. An empty table gives no row.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)

@@ -352,7 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1; without a model 0) and ``predicted`` (1 from 0.5 on) to the rows; columns of these names are replaced.
 
-    Null and empty texts are scored as one empty window, texts of any length by all their windows; rows of one text get one score.
+    Null and empty texts are scored as one empty window, texts of any length by all their windows; rows of one text get
+    one score, but for the rounding of single precision, which depends on the texts beside them.
     """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -379,5 +380,6 @@ def learn(spark: SparkSession, sf_dir: str) -> Model | None:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents. One without id is in no fold: nothing is learned from it, and its held_out is null."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return score(docs, learn(spark, sf_dir)).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

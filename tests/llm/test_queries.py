@@ -67,3 +67,37 @@ def test_folds_and_query_sets(spark):
     three = queries.QUERIES["op3_vantage_point_search"](spark, DATA).collect()
     asked = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
     assert {r.query_id for r in three} <= asked and all(r.vec_id != r.query_id and 1 <= r["rank"] <= 20 for r in three)
+
+
+def test_queries_on_strange_tables(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null, empty and very long texts, columns named like results."""
+    from pyspark.sql import functions as F
+
+    base = spark.read.parquet(f"{DATA}/documents.parquet")
+    row = base.where("doc_id = 5").collect()[0]
+    make = lambda d, t: (d, t, row.lang, row.source, len(t or ""))
+    odd = [tuple(row), make(None, row.text), make(None, row.text), make(5, "other words here"), make(90001, None), make(90002, ""), make(90003, (row.text + " ") * 400)]
+    named = {c: F.lit(9) for c in ("score", "predicted", "held_out", "lang_pred", "piece", "length", "n_tokens")}
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).withColumns(named)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    n = docs.count()
+    for name in ("op5_language_id", "op7_toxicity"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        none = [r for r in got if r.doc_id is None]
+        assert len(got) == n and len(none) == 2 and all(r.held_out is None for r in none)
+        alike = [r.score for r in got if r.doc_id is None or r.doc_id == 5]
+        assert all(0 <= r.score <= 1 for r in got) and sum(s == pytest.approx(none[0].score, abs=1e-5) for s in alike) >= 4
+        by_id = {r.doc_id: r for r in got}
+        assert {90001, 90002, 90003} <= set(by_id) and by_id[90001].score == pytest.approx(by_id[90002].score, abs=1e-5)
+    hist = queries.QUERIES["op2_token_counts"](spark, str(tmp_path))
+    assert hist.columns and hist.count() > 1
+    pieces = queries.QUERIES["op8_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in pieces) == n
+    assert [(r.piece, r.length) for r in pieces if r.doc_id in (90001, 90002)] == [(0, 1)] * 2
+    rows = sorted((r.sequence_id, r.offset, r.length) for r in pieces)
+    at = {}
+    for seq, offset, length in rows:
+        assert offset == at.get(seq, 0)
+        at[seq] = offset + length
+    assert max(at.values()) <= 1024
