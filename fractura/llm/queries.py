@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, pieces, search, suffix, tokens, toxicity, urls
+from . import divergence, jaccard, language, pieces, search, spelling, suffix, tiles, tokens, toxicity, urls
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_best_fit_packing": tokens.op8_best_fit_packing,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_embedding_near_dedup": tiles.op12_embedding_near_dedup,
+    "op13_source_divergence": divergence.op13_source_divergence,
+}
+SQL: dict[str, str] = {
+    "op4_multi_index_hashing": search.OP4_SQL,
+    "op10_url_filters": urls.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
+    "op12_embedding_near_dedup": tiles.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
-SQL: dict[str, str] = {"op4_multi_index_hashing": search.OP4_SQL, "op10_url_filters": urls.OP10_SQL}
