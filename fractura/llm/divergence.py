@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import documents, keep
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What terms are cut at: splitting a text costs a tenth of matching in it.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of a language that a term must be in, and the ranks of terms that are returned.
 LEAST_DOCS, TOP = 10, 10
@@ -23,7 +25,8 @@ SALTS = 64
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term and rows it is in. A source without any term has one row of a null term."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    found = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), F.regexp_extract_all(F.translate(blank(text), UPPER, LOWER), F.lit(TERM), 0).alias("found"))
+    cut = F.array_remove(F.split(F.translate(blank(text), UPPER, LOWER), BETWEEN), "")
+    found = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), cut.alias("found"))
     seen = F.transform("found", lambda x: F.struct(x.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
     first = F.transform(F.array_distinct("found"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
     rows = found.select("lang", "source", F.explode_outer(F.concat(seen, first)).alias("x")).select("lang", "source", "x.term", "x.n", "x.d")
