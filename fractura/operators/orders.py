@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import cuts, kernels
+from . import cuts, kernels, scoring
 from .graph import static_order
 
 STRATEGIES = kernels.STRATEGIES | {"ratio_cut": cuts.by_ratio_cut, "cut_reinsertion": cuts.by_cut_reinsertion, "eigenvector": kernels._adaptive(kernels.eigenvector_of)}
-METRICS = "anc double, anc_prefix_k double, fht_50 long, fht_10 long, lcc_at_k double, k long"
 
 
 def orders(edges: DataFrame, strategies: list[str]) -> DataFrame:
@@ -51,47 +50,20 @@ def attacks(edges: DataFrame, seeds: list[int]) -> DataFrame:
     return rows.groupBy("graph_id", "strategy", "seed").applyInPandas(one, "graph_id string, strategy string, seed long, cost double")
 
 
-def _scored(edges: DataFrame, order: DataFrame, make, schema: str, partial: bool = False) -> DataFrame:
-    """One row set a (graph, strategy). ``partial``: orders may be prefixes; the other nodes follow by id, and make gets the prefix too."""
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        steps = right.sort_values("step").node.tolist()
-        adj = kernels.adjacency(left.src, left.dst, steps)
-        rows = make(adj, steps + [v for v in adj if v not in set(steps)], steps) if partial else make(adj, steps)
-        return rows.assign(graph_id=right.graph_id.iloc[0], strategy=right.strategy.iloc[0])[[c.split()[0] for c in schema.split(", ")]]
-
-    edges, order = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (edges, order))  # own columns, where one is made from the other
-    names = order.select("graph_id", F.col("strategy").alias("strategy")).distinct()
-    return edges.join(names, "graph_id").groupBy("graph_id", "strategy").cogroup(order.select(*(F.col(c).alias(c) for c in order.columns)).groupBy("graph_id", "strategy")).applyInPandas(one, schema)
-
-
 def evaluate(edges: DataFrame, order: DataFrame) -> DataFrame:
     """The metric record of each order."""
-    return _scored(edges, order, lambda adj, steps: pd.DataFrame([kernels.metrics(adj, steps)]), f"graph_id string, strategy string, {METRICS}")
+    return scoring.metrics(scoring.step_series(edges, order))
 
 
 def prefix_anc(edges: DataFrame, order: DataFrame) -> DataFrame:
     """(graph_id, strategy, steps, anc) of orders of any length: the mean share of connected pairs left after each removal that the
-    order has; null without removals or pairs."""
-
-    def one(adj, steps, given):
-        cp, _ = kernels.connectivity(adj, steps)
-        n = len(given)
-        return pd.DataFrame({"steps": [n], "anc": [float(cp[1 : n + 1].sum() / (n * cp[0])) if n and cp[0] else None]})
-
-    return _scored(edges, order, one, "graph_id string, strategy string, steps long, anc double", partial=True)
-
-
-def step_series(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """(graph_id, strategy, step, cp, lcc): connected pairs and largest component after each step from 0 on."""
+    order has; null without pairs."""
+    rows = scoring.step_series(edges, order, partial=True)
+    heads = rows.groupBy("graph_id", "strategy").agg(F.max("step").alias("steps"), F.max(F.when(F.col("step") == 0, F.col("cp"))).alias("c0"), F.sum(F.when(F.col("step") > 0, F.col("cp").cast("decimal(20,0)"))).cast("double").alias("total"))
+    return heads.select("graph_id", "strategy", "steps", F.when(F.col("c0") > 0, F.col("total") / (F.col("steps") * F.col("c0").cast("double"))).alias("anc"))
 
-    def rows(adj, steps):
-        cp, top = kernels.connectivity(adj, steps)
-        return pd.DataFrame({"step": range(len(cp)), "cp": cp.astype("int64"), "lcc": top})
 
-    return _scored(edges, order, rows, "graph_id string, strategy string, step long, cp long, lcc long")
+step_series = scoring.step_series
 
 
 def curve(series: DataFrame, share: float = 0.7) -> DataFrame:

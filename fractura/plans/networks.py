@@ -245,6 +245,32 @@ def anc_static_degree(spark, d):
     return rounded(orders.evaluate(e, static(e)), "anc", "anc_prefix_k", "lcc_at_k")
 
 
+#: Steps of the forest of places: what is left hangs together below the last ancestor that is still joined; it is three levels deep.
+_PLACES = f"""WITH {PLACES}{RANK}, pa AS (SELECT s.g, s.node, s.other AS parent FROM s WHERE s.node % 4 > 1 OR (s.node % 4 = 1 AND s.other % 4 = 0)),
+ln AS (SELECT o.g, o.strategy, o.node, o.step AS s0, p.parent AS n1, o1.step AS s1, q.parent AS n2, o2.step AS s2 FROM o LEFT JOIN pa p ON p.node = o.node LEFT JOIN o o1 ON o1.node = p.parent LEFT JOIN pa q ON q.node = p.parent LEFT JOIN o o2 ON o2.node = q.parent),
+t AS (SELECT g, strategy, unnest(range(0, count(*)::BIGINT + 1)) AS step FROM o GROUP BY g, strategy),
+q AS (SELECT t.g, t.strategy, t.step, CASE WHEN s1 > t.step THEN CASE WHEN s2 > t.step THEN n2 ELSE n1 END ELSE node END AS top, count(*) AS size FROM t JOIN ln ON ln.s0 > t.step GROUP BY ALL),
+u AS (SELECT t.g, t.strategy, t.step, coalesce(sum(size * (size - 1) // 2), 0)::BIGINT AS cp, coalesce(max(size), 0)::BIGINT AS lcc FROM t LEFT JOIN q ON q.g = t.g AND q.step = t.step GROUP BY ALL){METRICS}"""
+
+
+@query(f"{_PLACES} SELECT g AS graph_id, strategy, step, cp, lcc FROM u")
+def step_series_of_places(spark, d):
+    e = places(spark, d)
+    return orders.step_series(e, static(e))
+
+
+@query(f"{_PLACES} SELECT {_RECORD} FROM m")
+def anc_of_places(spark, d):
+    e = places(spark, d)
+    return rounded(orders.evaluate(e, static(e)), "anc", "anc_prefix_k", "lcc_at_k")
+
+
+@query()
+def anc_of_chain(spark, d):
+    e = chain(spark, d)
+    return rounded(orders.evaluate(e, static(e)), "anc", "anc_prefix_k", "lcc_at_k")
+
+
 @query(f"{_STATIC} SELECT g AS graph_id, strategy, max(step) AS steps, round(sum(cp / c0) / max(step), 6) AS anc FROM v WHERE step BETWEEN 1 AND 20 GROUP BY g, strategy")
 def anc_of_a_prefix(spark, d):
     e = types(spark, d)
