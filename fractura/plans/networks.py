@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fractura.operators import graph, orders, perturb, samplers, search
+from fractura.operators import communities, graph, orders, partition, perturb, samplers, search
 from fractura.session import read
 
 from .inputs import CHAIN, METRICS, PART_SUPP, PLACES, RANK, REACH, STEPS, TYPES, chain, distances, part_supp, places, static, types, weighted_chain
@@ -524,3 +524,52 @@ def sample_quality(spark, d):
 def samples_quality(spark, d):
     e = types(spark, d)
     return rounded(samplers.quality(e, samplers.sample(e, list(samplers.SAMPLERS), 40)), "mean_degree", "clustering", "avg_path")
+
+
+# --- communities, cuts
+
+
+@query(f"""WITH {PLACES}, ma AS (SELECT s.g, s.node, CASE WHEN s.node % 4 = 1 THEN s.node ELSE min(s.other) END AS community FROM s GROUP BY s.g, s.node),
+xe AS (SELECT c.g, a.community AS x, b.community AS y FROM c JOIN ma a ON a.node = c.src JOIN ma b ON b.node = c.dst), xm AS (SELECT count(*) AS m FROM xe),
+xt AS (SELECT g, community, sum(tot) AS tot, sum(half) / 2 AS inside FROM (SELECT g, x AS community, 1 AS tot, (x = y)::INT AS half FROM xe UNION ALL SELECT g, y, 1, (x = y)::INT FROM xe) GROUP BY g, community)
+SELECT g AS graph_id, count(*) AS n_communities, round(sum(inside / m - (tot / (2.0::DOUBLE * m)) * (tot / (2.0::DOUBLE * m))), 6) AS modularity FROM xt, xm GROUP BY g""")
+def modularity_by_nation(spark, d):
+    e = places(spark, d)
+    own = graph.symmetric(e).groupBy("graph_id", "node").agg(F.min("other").alias("least"))
+    parts = own.select("graph_id", "node", F.when(F.col("node") % 4 == 1, F.col("node")).otherwise(F.col("least")).alias("community"))
+    return rounded(communities.modularity(e, parts), "modularity")
+
+
+@query()
+def communities_of_places(spark, d):
+    e = places(spark, d)
+    return communities.louvain(e)
+
+
+@query()
+def bisection_of_chain(spark, d):
+    return partition.bisection(chain(spark, d))
+
+
+#: Rounds that take the edges whose draw is the smallest at both ends, among the edges of the chain whose ends are of different parity.
+_MATCHED = f"""{CHAIN}, mt(i, g, node, other, rk) AS (SELECT 0, g, node, other, md5(concat_ws('|', 48, least(node, other), greatest(node, other))) FROM s WHERE node % 2 <> other % 2
+ UNION ALL SELECT i + 1, g, node, other, rk FROM (SELECT *, max(hit) OVER (PARTITION BY g, node) AS cn, max(hit) OVER (PARTITION BY g, other) AS co
+ FROM (SELECT *, (rk = min(rk) OVER (PARTITION BY g, node) AND rk = min(rk) OVER (PARTITION BY g, other))::INT AS hit FROM mt)) WHERE cn = 0 AND co = 0),
+hits AS (SELECT g, node, other FROM (SELECT *, min(rk) OVER (PARTITION BY i, g, node) AS r1, min(rk) OVER (PARTITION BY i, g, other) AS r2 FROM mt) WHERE rk = r1 AND rk = r2)"""
+
+
+def _parity(spark, d):
+    e = chain(spark, d)
+    return e, graph.nodes(e).select("graph_id", "node", (F.col("node") % 2).alias("side"))
+
+
+@query(f"WITH RECURSIVE {_MATCHED} SELECT g AS graph_id, node FROM hits")
+def cut_cover(spark, d):
+    return partition.cut_cover(*_parity(spark, d), 48)
+
+
+@query(f"WITH RECURSIVE {_MATCHED} SELECT g AS graph_id, node AS u, other AS v FROM hits WHERE node < other")
+def cut_matching(spark, d):
+    e, _ = _parity(spark, d)
+    cut = e.where("src % 2 <> dst % 2").select("graph_id", F.col("src").alias("u"), F.col("dst").alias("v"))
+    return partition.matching(cut.withColumn("rank", perturb.draw(48, "u", "v")))
