@@ -13,11 +13,13 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def survivors(candidates: DataFrame, n: int) -> DataFrame:
-    """Per generation: failed ones go, then repeated code, then repeated objectives (first by objective, id); the n smallest stay."""
-    first = lambda *by: F.row_number().over(Window.partitionBy("generation", *by).orderBy("objective", "id"))
-    c = candidates.where("objective is not null").withColumn("r", first("code")).where("r = 1")
-    c = c.withColumn("r", first("objective")).where("r = 1")
-    return c.withColumn("rank", first().cast("long")).where(F.col("rank") <= n).select("generation", "rank", "id", "objective")
+    """Per generation: candidates that failed or have no code go, then repeated code (the smallest id stays), then repeated objectives: of
+    those the one of the smallest fht_50, fht_10 and id stays, a missing time counting as the largest. The n smallest objectives stay."""
+    times = [F.asc_nulls_last("fht_50"), F.asc_nulls_last("fht_10")]
+    first = lambda *by, order: F.row_number().over(Window.partitionBy("generation", *by).orderBy(*order))
+    c = candidates.where("objective is not null and code is not null").withColumn("r", first("code", order=["id"])).where("r = 1")
+    c = c.withColumn("r", first("objective", order=[*times, "id"])).where("r = 1")
+    return c.withColumn("rank", first(order=["objective"]).cast("long")).where(F.col("rank") <= n).select("generation", "rank", "id", "objective", "fht_50")
 
 
 def rank_weights(ranked: DataFrame) -> DataFrame:
@@ -28,7 +30,8 @@ def rank_weights(ranked: DataFrame) -> DataFrame:
 
 
 def roulette_weights(ranked: DataFrame) -> DataFrame:
-    raw = 1.0 / (F.col("objective") + 1e-6)
+    """Parent weights by the inverse objective; 1e-6 of the time to one half is added to it, so that faster ones win ties."""
+    raw = 1.0 / (F.col("objective") + 1e-6 * F.coalesce("fht_50", F.lit(0)) + 1e-6)
     w = Window.partitionBy("generation")
     return ranked.withColumn("raw", raw).select("generation", "id", (F.col("raw") / F.sum("raw").over(w)).alias("weight"))
 
@@ -134,3 +137,11 @@ def top_similar(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096
     found = pairs.select("q_ids", "q_vecs", "v_ids", "v_vecs").mapInArrow(look, "query long, id long, dot double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("dot"), "id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def similar_parents(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, rank) of the parents of each query: its k most similar rows of vectors(id, vec, objective), then, at rank k + 1, the row
+    of the largest objective of all (the smallest id on ties), be it one of them or not."""
+    worst = vectors.where("objective is not null").agg(F.max_by("id", F.struct("objective", -F.col("id"))).alias("id"))
+    extra = queries.select(F.col("id").alias("query")).join(F.broadcast(worst)).select("query", "id", F.lit(k + 1).cast("long").alias("rank"))
+    return top_similar(vectors, queries, k).select("query", "id", "rank").unionByName(extra)

@@ -17,7 +17,9 @@ from .graph import static_order
 from .perturb import draw
 
 #: Nodes of a graph that is not merged further, starts that divide it, and nodes that one window pairs up.
-COARSE, STARTS, WIDTH = 128, 20, 4_096
+COARSE, STARTS, WIDTH = 512, 20, 4_096
+#: Share of the cut that a round of exchanges must take off for another one to follow.
+LEAST = 0.005
 
 
 def _ends(e: DataFrame, *more: str) -> DataFrame:
@@ -29,18 +31,21 @@ def _ends(e: DataFrame, *more: str) -> DataFrame:
 def matching(e: DataFrame) -> DataFrame:
     """(graph_id, u, v): the edges that taking one after the other by rank, where both ends are free, would take. e: (graph_id, u, v, rank),
     ranks distinct in a graph. A round takes all edges that are first at both ends; drawn ranks need few rounds."""
-    left, taken = stored(e.select("graph_id", "u", "v", "rank")), None
-    while left.limit(1).count():
+    left, taken = e.select("graph_id", "u", "v", "rank"), None
+    while True:
         first = _ends(left, "rank").groupBy("graph_id", "node").agg(F.min("rank").alias("first"))
         at = lambda end, first=first: first.select("graph_id", F.col("node").alias(end), F.col("first").alias(f"first_{end}"))
         met = left.join(at("u"), ["graph_id", "u"]).join(at("v"), ["graph_id", "v"])
-        new = stored(met.where("rank = first_u and rank = first_v").select("graph_id", "u", "v"))
+        met = stored(met.select("graph_id", "u", "v", "rank", (F.col("rank").eqNullSafe(F.col("first_u")) & F.col("rank").eqNullSafe(F.col("first_v"))).alias("hit")))
+        new = met.where("hit").select("graph_id", "u", "v")
         taken = new if taken is None else taken.unionByName(new)
+        left = met.where("not hit").drop("hit")
+        if not left.limit(1).count():
+            return taken
         gone = new.select("graph_id", F.explode(F.array("u", "v")).alias("node"))
         for end in ("u", "v"):
             left = left.join(gone.withColumnRenamed("node", end), ["graph_id", end], "left_anti")
-        left = stored(left.select("graph_id", "u", "v", "rank"))
-    return taken if taken is not None else left.select("graph_id", "u", "v")
+        left = left.select("graph_id", "u", "v", "rank")
 
 
 def cut_cover(edges: DataFrame, sides: DataFrame, seed: int) -> DataFrame:
@@ -135,20 +140,25 @@ def _by_gain(rows: DataFrame, *key: str) -> DataFrame:
     return rows.withColumn("_name", name).join(place, ["_name", "node"]).drop("_name")
 
 
-def refined(e: DataFrame, sides: DataFrame) -> DataFrame:
-    """Sides after rounds of exchanges: of nodes no two of which are neighbours, the n-th best of one side changes with the n-th best of the
-    same size of the other, where both together shorten the cut. It ends when no exchange does."""
+def refined(e: DataFrame, sides: DataFrame, least: float = LEAST) -> DataFrame:
+    """Sides after rounds of exchanges: the n-th best of one side changes with the n-th best of the same size of the other, where both together
+    shorten the cut. Of neighbours on different sides only the better one may change, so that what nodes gain adds up (neighbours that
+    change from the same side gain more). A graph is done when a round shortens its cut by less than ``least`` of it, or not at all."""
     while True:
         gains = stored(_gains(e, sides))
         strong = lambda x: F.struct(F.col(f"{x}gain"), F.xxhash64(f"{x}node"), F.col(f"{x}node"))
-        near = _ends(e).join(gains.select("graph_id", "node", "gain"), ["graph_id", "node"]).join(gains.select("graph_id", F.col("node").alias("other"), F.col("gain").alias("_gain"), F.col("node").alias("_node")), ["graph_id", "other"])
+        theirs = gains.select("graph_id", F.col("node").alias("other"), F.col("gain").alias("_gain"), F.col("node").alias("_node"), F.col("side").alias("_side"))
+        near = _ends(e, "w").join(gains.select("graph_id", "node", "gain", "side"), ["graph_id", "node"]).join(theirs, ["graph_id", "other"]).where("side <> _side")
         beaten = near.where(strong("") < strong("_")).select("graph_id", "node").distinct()
+        cut = near.where("side = 0").groupBy("graph_id").agg(F.sum("w").alias("cut"))
         ranked = _by_gain(gains.join(beaten, ["graph_id", "node"], "left_anti"), "side", "size")
         one, two = (ranked.where(F.col("side") == s).select("graph_id", "size", "step", F.col("node").alias(f"n{s}"), F.col("gain").alias(f"g{s}")) for s in (0, 1))
-        moved = stored(one.join(two, ["graph_id", "size", "step"]).where("g0 + g1 > 0").select("graph_id", F.explode(F.array("n0", "n1")).alias("node"), F.lit(1).alias("m")))
-        if not moved.limit(1).count():
+        moved = stored(one.join(two, ["graph_id", "size", "step"]).where("g0 + g1 > 0").select("graph_id", "n0", "n1", (F.col("g0") + F.col("g1")).alias("gain")))
+        enough = moved.groupBy("graph_id").agg(F.sum("gain").alias("gain")).join(cut, "graph_id").where(F.col("gain") >= least * F.col("cut")).select("graph_id")
+        if not enough.limit(1).count():
             return sides
-        sides = stored(sides.join(moved, ["graph_id", "node"], "left").select("graph_id", "node", "size", F.when(F.col("m").isNull(), F.col("side")).otherwise(1 - F.col("side")).alias("side")))
+        flips = moved.join(enough, "graph_id").select("graph_id", F.explode(F.array("n0", "n1")).alias("node"), F.lit(1).alias("m"))
+        sides = stored(sides.join(flips, ["graph_id", "node"], "left").select("graph_id", "node", "size", F.when(F.col("m").isNull(), F.col("side")).otherwise(1 - F.col("side")).alias("side")))
 
 
 def evened(e: DataFrame, sides: DataFrame) -> DataFrame:

@@ -146,8 +146,10 @@ def formatted(value: Column) -> Column:
     return F.when(value.isNull(), "-").when(value == F.floor(value), F.floor(value).cast("string")).otherwise(F.format_string("%.1f", F.bround(value, 1)))
 
 
-def narrative(curve: DataFrame) -> DataFrame:
-    """All improvements in order as one text: ``generation:delta``."""
-    item = F.struct("generation", F.concat_ws(":", "generation", F.format_string("%.4f", "delta")).alias("s"))
-    jumps = curve.where("improves").agg(F.array_sort(F.collect_list(item)).alias("j"))
+def narrative(curve: DataFrame, places: int = 5) -> DataFrame:
+    """All improvements in order as one text, ``g3(op):a->b`` each: generation, operator, the best before and after. curve: (generation,
+    operator, best, before, improves); an improvement without a best before is the start, and left out."""
+    number = lambda c: F.format_string(f"%.{places}f", c)
+    text = F.concat(F.lit("g"), F.col("generation").cast("string"), F.lit("("), "operator", F.lit("):"), number("before"), F.lit("->"), number("best"))
+    jumps = curve.where("improves and before is not null").agg(F.array_sort(F.collect_list(F.struct("generation", text.alias("s")))).alias("j"))
     return jumps.select(F.array_join(F.transform("j", lambda x: x.s), "; ").alias("jumps"))

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from fractura.operators import evolve, reports
 from fractura.session import read
 
-from .inputs import trace
+from .inputs import FHT, SURVIVORS, trace
 from .registry import query, rounded
 
-T = "t AS (SELECT event_id AS id, day(ts)::BIGINT AS generation, event_type AS operator, value AS objective, props AS code FROM events)"
+T = "t AS (SELECT event_id AS id, day(ts)::BIGINT AS generation, event_type AS operator, value AS objective, props AS code, " + FHT + " FROM events)"
 
 # --- evolution
 
-SURV = T + ", a AS (SELECT *, row_number() OVER (PARTITION BY generation, code ORDER BY objective, id) AS r FROM t WHERE objective IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY generation, objective ORDER BY objective, id) AS q FROM a WHERE r = 1), v AS (SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY objective, id) AS rank, id, objective FROM b WHERE q = 1)"
+SURV = T + SURVIVORS
 BEST = T + ", g AS (SELECT generation, min(objective) AS best FROM t GROUP BY generation), h AS (SELECT *, min(best) OVER (ORDER BY generation ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g), w AS (SELECT generation, best, least(best, coalesce(before, best)) AS best_so_far, before IS NULL OR best < before - 1e-12 AS improves, CASE WHEN best < before - 1e-12 THEN before - best ELSE 0.0 END AS delta FROM h)"
 STAT = T + ", o AS (SELECT generation, operator, count(*) AS offspring, count(objective) AS valid, min(objective) AS best, avg(objective) AS mean FROM t GROUP BY generation, operator)"
 
 
-@query(f"WITH {SURV} SELECT * FROM v WHERE rank <= 10")
+@query(f"WITH {SURV} SELECT generation, rank, id, objective, fht_50 FROM v WHERE rank <= 10")
 def survivors(spark, d):
     return evolve.survivors(trace(spark, d), 10)
 
@@ -30,7 +30,7 @@ def parent_weights_rank(spark, d):
     return rounded(evolve.rank_weights(survivors(spark, d)), "weight")
 
 
-@query(f"WITH {SURV}, x AS (SELECT generation, id, 1.0::DOUBLE / (objective + 1e-6) AS raw FROM v WHERE rank <= 10) SELECT generation, id, round(raw / sum(raw) OVER (PARTITION BY generation), 6) AS weight FROM x")
+@query(f"WITH {SURV}, x AS (SELECT generation, id, 1.0::DOUBLE / (objective + 1e-6::DOUBLE * coalesce(fht_50, 0) + 1e-6) AS raw FROM v WHERE rank <= 10) SELECT generation, id, round(raw / sum(raw) OVER (PARTITION BY generation), 6) AS weight FROM x")
 def parent_weights_roulette(spark, d):
     return rounded(evolve.roulette_weights(survivors(spark, d)), "weight")
 
@@ -78,6 +78,14 @@ def embedding_topk(spark, d):
     return evolve.top_similar(v, v.where("label = 0"), 4).withColumn("dot", F.round("dot", 5))
 
 
+@query("""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q.vec_id AS query, v.vec_id AS id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i]::DOUBLE * v.embedding[i]::DOUBLE)) AS dot FROM q JOIN embeddings v ON v.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dot DESC, id) AS rank FROM p), w AS (SELECT vec_id AS id FROM embeddings ORDER BY label DESC NULLS LAST, vec_id LIMIT 1)
+SELECT query, id, rank FROM r WHERE rank <= 4 UNION ALL SELECT q.vec_id, w.id, 5 FROM q, w""")
+def embedding_parents(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("objective"))
+    return evolve.similar_parents(v, v.where("id % 100 = 0"), 4)
+
+
 # --- analytics
 
 PHASE = "CASE WHEN generation BETWEEN 1 AND 10 THEN 'early' WHEN generation BETWEEN 11 AND 20 THEN 'middle' WHEN generation BETWEEN 21 AND 30 THEN 'late' ELSE 'other' END"
@@ -110,6 +118,12 @@ def pivot_methods(spark, d):
     return rounded(reports.pivot(scores(spark, d), ["F-1", "O-1"]), "F-1", "O-1")
 
 
-@query(f"WITH {BEST} SELECT string_agg(generation || ':' || printf('%.4f', delta), '; ' ORDER BY generation) AS jumps FROM w WHERE improves")
+@query(f"""WITH {BEST}, f AS (SELECT generation, first(operator ORDER BY objective, id) AS operator FROM t WHERE objective IS NOT NULL GROUP BY generation)
+SELECT coalesce(string_agg('g' || w.generation || '(' || operator || '):' || printf('%.5f', h.before) || '->' || printf('%.5f', w.best), '; ' ORDER BY w.generation), '') AS jumps
+FROM w JOIN h ON h.generation = w.generation JOIN f ON f.generation = w.generation WHERE improves AND h.before IS NOT NULL""")
 def narrative(spark, d):
-    return reports.narrative(evolve.best_so_far(trace(spark, d)))
+    t = trace(spark, d)
+    by = t.where("objective is not null").groupBy("generation").agg(F.min_by("operator", F.struct("objective", "id")).alias("operator"))
+    curve = evolve.best_so_far(t)
+    before = F.when(F.col("improves") & (F.col("delta") > 0), F.col("best") + F.col("delta"))
+    return reports.narrative(curve.join(by, "generation").withColumn("before", before))

@@ -47,9 +47,15 @@ METRICS = """, v AS (SELECT *, max(step) OVER w AS n, max(CASE WHEN step = 0 THE
 m AS (SELECT g AS graph_id, strategy, sum(CASE WHEN step > 0 THEN cp / c0 END) / max(n) AS anc, sum(CASE WHEN step BETWEEN 1 AND k THEN cp / c0 END) / max(k) AS anc_prefix_k,
  coalesce(min(CASE WHEN step > 0 AND cp / c0 <= 0.5 THEN step END), max(n)) AS fht_50, coalesce(min(CASE WHEN step > 0 AND cp / c0 <= 0.1 THEN step END), max(n)) AS fht_10,
  max(CASE WHEN step = k THEN lcc END) / max(n) AS lcc_at_k, max(k) AS k FROM v GROUP BY g, strategy)"""
+#: Hitting times of a candidate; some have none.
+FHT = "CASE WHEN user_id % 7 <> 0 THEN user_id % 50 END AS fht_50, user_id % 90 AS fht_10"
+#: Survivors (v) of a trace (t), ranked.
+SURVIVORS = """, a AS (SELECT *, row_number() OVER (PARTITION BY generation, code ORDER BY id) AS r FROM t WHERE objective IS NOT NULL AND code IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY generation, objective ORDER BY fht_50 NULLS LAST, fht_10 NULLS LAST, id) AS q FROM a WHERE r = 1),
+v AS (SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY objective) AS rank, id, objective, fht_50 FROM b WHERE q = 1)"""
 #: A trace: candidates (events) by generation (their day) and operator.
 TRACE = """t AS (SELECT event_id AS id, day(ts)::BIGINT AS generation, CASE event_type WHEN 'view' THEN 'm1' WHEN 'click' THEN 'm2' WHEN 'purchase' THEN 'e1' WHEN 'signup' THEN 'e2' ELSE 'i1' END AS operator,
- CASE WHEN user_id % 10 = 3 THEN NULL ELSE value END AS objective, props AS code, user_id / 10.0::DOUBLE AS time FROM events)"""
+ CASE WHEN user_id % 10 = 3 THEN NULL ELSE value END AS objective, props AS code, user_id / 10.0::DOUBLE AS time, """ + FHT + " FROM events)"
 #: Base weights of its operators.
 BASE = {"e1": 0.5, "e2": 0.6, "i1": 0.45, "m1": 0.55, "m2": 0.4}
 
@@ -94,15 +100,19 @@ def static(edges: DataFrame) -> DataFrame:
     return graph.static_order(graph.degree(edges), F.col("degree")).withColumn("strategy", F.lit("static"))
 
 
+def _times() -> list[Column]:
+    return [F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 50).alias("fht_50"), (F.col("user_id") % 90).alias("fht_10")]
+
+
 def trace(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), F.col("event_type").alias("operator"), F.col("value").alias("objective"), F.col("props").alias("code"))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), F.col("event_type").alias("operator"), F.col("value").alias("objective"), F.col("props").alias("code"), *_times())
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     """The trace with names of operators, times, and candidates that failed (a null objective)."""
     kind = F.col("event_type")
     name = F.when(kind == "view", "m1").when(kind == "click", "m2").when(kind == "purchase", "e1").when(kind == "signup", "e2").otherwise("i1")
-    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), name.alias("operator"), F.when(F.col("user_id") % 10 != 3, F.col("value")).alias("objective"), F.col("props").alias("code"), (F.col("user_id") / 10.0).alias("time"))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.dayofmonth("ts").cast("long").alias("generation"), name.alias("operator"), F.when(F.col("user_id") % 10 != 3, F.col("value")).alias("objective"), F.col("props").alias("code"), (F.col("user_id") / 10.0).alias("time"), *_times())
 
 
 def base(spark: SparkSession) -> DataFrame:

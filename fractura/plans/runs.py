@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fractura.operators import control, evolve
 
-from .inputs import BASE, TRACE, base, candidates
+from .inputs import BASE, SURVIVORS, TRACE, base, candidates
 from .registry import query, rounded
 
 _HASH = "('0x' || substr(md5(concat_ws('|', {})), 1, 12))::BIGINT"
@@ -20,8 +20,7 @@ def _clip(x: str) -> str:
 
 # --- parents and acceptance
 
-_POOL = TRACE + """, a AS (SELECT *, row_number() OVER (PARTITION BY generation, code ORDER BY objective, id) AS r FROM t WHERE objective IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY generation, objective ORDER BY objective, id) AS q FROM a WHERE r = 1),
-v AS (SELECT generation, row_number() OVER (PARTITION BY generation ORDER BY objective, id) AS rank, id, objective FROM b WHERE q = 1), pool AS (SELECT * FROM v WHERE rank <= 10),
+_POOL = TRACE + SURVIVORS + """, pool AS (SELECT * FROM v WHERE rank <= 10),
 asked AS (SELECT generation, n, unnest(range(1, 9))::BIGINT AS draw FROM (SELECT generation, count(*) AS n FROM pool GROUP BY generation))"""
 
 
