@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fractura.session import settle
+from fractura.session import settle, stored
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -252,34 +252,61 @@ def path_lengths(edges: DataFrame) -> DataFrame:
     return d.groupBy("graph_id").agg(F.avg("distance").alias("avg_path"), F.max("distance").alias("diameter"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """A fixed number of power iterations, uniform start and teleport (each node has a neighbour here)."""
+def _settled(state: DataFrame, x: str, before: str, share: float) -> bool:
+    """Whether in each graph the sum of changes is below ``share`` a node."""
+    moved = state.groupBy("graph_id").agg(F.sum(F.abs(F.col(x) - F.col(before))).alias("moved"), F.count("*").alias("n"))
+    return not moved.where(F.isnan("moved") | (F.col("moved") >= share * F.col("n"))).limit(1).count()
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-11, among: DataFrame | None = None, most: int = 1_000) -> DataFrame:
+    """(graph_id, node, rank): uniform teleport; isolated nodes of ``among`` spread their rank over all nodes.
+
+    Rounds go on until ranks change by less than ``tolerance`` a node in each graph; an error after ``most`` of them. Links go both ways, so
+    that all eigenvalues are real and within the damping: each round extrapolates from the last two (Chebyshev's weights), which takes about
+    a quarter of the rounds of plain iteration.
+    """
     d = degree(edges)
-    n = d.groupBy("graph_id").agg(F.count("*").alias("n"))
-    links = settle(symmetric(edges).join(d, ["graph_id", "node"]).join(n, "graph_id"))
-    rank = d.join(n, "graph_id").select("graph_id", "node", (1.0 / F.col("n")).alias("rank"))
-    for step in range(rounds):
-        flow = links.join(rank, ["graph_id", "node"]).groupBy("graph_id", F.col("other").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("s"), F.first("n").alias("n"))
-        rank = flow.select("graph_id", "node", ((1 - damping) / F.col("n") + damping * F.col("s")).alias("rank"))
-        rank = settle(rank) if step % 5 == 4 else rank
-    return rank
-
-
-def eigenvector(edges: DataFrame, rounds: int = 50, weight: str | None = None) -> DataFrame:
-    """(graph_id, node, centrality): a fixed number of power iterations of A + I (A with weights, if a column is named), of length 1."""
-    w = F.lit(1.0) if weight is None else F.col(weight)
+    every = d if among is None else degree(edges, among)
+    n = every.groupBy("graph_id").agg(F.count("*").alias("n"), F.sum((F.col("degree") == 0).cast("long")).alias("alone"))
+    base = ((1 - damping) / F.col("n")) / (1 - damping * F.col("alone") / F.col("n"))
+    known = stored(every.join(n, "graph_id").select("graph_id", "node", "degree", base.alias("base")))
+    links = stored(symmetric(edges))
+    state, weight = stored(known.select("graph_id", "node", "degree", "base", F.col("base").alias("before"), F.col("base").alias("rank"))), 1.0
+    for step in range(1, most + 1):
+        flow = links.join(state.where("degree > 0").select("graph_id", "node", (F.col("rank") / F.col("degree")).alias("part")), ["graph_id", "node"]).groupBy("graph_id", F.col("other").alias("node")).agg(F.sum("part").alias("s"))
+        plain = F.col("base") + damping * F.coalesce("s", F.lit(0.0))
+        state = state.join(flow, ["graph_id", "node"], "left").select("graph_id", "node", "degree", "base", F.col("rank").alias("before"), (F.lit(weight) * (plain - F.col("before")) + F.col("before")).alias("rank"))
+        weight = 1 / (1 - damping**2 / 2) if step == 1 else 1 / (1 - damping**2 * weight / 4)
+        if step % 3 == 0:
+            state = stored(state)
+            if _settled(state, "rank", "before", tolerance):
+                return state.select("graph_id", "node", "rank")
+    raise RuntimeError(f"ranks still change after {most} rounds")
+
+
+def eigenvector(edges: DataFrame, weight: str | None = None, tolerance: float = 1e-11, most: int = 5_000) -> DataFrame:
+    """(graph_id, node, centrality): the leading eigenvector of the (weighted) adjacency matrix, of length 1.
+
+    Power iteration on the matrix plus half the mean strength of the graph on its diagonal, which has the same vectors and keeps the
+    opposite eigenvalue of two-sided graphs from slowing it. Three rounds at a time, until they change the vector by less than ``tolerance`` a
+    node in each graph; an error after ``most`` of them. Graphs in parts of the same leading eigenvalue have no one such vector; the start decides.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"))))
-    links = edges.select("graph_id", ends.alias("e"), w.alias("w")).select("graph_id", "e.node", "e.other", "w")
-    links = settle(links.unionByName(nodes(edges).select("graph_id", "node", F.col("node").alias("other"), F.lit(1.0).alias("w"))))
-    n = nodes(edges).groupBy("graph_id").agg(F.count("*").alias("n"))
-    x = nodes(edges).join(n, "graph_id").select("graph_id", "node", (1.0 / F.col("n")).alias("x"))
-    for step in range(rounds):
-        x = links.join(x, ["graph_id", "node"]).groupBy("graph_id", F.col("other").alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))
-        if step % 5 == 4 or step == rounds - 1:
-            x = settle(x)
-            norm = x.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-            x = x.join(norm, "graph_id").select("graph_id", "node", (F.col("x") / F.col("norm")).alias("x"))
-    return x.withColumnRenamed("x", "centrality")
+    links = stored(edges.select("graph_id", ends.alias("e"), w.alias("w")).select("graph_id", "e.node", "e.other", "w"))
+    every = links.select("graph_id", "node").distinct()
+    size = links.groupBy("graph_id").agg(F.sum("w").alias("all")).join(every.groupBy("graph_id").agg(F.count("*").alias("n")), "graph_id")
+    state = stored(every.join(size, "graph_id").select("graph_id", "node", (F.col("all") / F.col("n") / 2).alias("shift"), (1 / F.sqrt("n")).alias("x"), F.lit(0.0).alias("before")))
+    for _ in range(0, most, 3):
+        grown = state.select("graph_id", "node", "shift", F.col("x").alias("before"), F.col("x").alias("y"))
+        for _ in range(3):
+            flow = links.join(grown.select("graph_id", "node", "y"), ["graph_id", "node"]).groupBy("graph_id", F.col("other").alias("node")).agg(F.sum(F.col("y") * F.col("w")).alias("s"))
+            grown = grown.join(flow, ["graph_id", "node"]).select("graph_id", "node", "shift", "before", (F.col("s") + F.col("shift") * F.col("y")).alias("y"))
+        norm = grown.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
+        state = stored(grown.join(norm, "graph_id").select("graph_id", "node", "shift", "before", (F.col("y") / F.col("norm")).alias("x")))
+        if _settled(state, "x", "before", tolerance):
+            return state.select("graph_id", "node", F.col("x").alias("centrality"))
+    raise RuntimeError(f"the vector still changes after {most} rounds")
 
 
 def static_order(features: DataFrame, by: Column) -> DataFrame:

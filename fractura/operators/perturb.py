@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fractura.operators import orders
 from fractura.operators.graph import nodes, static_order, without_nodes
-from fractura.session import settle
+from fractura.session import settle, stored
 
 
 def draw(seed: int, *key: str) -> Column:
@@ -22,15 +22,20 @@ def uniform(seed: int, *key: str) -> Column:
     return F.conv(F.substring(draw(seed, *key), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def first_share(rows: DataFrame, share: float, seed: int, *key: str) -> DataFrame:
-    """max(1, round(share * n)) rows of each graph, those of the smallest draws. Rows are counted by the first four digits of the draw,
+def ranked_by_draw(rows: DataFrame, seed: int, *key: str) -> DataFrame:
+    """Adds _rank, the place of a row's draw in its graph, and _all, the graph's rows. Rows are counted by the first four digits of the draw,
     so that only the rows of one such part are sorted at once."""
     some = rows.withColumn("_draw", draw(seed, *key)).withColumn("_part", F.substring("_draw", 1, 4))
     before = Window.partitionBy("graph_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = some.groupBy("graph_id", "_part").agg(F.count("*").alias("_n"))
     ahead = sizes.select("graph_id", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"), F.sum("_n").over(Window.partitionBy("graph_id")).alias("_all"))
     rank = F.row_number().over(Window.partitionBy("graph_id", "_part").orderBy("_draw", *key)) + F.col("_ahead")
-    return some.join(ahead, ["graph_id", "_part"]).withColumn("_rank", rank).where(F.col("_rank") <= F.greatest(F.lit(1), F.round(F.col("_all") * share))).select(rows.columns)
+    return some.join(ahead, ["graph_id", "_part"]).withColumn("_rank", rank)
+
+
+def first_share(rows: DataFrame, share: float, seed: int, *key: str) -> DataFrame:
+    """max(1, round(share * n)) rows of each graph, those of the smallest draws."""
+    return ranked_by_draw(rows, seed, *key).where(F.col("_rank") <= F.greatest(F.lit(1), F.round(F.col("_all") * share))).select(rows.columns)
 
 
 def drop_edges(edges: DataFrame, share: float, seed: int) -> DataFrame:
@@ -55,8 +60,8 @@ def top_core(cores: DataFrame, k: int, seed: int) -> DataFrame:
 
 def noise_edges(edges: DataFrame, share: float, seed: int) -> DataFrame:
     """max(1, round(share * m)) new edges of each graph. Tries are numbered; a try's draws name its two ends; loops, edges that are
-    there and repeated tries do not count; of the others the first are taken. Tries go on until there are enough (or until a graph
-    with hardly any absent pair has had 64 rounds of them)."""
+    there and repeated tries do not count; of the others the first are taken. A graph that 128 tries an edge leave short has hardly more
+    absent pairs than it needs: they are listed, and the first by draw are taken, all of them if there are no more."""
     known = settle(static_order(nodes(edges).withColumn("zero", F.lit(0)), F.col("zero")))
     sizes = known.groupBy("graph_id").agg(F.count("*").alias("n")).join(edges.groupBy("graph_id").agg(F.count("*").alias("m")), "graph_id")
     sizes = settle(sizes.withColumn("want", F.greatest(F.lit(1), F.round(F.col("m") * share)).cast("long")))
@@ -73,9 +78,14 @@ def noise_edges(edges: DataFrame, share: float, seed: int) -> DataFrame:
         found = settle(new.join(first, ["graph_id", "try"]).where("step <= want").select("graph_id", "src", "dst"))
         short = sizes.join(found.groupBy("graph_id").agg(F.count("*").alias("got")), "graph_id", "left").where("coalesce(got, 0) < want")
         if not short.limit(1).count():
-            break
+            return found
         tries *= 2
-    return found
+    some = stored(short.select("graph_id", (F.col("want") - F.coalesce("got", F.lit(0))).alias("need")))
+    ends = known.join(some, "graph_id").select("graph_id", "node")
+    pairs = ends.withColumnRenamed("node", "src").join(ends.withColumnRenamed("node", "dst"), "graph_id").where("src < dst")
+    absent = pairs.join(edges, ["graph_id", "src", "dst"], "left_anti").join(found, ["graph_id", "src", "dst"], "left_anti")
+    more = ranked_by_draw(stored(absent), seed, "src", "dst").join(some, "graph_id").where("_rank <= need")
+    return found.unionByName(more.select("graph_id", "src", "dst"))
 
 
 def add_noise(edges: DataFrame, share: float, seed: int) -> DataFrame:

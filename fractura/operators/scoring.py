@@ -131,7 +131,7 @@ def metrics(series: DataFrame, share: float = 0.15) -> DataFrame:
     heads = heads.withColumn("k", F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n"))).cast("long"))
     rows = stored(series).where("step > 0").join(heads, KEY)
     cp, none = F.col("cp").cast("decimal(20,0)"), F.col("c0") == 0
-    ratio = F.col("cp") / F.col("c0")
+    ratio = F.try_divide("cp", "c0")
     summed = rows.groupBy(*KEY, "n", "c0", "k").agg(
         F.sum(cp).cast("double").alias("all"),
         F.sum(F.when(F.col("step") <= F.col("k"), cp)).cast("double").alias("early"),

@@ -197,26 +197,35 @@ def node_features(spark, d):
     return rounded(graph.features(types(spark, d)), "betweenness")
 
 
-@query(f"""WITH RECURSIVE {TYPES}, nn AS (SELECT g, count(*)::DOUBLE AS n FROM n GROUP BY g), p(i, g, node, rank) AS (SELECT 0, n.g, node, 1 / nn.n FROM n JOIN nn ON nn.g = n.g
- UNION ALL SELECT i + 1, s.g, s.other, 0.15::DOUBLE / max(nn.n) + 0.85::DOUBLE * sum(rank / degree) FROM p JOIN s ON s.g = p.g AND s.node = p.node JOIN d ON d.g = p.g AND d.node = p.node JOIN nn ON nn.g = p.g WHERE i < 10 GROUP BY i, s.g, s.other)
-SELECT g AS graph_id, node, round(rank, 6) AS rank FROM p WHERE i = 10""")
+#: Rounds of plain iteration, far beyond what the ranks and vectors need to settle to nine places.
+_RANKS = """, nn AS (SELECT g, count(*)::DOUBLE AS n FROM n GROUP BY g), p(i, g, node, rank) AS (SELECT 0, n.g, node, 1 / nn.n FROM n JOIN nn ON nn.g = n.g
+ UNION ALL SELECT i + 1, s.g, s.other, 0.15::DOUBLE / max(nn.n) + 0.85::DOUBLE * sum(rank / degree) FROM p JOIN s ON s.g = p.g AND s.node = p.node JOIN d ON d.g = p.g AND d.node = p.node JOIN nn ON nn.g = p.g WHERE i < 160 GROUP BY i, s.g, s.other)
+SELECT g AS graph_id, node, round(rank, 6) AS rank FROM p WHERE i = 160"""
+
+
+@query(f"WITH RECURSIVE {TYPES}{_RANKS}")
 def pagerank(spark, d):
-    return rounded(graph.pagerank(types(spark, d), 10), "rank")
+    return rounded(graph.pagerank(types(spark, d)), "rank")
+
+
+@query(f"WITH RECURSIVE {CHAIN}{_RANKS}")
+def pagerank_of_chain(spark, d):
+    return rounded(graph.pagerank(chain(spark, d)), "rank")
 
 
 _POWER = """, p(i, g, node, x) AS (SELECT 0, n.g, n.node, 1.0::DOUBLE / cn.n FROM n JOIN (SELECT g, count(*) AS n FROM n GROUP BY g) cn ON cn.g = n.g
- UNION ALL SELECT i + 1, g, node, v / sqrt(sum(v * v) OVER (PARTITION BY g)) FROM (SELECT i, p.g, sw.other AS node, sum(p.x * sw.w) AS v FROM p JOIN sw ON sw.g = p.g AND sw.node = p.node WHERE i < 30 GROUP BY i, p.g, sw.other))
-SELECT g AS graph_id, node, round(x, 6) AS centrality FROM p WHERE i = 30"""
+ UNION ALL SELECT i + 1, g, node, v / sqrt(sum(v * v) OVER (PARTITION BY g)) FROM (SELECT i, p.g, sw.other AS node, sum(p.x * sw.w) AS v FROM p JOIN sw ON sw.g = p.g AND sw.node = p.node WHERE i < 400 GROUP BY i, p.g, sw.other))
+SELECT g AS graph_id, node, round(x, 6) AS centrality FROM p WHERE i = 400"""
 
 
-@query(f"WITH RECURSIVE {TYPES}, sw AS (SELECT g, node, other, 1.0::DOUBLE AS w FROM s UNION ALL SELECT g, node, node, 1.0 FROM n){_POWER}")
+@query(f"WITH RECURSIVE {TYPES}, sw AS (SELECT g, node, other, 1.0::DOUBLE AS w FROM s UNION ALL SELECT g, node, node, 20.0 FROM n){_POWER}")
 def eigenvector(spark, d):
-    return rounded(graph.eigenvector(types(spark, d), 30), "centrality")
+    return rounded(graph.eigenvector(types(spark, d)), "centrality")
 
 
-@query(f"WITH RECURSIVE {CHAIN}, sw AS (SELECT g, src AS node, dst AS other, weight / 100000 AS w FROM cw UNION ALL SELECT g, dst, src, weight / 100000 FROM cw UNION ALL SELECT g, node, node, 1.0 FROM n){_POWER}")
+@query(f"WITH RECURSIVE {CHAIN}, sw AS (SELECT g, src AS node, dst AS other, weight / 100000 AS w FROM cw UNION ALL SELECT g, dst, src, weight / 100000 FROM cw UNION ALL SELECT g, node, node, 20.0 FROM n){_POWER}")
 def weighted_eigenvector(spark, d):
-    return rounded(graph.eigenvector(weighted_chain(spark, d).withColumn("weight", F.col("weight") / 100000), 30, "weight"), "centrality")
+    return rounded(graph.eigenvector(weighted_chain(spark, d).withColumn("weight", F.col("weight") / 100000), "weight"), "centrality")
 
 
 # --- orders and metrics

@@ -68,4 +68,5 @@ def test_orders_that_are_none(spark):
             scoring.step_series(e, spark.createDataFrame([("a", "s", *r) for r in rows], ORDER)).collect()
     alone = spark.createDataFrame([("b", "s", 5, 1), ("b", "s", 6, 2)], ORDER)
     assert [(r.step, r.cp, r.lcc) for r in scoring.step_series(e, alone).orderBy("step").collect()] == [(0, 0, 1), (1, 0, 1), (2, 0, 0)]
+    assert [tuple(r) for r in scoring.metrics(scoring.step_series(e, alone)).collect()] == [("b", "s", 0.0, 0.0, 1, 1, 0.5, 1)]
     assert not scoring.step_series(e, alone.limit(0)).collect()
