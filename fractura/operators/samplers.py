@@ -1,4 +1,5 @@
-"""Walk-based samples of k nodes, one task a graph: breadth first, forest fire, snowball, by communities, by degree with neighbours."""
+"""Samples of k nodes: walks, one task a graph (breadth first, forest fire, snowball, by degree with neighbours), by communities, and the repair
+of samples in parts."""
 
 from __future__ import annotations
 
@@ -10,7 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fractura.session import stored
+
 from . import kernels
+from .communities import last_level, louvain, shares
+from .graph import components, degree, symmetric
 from .kernels import Adjacency
 
 
@@ -56,20 +61,26 @@ def degree_first(adj: Adjacency, k: int, rng: random.Random) -> list[int]:
 
 
 def forest_fire(adj: Adjacency, k: int, rng: random.Random, burn: float = 0.7) -> list[int]:
-    """Each neighbour catches fire with burn x min(0.9, 0.3 + 0.6 d / largest d); a fire that dies starts anew at the highest degree left."""
-    out, seen, ranked = [], set(), iter(_ranked(adj))
-    top = max(map(len, adj.values()), default=1) or 1
+    """From a drawn node. Neighbours, highest degrees first, catch fire with burn x min(0.9, 0.3 + 0.6 d / largest d). A fire that dies starts
+    anew at the node of highest degree that has burnt and has a neighbour that has not; where there is none, at a drawn node."""
+    if not adj:
+        return []
+    top, out = max(map(len, adj.values())) or 1, {rng.choice(sorted(adj)): None}
+    queue = deque(out)
     while len(out) < min(k, len(adj)):
-        v = next(x for x in ranked if x not in seen)
-        seen.add(v)
-        queue = deque([v])
-        while queue and len(out) < k:
-            out.append(v := queue.popleft())
-            for u in sorted(adj[v] - seen):
-                if rng.random() < burn * min(0.9, 0.3 + 0.6 * len(adj[u]) / top):
-                    seen.add(u)
-                    queue.append(u)
-    return out
+        if not queue:
+            edge = [v for v in out if any(u not in out for u in adj[v])]
+            if edge:
+                queue.append(_ranked(adj, edge)[0])
+            else:
+                out[v := rng.choice(sorted(set(adj) - set(out)))] = None
+                queue.append(v)
+                continue
+        for u in _ranked(adj, [u for u in adj[queue.popleft()] if u not in out]):
+            if len(out) < k and rng.random() < burn * min(0.9, 0.3 + 0.6 * len(adj[u]) / top):
+                out[u] = None
+                queue.append(u)
+    return list(out)
 
 
 def snowball(adj: Adjacency, k: int, rng: random.Random, depth: int = 2) -> list[int]:
@@ -92,33 +103,6 @@ def snowball(adj: Adjacency, k: int, rng: random.Random, depth: int = 2) -> list
     return out
 
 
-def communities(adj: Adjacency, rounds: int = 30) -> dict[int, int]:
-    """Label propagation in id order: the commonest label around, the smallest on ties, until nothing changes."""
-    label = {v: v for v in adj}
-    for _ in range(rounds):
-        moved = False
-        for v, near in adj.items():
-            if near:
-                votes: dict[int, int] = {}
-                for u in near:
-                    votes[label[u]] = votes.get(label[u], 0) + 1
-                new = min(votes, key=lambda x: (-votes[x], x))
-                moved |= new != label[v]
-                label[v] = new
-        if not moved:
-            break
-    return label
-
-
-def by_community(adj: Adjacency, k: int, rng: random.Random) -> list[int]:
-    """The highest degrees of each community, max(1, k x its share) of them; more by degree if some are missing."""
-    members: dict[int, list[int]] = {}
-    for v, c in communities(adj).items():
-        members.setdefault(c, []).append(v)
-    out = [v for c in sorted(members, key=lambda c: (-len(members[c]), c)) for v in _ranked(adj, members[c])[: max(1, k * len(members[c]) // len(adj))]][:k]
-    return out + [v for v in _ranked(adj) if v not in set(out)][: max(0, k - len(out))]
-
-
 def hybrid(adj: Adjacency, k: int, rng: random.Random) -> list[int]:
     """A third drawn from the top twentieth by degree (ties at its end included), a third by a walk outwards from a random node, the
     rest by degree."""
@@ -158,7 +142,6 @@ SAMPLERS: dict[str, Callable[[Adjacency, int, random.Random], list[int]]] = {
     "degree_first": degree_first,
     "forest_fire": forest_fire,
     "snowball": snowball,
-    "by_community": by_community,
     "hybrid": hybrid,
     "by_core": by_core,
 }
@@ -167,37 +150,59 @@ SAMPLERS: dict[str, Callable[[Adjacency, int, random.Random], list[int]]] = {
 QUALITY = "graph_id string, sampler string, n_nodes long, n_edges long, max_degree long, mean_degree double, clustering double, connected boolean, avg_path double"
 
 
-def repaired(adj: Adjacency, got: list[int]) -> list[int]:
-    """The largest connected part of a sample; where it has less than half of the sample, each node outside joins with a shortest path
-    to the smallest node of that part that it reaches."""
-    left, parts = set(got), []
-    while left:
-        part = set(kernels._ball({v: adj[v] & left for v in left}, min(left), len(left)))
-        parts.append(part)
-        left -= part
-    if len(parts) < 2:
-        return sorted(got)
-    big = set(max(parts, key=lambda p: (len(p), -min(p))))
-    if len(big) < len(got) // 2:
-        for v in sorted(set(got) - big):
-            far = kernels._ball(adj, v, len(adj))
-            met = sorted(u for u in big if u in far)
-            while met and far[met[0]]:
-                big.add(met[0])
-                met = sorted(u for u in adj[met[0]] if far.get(u, len(adj)) == far[met[0]] - 1)
-            big |= {v} if met else set()
-    return sorted(big)
+#: Samplers whose samples are repaired: their nodes need not hang together.
+REPAIRED = ("degree_first", "forest_fire", "snowball", "by_community", "hybrid", "by_core")
+
+
+def repaired(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(graph_id, sampler, node): of each sample its largest connected part (the one of the smallest node on ties). Where that has less than
+    half of the sample, the other nodes join with a shortest path to it each, as far as the graph has one: one search from all nodes of
+    the part at once, in which every node keeps its smallest neighbour that is nearer, and a walk back."""
+    key = ["graph_id", "sampler"]
+    picked = stored(sampled.select(*key, "node"))
+    name = F.concat_ws("|", "sampler", "graph_id")
+    one = lambda end: picked.select(*key, F.col("node").alias(end))
+    inside = edges.join(one("src"), ["graph_id", "src"]).join(one("dst"), [*key, "dst"]).select(name.alias("graph_id"), "src", "dst")
+    part = components(inside).withColumnRenamed("graph_id", "name")
+    own = stored(picked.withColumn("name", name).join(part, ["name", "node"], "left").withColumn("component", F.coalesce("component", "node")).drop("name"))
+    sizes = own.groupBy(*key, "component").agg(F.count("*").alias("size"))
+    best = sizes.groupBy(*key).agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("best"), F.max("size").alias("size"), F.sum("size").alias("n"))
+    known = stored(own.join(best, key).select(*key, "node", (F.col("component") == F.col("best")).alias("in"), (F.col("size") < F.floor(F.col("n") / 2)).alias("small")))
+    kept = known.where("in").select(*key, "node")
+    apart = known.where("small and not in").select(*key, "node")
+    both = stored(symmetric(edges))
+    front = stored(known.where("small and in").select(*key, "node"))
+    seen = front.withColumn("back", F.lit(None).cast("long"))
+    while front.limit(1).count():
+        grown = front.join(both, ["graph_id", "node"]).groupBy(*key, F.col("other").alias("to")).agg(F.min("node").alias("back")).withColumnRenamed("to", "node")
+        new = stored(grown.join(seen.select(*key, "node"), [*key, "node"], "left_anti"))
+        seen, front = seen.unionByName(new.select(*key, "node", "back")), new.select(*key, "node")
+    walk = apart
+    while True:
+        step = stored(walk.join(seen.where("back is not null"), [*key, "node"]).select(*key, "node", "back"))
+        if not step.limit(1).count():
+            return kept.distinct()
+        kept = kept.unionByName(step.select(*key, "node"))
+        walk = step.select(*key, F.col("back").alias("node")).distinct()
 
 
 def sample(edges: DataFrame, names: list[str], k: int, seed: int = 42) -> DataFrame:
-    """(graph_id, sampler, node): k nodes of each graph (all, if it has fewer), the same for the same seed."""
+    """(graph_id, sampler, node): k nodes of each graph (all, if it has fewer), the same for the same seed; ``REPAIRED`` ones may lose or
+    gain some so as to hang together. ``by_community`` takes its share of each community by modularity."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         adj, name = kernels.adjacency(pdf.src, pdf.dst), pdf.sampler.iloc[0]
         got = SAMPLERS[name](adj, k, random.Random(seed))
         return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "sampler": name, "node": sorted(got)})
 
-    return edges.withColumn("sampler", F.explode(F.array(*map(F.lit, names)))).groupBy("graph_id", "sampler").applyInPandas(one, "graph_id string, sampler string, node long")
+    walks = F.array(*(F.lit(x) for x in names if x != "by_community"))
+    found = edges.withColumn("sampler", F.explode(walks)).groupBy("graph_id", "sampler").applyInPandas(one, "graph_id string, sampler string, node long") if set(names) - {"by_community"} else None
+    if "by_community" in names:
+        shared = shares(degree(edges), last_level(louvain(edges)), k).select("graph_id", F.lit("by_community").alias("sampler"), "node")
+        found = shared if found is None else found.unionByName(shared)
+    found = stored(found)
+    mends = F.col("sampler").isin(*REPAIRED)
+    return found.where(~mends).unionByName(repaired(edges, found.where(mends)))
 
 
 def quality(edges: DataFrame, sampled: DataFrame) -> DataFrame:

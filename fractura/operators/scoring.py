@@ -74,7 +74,7 @@ def tree_levels(e: DataFrame) -> list[DataFrame]:
         while True:
             one = up.select(*KEY, F.col("x").alias("up"), F.col("up").alias("over"))
             two = up.select(*KEY, F.col("x").alias("over"), F.col("up").alias("top"))
-            new = stored(up.join(one, [*KEY, "up"]).join(two, [*KEY, "over"]).select(*KEY, "x", "w", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            new = stored(up.join(one, [*KEY, "up"]).join(two, [*KEY, "over"]).select(*KEY, "x", "w", F.col("top").alias("up"), (F.col("top") != F.col("over")).alias("moved")))
             up = new.drop("moved")
             if not new.where("moved").limit(1).count():
                 break

@@ -516,7 +516,7 @@ def sample_core(spark, d):
 
 @query()
 def samples(spark, d):
-    return samplers.sample(types(spark, d), list(samplers.SAMPLERS), 40)
+    return samplers.sample(types(spark, d), [*samplers.SAMPLERS, "by_community"], 40)
 
 
 @query(f"""WITH RECURSIVE {_TOP}, si AS (SELECT g, src AS node, dst AS other FROM ic UNION ALL SELECT g, dst, src FROM ic), dg AS (SELECT tp.g, tp.node, count(si.other) AS k FROM tp LEFT JOIN si ON si.g = tp.g AND si.node = tp.node GROUP BY tp.g, tp.node),
@@ -532,7 +532,7 @@ def sample_quality(spark, d):
 @query()
 def samples_quality(spark, d):
     e = types(spark, d)
-    return rounded(samplers.quality(e, samplers.sample(e, list(samplers.SAMPLERS), 40)), "mean_degree", "clustering", "avg_path")
+    return rounded(samplers.quality(e, samplers.sample(e, [*samplers.SAMPLERS, "by_community"], 40)), "mean_degree", "clustering", "avg_path")
 
 
 # --- communities, cuts

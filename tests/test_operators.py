@@ -1,3 +1,4 @@
+import collections
 import itertools
 import json
 import random
@@ -76,12 +77,15 @@ def test_shares_in_parts_equal_a_sort(spark, n):
     assert got == sorted(want)
 
 
-def test_repair_keeps_or_joins_parts():
-    path = adj([(k, k + 1) for k in range(20)])
-    assert samplers.repaired(path, [0, 1, 2, 3, 9]) == [0, 1, 2, 3]
-    got = samplers.repaired(path, [0, 1, 5, 10, 15, 20])
-    assert got == list(range(21))
-    assert samplers.repaired(path, [3, 4]) == [3, 4]
+def test_repair_keeps_or_joins_parts(spark):
+    graphs = {"path": [(k, k + 1) for k in range(20)], "apart": [(0, 1), (1, 2), (5, 6), (8, 9), (9, 10)], "square": [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 5)]}
+    e = spark.createDataFrame([(g, *x) for g, some in graphs.items() for x in some], "graph_id string, src long, dst long")
+    cases = [("path", "a", [0, 1, 2, 3, 9], [0, 1, 2, 3]), ("path", "b", [0, 1, 5, 10, 15, 20], list(range(21))), ("path", "c", [3, 4], [3, 4]), ("apart", "a", [0, 2, 5, 8, 10], [0, 1, 2]), ("square", "a", [0, 2, 5, 7], [0, 1, 2, 3, 4, 5])]
+    picked = spark.createDataFrame([(g, s, v) for g, s, some, _ in cases for v in some], "graph_id string, sampler string, node long")
+    got = collections.defaultdict(list)
+    for r in samplers.repaired(e, picked).collect():
+        got[r.graph_id, r.sampler].append(r.node)
+    assert {k: sorted(v) for k, v in got.items()} == {(g, s): want for g, s, _, want in cases}
 
 
 def test_core_sample_takes_the_core_first():
