@@ -19,7 +19,7 @@ from .perturb import draw
 #: Nodes of a graph that is not merged further, starts that divide it, and nodes that one window pairs up.
 COARSE, STARTS, WIDTH = 512, 20, 4_096
 #: Share of the cut that a round of exchanges must take off for another one to follow.
-LEAST = 0.005
+LEAST = 0.02
 
 
 def _ends(e: DataFrame, *more: str) -> DataFrame:
