@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .evolve import clip
 from .perturb import draw
+from .trials import Trials
 
 #: Factors of a base weight by phase (explore, transition, exploit) for operators that mutate, that cross over, and for others.
 PROFILES = {"mutation": (1.45, 1.00, 0.70), "crossover": (0.80, 1.00, 1.40), "other": (1.10, 1.00, 0.95)}
@@ -80,20 +81,21 @@ def duplicates(candidates: DataFrame) -> DataFrame:
     return candidates.join(first, "code").withColumns({"key": F.md5("code"), "duplicate": F.col("id") > F.col("_first")}).drop("_first")
 
 
-def evaluated(candidates: DataFrame, score: Callable[[dict], float], schema: str) -> DataFrame:
-    """Adds objective (to five places) and error to the rows: what ``score`` gives for a row, or the text of what it raises, so that one
-    bad candidate doesn't end the run. ``schema``: the candidates' columns."""
+def evaluated(candidates: DataFrame, score: Callable[[dict], float], schema: str, timeout: float = 600.0, memory: int | None = None) -> DataFrame:
+    """Adds objective (to five places) and error to the rows: what ``score`` gives for a row, or the text of what went wrong, so that one bad
+    candidate doesn't end the run. ``schema``: the candidates' columns.
+
+    Rows are scored one after the other in a child process of the task (``trials``), which a row may hold for ``timeout`` seconds and
+    make grow by ``memory`` bytes. Errors: ``Type: text`` of an exception (MemoryError beyond the memory), ``Timeout after ..s``, ``No result``
+    for a score of None, ``Ended with ..`` where the row ended the process.
+    """
     names = candidates.columns
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.to_dict("records"):
-                try:
-                    out.append((round(float(score(r)), 5), None))
-                except Exception as e:  # noqa: BLE001
-                    out.append((None, f"{type(e).__name__}: {e}"))
-            yield f.assign(objective=[x for x, _ in out], error=[e for _, e in out])[[*names, "objective", "error"]]
+        with Trials(score, timeout, memory) as trial:
+            for f in frames:
+                out = [trial(r) for r in f.to_dict("records")]
+                yield f.assign(objective=[x for x, _ in out], error=[e for _, e in out])[[*names, "objective", "error"]]
 
     return candidates.mapInPandas(rows, f"{schema}, objective double, error string")
 

@@ -194,13 +194,11 @@ def closeness(edges: DataFrame) -> DataFrame:
     return r.select("graph_id", F.col("source").alias("node"), F.when(F.col("far") == 0, 0.0).otherwise((F.col("r") - one) / (F.col("n") - 1) * ((F.col("r") - one) / F.col("far"))).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(graph_id, node, betweenness): unnormalised, each pair once. Shortest paths are counted forward from all sources at once, a
-    frontier a round, and dependencies summed up backward. With ``sources`` only the paths that start there count, each whole (not
-    halved), which for drawn sources is a sample of the sum."""
-    both = settle(symmetric(edges))
-    everywhere = sources is None
-    front = settle((nodes(edges) if sources is None else sources).select("graph_id", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+def dependencies(both: DataFrame, sources: DataFrame) -> DataFrame:
+    """(graph_id, source, node, need) for each node that a source (graph_id, node) reaches: the sum, over the nodes behind it, of the shares of
+    shortest paths from the source that lead through it. Paths are counted forward from all sources at once, a frontier a round, and
+    dependencies summed up backward, so that there are as many rows as sources times nodes they reach. both: ``symmetric`` edges."""
+    front = settle(sources.select("graph_id", F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
     levels, seen = [front], front.select("graph_id", "source", "node")
     while True:
         grown = front.join(both, ["graph_id", "node"]).groupBy("graph_id", "source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -219,7 +217,14 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     needs = total[0]
     for t in total[1:]:
         needs = needs.unionByName(t)
-    summed = needs.groupBy("graph_id", "node").agg((F.sum("need") / (2 if everywhere else 1)).alias("betweenness"))
+    return needs.select("graph_id", "source", "node", "need")
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node, betweenness): unnormalised, each pair once. With ``sources`` only the paths that start there count, each whole (not
+    halved), which for drawn sources is a sample of the sum; ``distances.drawn_betweenness`` scales it and bounds its error."""
+    needs = dependencies(settle(symmetric(edges)), nodes(edges) if sources is None else sources)
+    summed = needs.groupBy("graph_id", "node").agg((F.sum("need") / (2 if sources is None else 1)).alias("betweenness"))
     return nodes(edges).join(summed, ["graph_id", "node"], "left").select("graph_id", "node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fractura.operators import communities, graph, orders, partition, perturb, samplers, search
+from fractura.operators import communities, distances as large, graph, orders, partition, perturb, samplers, search
 from fractura.session import read
 
 from .inputs import CHAIN, METRICS, PART_SUPP, PLACES, RANK, REACH, STEPS, TYPES, chain, distances, part_supp, places, static, types, weighted_chain
@@ -180,6 +180,34 @@ def betweenness(spark, d):
     return rounded(graph.betweenness(types(spark, d)), "betweenness")
 
 
+_ENDS = "cz AS (SELECT g, a, min(x) AS component, count(*) AS size, max(l) AS far FROM y GROUP BY g, a), dz AS (SELECT g, component, max(far)::BIGINT AS diameter, row_number() OVER (PARTITION BY g ORDER BY max(size) DESC, component) AS r FROM cz GROUP BY g, component)"
+
+
+@query(f"WITH RECURSIVE {_ALL}, {_ENDS} SELECT g AS graph_id, diameter FROM dz WHERE r = 1")
+def diameters(spark, d):
+    return large.diameters(types(spark, d)).select("graph_id", "diameter")
+
+
+@query(f"WITH RECURSIVE {_NEAR}, {_ENDS} SELECT g AS graph_id, diameter FROM dz WHERE r = 1")
+def diameter_of_places(spark, d):
+    return large.diameters(places(spark, d)).select("graph_id", "diameter")
+
+
+@query()
+def betweenness_of_chain(spark, d):
+    return rounded(large.drawn_betweenness(chain(spark, d)), "betweenness", "bound")
+
+
+@query()
+def closeness_of_chain(spark, d):
+    return rounded(large.closeness(chain(spark, d)), "closeness")
+
+
+@query()
+def graph_summary_of_chain(spark, d):
+    return rounded(large.summary(chain(spark, d)), "avg_degree", "degree_variance", "apl_lcc", "bridge_ratio")
+
+
 _SUMMARY = f"""{_BETWEEN}, {_CORES[len(TYPES) + 2 :]}, hq AS (SELECT g, quantile_cont(betweenness, 0.9) AS cut FROM bc GROUP BY g),
 hs AS (SELECT bc.g, avg(CASE WHEN round(betweenness, 9) > round(cut, 9) THEN 1.0 ELSE 0.0 END) AS share FROM bc JOIN hq ON hq.g = bc.g GROUP BY bc.g),
 cz AS (SELECT g, a AS node, min(x) AS component, count(*) AS size FROM y GROUP BY g, a), bz AS (SELECT g, component FROM (SELECT g, component, row_number() OVER (PARTITION BY g ORDER BY size DESC, component) AS r FROM cz) WHERE r = 1),

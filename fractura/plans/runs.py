@@ -75,6 +75,18 @@ def evaluated_candidates(spark, d):
     return out.select("id", "objective", F.regexp_extract("error", r"^\w+", 0).alias("error"))
 
 
+def _endless(row):
+    while row["operator"] == "i1":
+        pass
+    return 1 / (1 + row["value"])
+
+
+@query(f"WITH {TRACE} SELECT generation, operator, CASE WHEN operator <> 'i1' THEN round(1 / (1 + min(objective)), 5) END AS objective, CASE WHEN operator = 'i1' THEN 'Timeout after 2s' END AS error FROM t WHERE objective IS NOT NULL GROUP BY generation, operator")
+def evaluated_with_timeout(spark, d):
+    rows = candidates(spark, d).where("objective is not null").groupBy("generation", "operator").agg(F.min("objective").alias("value"))
+    return control.evaluated(rows.repartition(32, "generation", "operator"), _endless, "generation long, operator string, value double", 2.0).drop("value")
+
+
 @query(f"WITH {TRACE}{_BASE} SELECT generation, operator, weight, {_HASH.format('55, generation, operator')} / 281474976710656.0::DOUBLE < weight AS triggered FROM (SELECT DISTINCT generation FROM t), base")
 def triggers(spark, d):
     rows = candidates(spark, d).select("generation").distinct().crossJoin(F.broadcast(base(spark)))
