@@ -8,10 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What streams with state of their own need (``streaming.progress``).
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def session(name: str = "fractura", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; ``conf`` takes dots as double underscores."""
     b = SparkSession.builder.appName(name)
-    for k, v in {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true"}.items():
+    for k, v in {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.streaming.stateStore.providerClass": ROCKS}.items():
         b = b.config(k, v)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
