@@ -195,7 +195,7 @@ def diameter_of_places(spark, d):
 
 @query()
 def betweenness_of_chain(spark, d):
-    return rounded(large.drawn_betweenness(chain(spark, d)), "betweenness", "bound")
+    return rounded(large.drawn_betweenness(chain(spark, d), 0.1), "betweenness", "bound")
 
 
 @query()
@@ -203,11 +203,6 @@ def closeness_of_chain(spark, d):
     return rounded(large.closeness(chain(spark, d)), "closeness")
 
 
-@query()
-def graph_summary_of_chain(spark, d):
-    return rounded(large.summary(chain(spark, d)), "avg_degree", "degree_variance", "apl_lcc", "bridge_ratio")
-
-
 _SUMMARY = f"""{_BETWEEN}, {_CORES[len(TYPES) + 2 :]}, hq AS (SELECT g, quantile_cont(betweenness, 0.9) AS cut FROM bc GROUP BY g),
 hs AS (SELECT bc.g, avg(CASE WHEN round(betweenness, 9) > round(cut, 9) THEN 1.0 ELSE 0.0 END) AS share FROM bc JOIN hq ON hq.g = bc.g GROUP BY bc.g),
 cz AS (SELECT g, a AS node, min(x) AS component, count(*) AS size FROM y GROUP BY g, a), bz AS (SELECT g, component FROM (SELECT g, component, row_number() OVER (PARTITION BY g ORDER BY size DESC, component) AS r FROM cz) WHERE r = 1),

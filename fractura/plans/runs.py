@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fractura.operators import control, evolve
+from fractura.session import read
+from fractura.streaming.progress import progress
 
 from .inputs import BASE, SURVIVORS, TRACE, base, candidates
 from .registry import query, rounded
@@ -218,3 +220,15 @@ b AS (SELECT min(generation) AS b FROM z WHERE generation >= 8 AND stale >= 2),
 SELECT generation, CASE WHEN generation >= r THEN 'reinsertion' WHEN generation >= b THEN 'boundary' ELSE 'none' END AS profile FROM z, b, r""")
 def guidance(spark, d):
     return control.guidance(evolve.early_stop(evolve.best_so_far(candidates(spark, d)), 5), 31)
+
+
+@query("""WITH t AS (SELECT event_type AS run, floor(epoch(ts) / 86400)::BIGINT AS generation, CASE WHEN user_id % 10 <> 3 THEN value END AS objective FROM events),
+g AS (SELECT run, generation, count(*) AS offspring, count(objective) AS valid, min(objective) AS best FROM t GROUP BY run, generation),
+b AS (SELECT *, min(best) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER w AS i FROM g WINDOW w AS (PARTITION BY run ORDER BY generation)),
+m AS (SELECT *, best IS NOT NULL AND (before IS NULL OR best < before - 1e-12) AS improves FROM b),
+l AS (SELECT *, generation - max(CASE WHEN improves THEN generation END) OVER (PARTITION BY run ORDER BY generation) AS stale FROM m),
+v AS (SELECT x.run, x.generation, pow(0.75, max(x.i)) + sum(0.25 * pow(0.75, x.i - y.i) * y.valid / y.offspring) AS validity FROM m x JOIN m y ON y.run = x.run AND y.i <= x.i GROUP BY x.run, x.generation)
+SELECT l.run, l.generation, offspring, valid, best, least(best, before) AS best_so_far, improves, round(CASE WHEN improves AND before IS NOT NULL THEN before - best ELSE 0.0::DOUBLE END, 6) AS delta, stale, coalesce(stale >= 3, false) AS stop, round(validity, 6) AS validity FROM l JOIN v ON v.run = l.run AND v.generation = l.generation""")
+def progress_of_runs(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_type").alias("run"), "ts", F.when(F.col("user_id") % 10 != 3, F.col("value")).alias("objective"))
+    return rounded(progress(rows), "delta", "validity")
