@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fractura.session import settle
+from fractura.session import stored
 
-from . import text
+from . import sparse, text
 
 VIEWS = ("description", "reflection", "code")
 #: Pairs at this distance or nearer are in one basin.
@@ -115,19 +115,14 @@ def vectors(docs: DataFrame) -> DataFrame:
     for view in VIEWS:
         w = text.tfidf(docs.select(F.col("id").alias("doc_id"), F.col(view).alias("text")), view == "code").select(F.lit(view).alias("view"), F.col("doc_id").alias("id"), "token", "w")
         out = w if out is None else out.unionByName(w)
-    return settle(out)
+    return stored(out)
 
 
 def near_pairs(weights: DataFrame, near: float = NEAR) -> DataFrame:
-    """(a, b, distance) of the pairs at a distance of ``near`` or less: 1 less the mean cosine of the views. Such a pair has a cosine of
-    1 - near at least in some view, and only pairs that may have one are computed."""
-    pairs = None
-    for view in VIEWS:
-        some = text.candidates(weights.where(F.col("view") == view).select(F.col("id").alias("doc_id"), "token", "w"), 1 - near)
-        pairs = some if pairs is None else pairs.unionByName(some)
-    one = pairs.distinct().join(weights.toDF("view", "a", "token", "wa"), "a")
-    total = one.join(weights.toDF("view", "b", "token", "wb"), ["b", "view", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return total.select("a", "b", F.greatest(F.lit(0.0), 1 - F.col("dot") / len(VIEWS)).alias("distance")).where(F.col("distance") <= near + 1e-12)
+    """(a, b, distance) of the pairs at a distance of ``near`` or less: 1 less the mean cosine of the views. Vectors meet tile against tile, so
+    that only near pairs leave a task."""
+    found = stored(sparse.products(weights, len(VIEWS) * (1 - near), VIEWS))
+    return found.select("a", "b", F.greatest(F.lit(0.0), 1 - F.col("dot") / len(VIEWS)).alias("distance")).where(F.col("distance") <= near + 1e-12)
 
 
 def mean_distance(rows: DataFrame, weights: DataFrame) -> DataFrame:
