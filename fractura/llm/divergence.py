@@ -1,20 +1,27 @@
 """How far the sources of a language differ in their words, and which words set a source apart, in exact whole numbers.
 
-Plain relational: matches are exploded and counted by language, source and term; sources are crossed with the terms their language keeps, so
-that terms which a source lacks count 0; the dense table meets itself on language and term; differences are summed up and ranked.
+Terms are counted by language, source and term, first in parts of a task's rows; the rest is plain relational. Sources are crossed with the
+terms their language keeps, so that terms which a source lacks count 0; the dense table meets itself on language and term; differences are summed up and ranked.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, keep
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: What terms are cut at: splitting a text costs a tenth of matching in it.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What each byte of a text becomes: letters lower case, other ASCII a space that terms are cut at, bytes of other characters stay.
+TERMS_ONLY = bytes(k if k > 127 or chr(k) in LOWER else k + 32 if chr(k) in UPPER else 32 for k in range(256))
+#: Bytes of text that are counted at once.
+PART = 16_000_000
 #: Documents of a language that a term must be in, and the ranks of terms that are returned.
 LEAST_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
@@ -22,15 +29,33 @@ SCALE = 1_000_000_000
 SALTS = 64
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the terms of some rows by language and source; other rows of the same task may give the same terms again."""
+    for b in batches:
+        texts = b.column(2).to_pylist()
+        part = np.cumsum([len(t) for t in texts]) // PART
+        for k in np.unique(part):
+            rows = np.flatnonzero(part == k)
+            first, size = int(rows[0]), len(rows)
+            found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+            for lang, source, text in zip(b.column(0).slice(first, size).to_pylist(), b.column(1).slice(first, size).to_pylist(), texts[first : first + size], strict=True):
+                n, docs = found.setdefault((lang, source), (Counter(), Counter()))
+                terms = text.translate(TERMS_ONLY).split()
+                n.update(terms)
+                docs.update(set(terms))
+            for (lang, source), (n, docs) in found.items():
+                terms = list(n) or [None]
+                each = [pa.array([v] * len(terms), pa.string()) for v in (lang, source)]
+                counts = [pa.array([c.get(t) for t in terms], pa.int64()) for c in (n, docs)]
+                yield pa.RecordBatch.from_arrays([*each, pa.array(terms, pa.binary()), *counts], ["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term and rows it is in. A source without any term has one row of a null term."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    cut = F.array_remove(F.split(F.translate(blank(text), UPPER, LOWER), BETWEEN), "")
-    found = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), cut.alias("found"))
-    seen = F.transform("found", lambda x: F.struct(x.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d")))
-    first = F.transform(F.array_distinct("found"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d")))
-    rows = found.select("lang", "source", F.explode_outer(F.concat(seen, first)).alias("x")).select("lang", "source", "x.term", "x.n", "x.d")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+    found = docs.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).cast("binary").alias("text"))
+    rows = found.mapInArrow(_counted, "lang string, source string, term binary, n long, docs long")
+    return rows.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,22 @@ def test_shares_of_counts_beyond_a_long(spark):
     n, total, kept = 7 * 10**14 + 3, 10**15 + 9, 123_456_789
     got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(kept)).alias("p")).first().p
     assert got == 1 + 10**9 * (n + 2) // (total + 2 * kept)
+
+
+@pytest.mark.parametrize("part", [1, 16_000_000])
+def test_terms_of_a_source_leave_a_part_counted(monkeypatch, part):
+    monkeypatch.setattr(divergence, "PART", part)
+    texts = ["The the THE\x00endé Énd", "", "x1y你好\x7fz the", "123 !?", "\U0001f600 a\u0085b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["e"] * 5), pa.array(["s", "s", "t", "u", "s"]), pa.array([t.encode() for t in texts], pa.binary())], ["lang", "source", "text"])
+    got = [r for b in divergence._counted(iter([batch])) for r in b.to_pylist()]
+    n, docs = collections.Counter(), collections.Counter()
+    for s, t in zip("sstus", texts, strict=True):
+        terms = re.findall(divergence.TERM, t.translate(str.maketrans(divergence.UPPER, divergence.LOWER)))
+        n.update((s, x) for x in terms)
+        docs.update({(s, x) for x in terms})
+    for want, name in ((n, "n"), (docs, "docs")):
+        have = collections.Counter()
+        for r in got:
+            have[r["source"], r["term"] and r["term"].decode()] += r[name] or 0
+        assert {k: v for k, v in have.items() if v} == want
+    assert (("u", None) in {(r["source"], r["term"]) for r in got}) and (part == 1 or len(got) == len(n) + 1)
