@@ -3,7 +3,7 @@
 Sets are embedded by minhash: coordinate i of two sets is equal with the probability of their Jaccard similarity, so (i, value) pairs
 are tokens that similar sets share. A path picks coordinates at random (by its own hash, alike for all sets); each picked token leads
 to a bucket. All pairs of a bucket are compared on their signatures, each pair in the first bucket that both sets share; buckets of
-more than ``local`` sets are compared in blocks, by as many tasks. Runs repeat with other paths until a pair at the threshold is missed with a probability below ``1 - recall``. Sets with a likely partner then
+more than ``local`` sets, or of long texts, are compared in blocks, by as many tasks. Runs repeat with other paths until a pair at the threshold is missed with a probability below ``1 - recall``. Sets with a likely partner then
 meet their texts, and all likely pairs of a bucket are verified on the whole sets there: what leaves the bucket are numbers of links
 and a forest of links, which makes the classes.
 """
@@ -25,8 +25,8 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 HASHES, BRANCH = 256, 1.6
 #: Sets whose signatures are compared at once.
 SMALL = 512
-#: Sets of a bucket that is compared inside one task: 4 MB of signatures.
-LOCAL = 8_192
+#: Sets of a bucket that is compared inside one task: 4 MB of signatures; and characters of their texts, whose hashes the task holds.
+LOCAL, LOCAL_CHARS = 8_192, 32_000_000
 SEED = 5
 #: Ids of candidates that are broadcast at most (8 MB); with more of them, texts are shuffled to meet them.
 BROADCAST_IDS = 1_000_000
@@ -95,7 +95,7 @@ def _groups(sizes: np.ndarray, most: int = 1_000_000) -> Iterator[slice]:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, width: int, runs: int) -> DataFrame:
-    """(doc_id, key, sig, paths) of each row: key stands for the whole set (texts without words: for the document), sig holds 16 bits
+    """(doc_id, key, sig, paths, chars) of each row: key stands for the whole set (texts without words: for the document), sig holds 16 bits
     of each minhash value, paths the first buckets of all runs, from whole values; both are null without words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,16 +104,16 @@ def sketches(docs: DataFrame, doc_id: str, text: str, width: int, runs: int) ->
         start = _mix(roots[r] + _M + i.astype(np.uint64))
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-            keys, sigs, paths = [], [], []
-            for part in _groups(np.array([len(t or "") for t in texts], np.int64)):
+            keys, sigs, paths, chars = [], [], [], [len(t or "") for t in texts]
+            for part in _groups(np.array(chars, np.int64)):
                 for d, s in zip(ids[part], shingle_sets(texts[part], width), strict=True):
                     keys.append(hashlib.blake2b(s.tobytes() if len(s) else f"none {d}".encode(), digest_size=16).digest())
                     low = minhash(s, co) if len(s) else None
                     sigs.append((low >> np.uint64(48)).astype("<u2").tobytes() if len(s) else None)
                     paths.append(_mix(start * _M ^ low[i]).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], ["doc_id", "key", "sig", "paths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64())), pa.array(chars, pa.int64())], ["doc_id", "key", "sig", "paths", "chars"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(rows, "doc_id long, key binary, sig binary, paths array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(rows, "doc_id long, key binary, sig binary, paths array<long>, chars long")
 
 
 def picked(path: np.ndarray, branch: float) -> np.ndarray:
@@ -240,10 +240,12 @@ def _verified(least: int, tile: int, width: int, threshold: float, every: bool):
     return found
 
 
-def blocks(rows: DataFrame, local: int) -> DataFrame:
-    """Buckets of more than ``local`` sets are dealt into parts of about half of that, and each two parts, or one with itself, make a
-    block, so that all pairs meet in exactly one block; smaller buckets are one block."""
-    parts = F.when(F.col("count") > local, F.ceil(F.col("count") / (local / 2))).otherwise(1).cast("int")
+def blocks(rows: DataFrame, local: int, chars: int = LOCAL_CHARS) -> DataFrame:
+    """Buckets of more than ``local`` sets, or of texts of more than ``chars`` characters in all (rows: (path, rep, sig, paths, count, chars),
+    the last two of the bucket), are dealt into parts of about half of that, and each two parts, or one with itself, make a block, so that
+    all pairs meet in exactly one block; smaller buckets are one block."""
+    most = F.greatest(F.col("count") / local, F.col("chars") / chars)
+    parts = F.when(most > 1, F.ceil(2 * most)).otherwise(1).cast("int")
     own = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep", "path"), F.col("parts")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
@@ -271,13 +273,13 @@ def runs_needed(threshold: float, recall: float) -> int:
             return runs
 
 
-def linked(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float, least: int, small: int, local: int, every: bool) -> DataFrame:
-    """(a, b, jaccard, n): links and, where b is null, numbers of links of a, among (rep, sig, paths) rows of distinct sets. Only sets
+def linked(sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, threshold: float, least: int, small: int, local: int, every: bool, chars: int = LOCAL_CHARS) -> DataFrame:
+    """(a, b, jaccard, n): links and, where b is null, numbers of links of a, among (rep, sig, paths, chars) rows of distinct sets. Only sets
     with a candidate meet their texts."""
-    level = sets.select(F.explode("paths").alias("path"), "rep")
-    size = level.groupBy("path").count().where("count > 1")
-    rows = keep(level.join(size, "path").join(sets, "rep").select("path", "rep", "sig", "paths", "count"), "buckets")
-    dealt = blocks(rows, local)
+    level = sets.select(F.explode("paths").alias("path"), "rep", "chars")
+    size = level.groupBy("path").agg(F.count("*").alias("count"), F.sum("chars").alias("chars")).where("count > 1")
+    rows = keep(level.drop("chars").join(size, "path").join(sets.drop("chars"), "rep").select("path", "rep", "sig", "paths", "count", "chars"), "buckets")
+    dealt = blocks(rows, local, chars)
     some = keep(dealt.groupBy("path", "block").applyInArrow(_with_candidates(least, small), FOUND), "candidates")
     texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
     ids = keep(some.select("rep").distinct(), "ids")
@@ -304,7 +306,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, local: int = LOCAL, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, recall: float = RECALL, small: int = SMALL, local: int = LOCAL, every: bool = False, chars: int = LOCAL_CHARS) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: doc_id, class_id (smallest doc_id of its class: texts joined by links, or with equal sets), n_links
     (links of its set to other sets), n_copies (rows with the same set), for each row. links: (a, b, jaccard) between the
     smallest documents of two distinct sets, all verified; with ``every`` all of them, else of each bucket a forest that joins the
@@ -315,9 +317,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     docs = docs.where(F.col(doc_id).isNotNull())
     runs = runs_needed(threshold, recall)
     each = keep(sketches(docs, doc_id, text, width, runs), "sketches")
-    classes = keep(each.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
-    sets = classes.where("sig is not null").select("rep", "sig", "paths")
-    found = linked(sets, docs, doc_id, text, width, threshold, least_equal(threshold, recall), small, local, every)
+    classes = keep(each.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"), F.first("paths").alias("paths"), F.max("chars").alias("chars")), "classes")
+    sets = classes.where("sig is not null").select("rep", "sig", "paths", "chars")
+    found = linked(sets, docs, doc_id, text, width, threshold, least_equal(threshold, recall), small, local, every, chars)
     links = found.where("b is not null").select("a", "b", "jaccard")
     degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     label = components(links).toDF("rep", "label")

@@ -294,6 +294,16 @@ def test_links_of_a_bucket_compared_in_blocks(frame, n, local):
     assert sum(got.values()) >= 0.999 * sum(want.values())
 
 
+def test_buckets_of_long_texts_are_compared_in_blocks(frame, spark):
+    rows = spark.createDataFrame([(1, k, b"", [1], 400, 400 * 1_000) for k in range(400)], "path long, rep long, sig binary, paths array<long>, count long, chars long")
+    held = [r["count"] * 1_000 for r in jaccard.blocks(rows, 8_192, 100_000).groupBy("path", "block").count().collect()]
+    assert len(held) == 36 and max(held) <= 150_000 and jaccard.blocks(rows, 8_192).select("block").distinct().count() == 1
+    docs = frame([(k, t, None, None, 0) for k, t in near_copies(120, 80, 4).items()])
+    one, two = (jaccard.join(docs, every=True, chars=c) for c in (jaccard.LOCAL_CHARS, 10_000))
+    for a, b in zip(one, two, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 @pytest.mark.parametrize("threshold", [0.7, 0.8, 0.9])
 def test_runs_and_least_estimate_keep_the_recall(threshold):
     rng = np.random.default_rng(1)
