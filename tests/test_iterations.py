@@ -1,6 +1,7 @@
 """Iterations that converge, and noise on graphs that have little room for it."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -64,3 +65,14 @@ def test_noise_takes_the_last_absent_pairs(spark):
     assert len(wide) == 2 and all(b > a + 1 for _, a, b in wide) and len(set(got)) == len(got)
     two = sorted(map(tuple, perturb.noise_edges(e.where("graph_id = 'near'"), 2 / 63, 3).collect()))
     assert len(two) == 2 and {x[1:] for x in two} < set(whole[:3])
+
+
+def test_eigenvector_of_joined_copies(spark):
+    """Two copies of a graph with one edge between them have eigenvalues so near that plain iteration takes 267 rounds."""
+    rng = random.Random(3)
+    one = sorted({tuple(sorted(rng.sample(range(10), 2))) for _ in range(25)})
+    some = [(10 * k + a, 10 * k + b) for k in range(2) for a, b in one] + [(9, 10)]
+    v = np.abs(np.linalg.eigh(matrix(some, 20))[1][:, -1])
+    e = spark.createDataFrame([("g", *x) for x in some], EDGES)
+    got = {r.node: r.centrality for r in graph.eigenvector(e, tolerance=1e-8, most=30, block=8).collect()}
+    assert [got[k] for k in range(20)] == pytest.approx(v.tolist(), abs=1e-6)
