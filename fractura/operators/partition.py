@@ -1,7 +1,7 @@
 """Matchings, balanced bisections and covers of cuts, in rounds of joins and aggregates.
 
-A bisection works on levels: nodes are merged in pairs along heavy edges until a graph has few of them, those are divided by the best of
-several starts, and on the way back nodes on the border change sides in equal numbers as long as that shortens the cut.
+A bisection works on levels: nodes are merged along heavy edges, several at once, until a graph has few of them, those are divided by the
+best of several starts, and on the way back nodes on the border change sides in equal numbers as long as that shortens the cut.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from fractura.session import stored
 from .graph import static_order
 from .perturb import draw
 
-#: Nodes of a graph that is not merged further, starts that divide it, and nodes that one window pairs up.
+#: Nodes of a graph that is not merged further, starts that divide it, and nodes that one window puts together.
 COARSE, STARTS, WIDTH = 512, 20, 4_096
+#: Nodes for one that others join, starts that one task makes, and the share of nodes that a level must merge not to be a poor one.
+SPREAD, BATCH, FEW = 4, 5, 0.05
 #: Share of the cut that a round of exchanges must take off for another one to follow.
 LEAST = 0.02
 
@@ -61,25 +63,25 @@ def cut_cover(edges: DataFrame, sides: DataFrame, seed: int) -> DataFrame:
 # --- levels
 
 
-def _pairs(e: DataFrame, at: DataFrame, seed: int) -> DataFrame:
-    """(graph_id, node, into): a matching by weight, and of the nodes that it leaves, pairs with the same heaviest neighbour (or without
-    any); no pair is larger than ``most``. at: (graph_id, node, size, most)."""
-    sized = lambda end: at.select("graph_id", F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("most").alias(f"most_{end}"))
-    fits = e.join(sized("u"), ["graph_id", "u"]).join(sized("v"), ["graph_id", "v"]).where("size_u + size_v <= most_u")
-    rank = F.struct((-F.col("w")).alias("w"), F.xxhash64(F.lit(seed), "u", "v").alias("d"), "u", "v")
-    pairs = stored(matching(fits.withColumn("rank", rank)))
-    met = pairs.select("graph_id", F.explode(F.array("u", "v")).alias("node"))
-    heavy = _ends(e, "w").groupBy("graph_id", "node").agg(F.max(F.struct("w", (-F.col("other")).alias("minus"))).alias("h")).select("graph_id", "node", (-F.col("h.minus")).alias("hub"))
-    alone = at.join(met, ["graph_id", "node"], "left_anti").join(heavy, ["graph_id", "node"], "left")
-    crowd = alone.groupBy("graph_id", "hub").agg(F.count("*").alias("crowd"))
-    alone = alone.join(crowd, (alone.graph_id == crowd.graph_id) & alone.hub.eqNullSafe(crowd.hub)).drop(crowd.graph_id).drop(crowd.hub)
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / WIDTH))
-    window = Window.partitionBy("graph_id", "hub", part).orderBy("size", "node")
-    placed = alone.withColumn("place", F.row_number().over(window) - 1)
-    both = placed.groupBy("graph_id", "hub", part.alias("part"), F.floor(F.col("place") / 2)).agg(F.min("node").alias("u"), F.max("node").alias("v"), F.sum("size").alias("size"), F.first("most").alias("most"))
-    more = both.where("u < v and size <= most").select("graph_id", "u", "v")
-    every = pairs.unionByName(more)
-    return every.select("graph_id", F.greatest("u", "v").alias("node"), F.least("u", "v").alias("into"))
+def _clusters(e: DataFrame, at: DataFrame, seed: int) -> DataFrame:
+    """(graph_id, node, into): drawn nodes lead, and the others join the heaviest neighbour that leads, the heaviest edges first; those for
+    which there is no room join each other, and so do nodes with the same heaviest neighbour where none leads (or without any). No cluster
+    is larger than ``most``. at: (graph_id, node, size, most)."""
+    leads = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(SPREAD)) == 0
+    pick = F.max(F.struct(leads("other").alias("leads"), "w", F.xxhash64(F.lit(seed), "node", "other").alias("d"), "other"))
+    heavy = _ends(e, "w").groupBy("graph_id", "node").agg(pick.alias("h")).select("graph_id", "node", "h.w", "h.d", "h.other")
+    hub = F.coalesce(F.when(leads("node") & F.col("other").isNotNull(), F.col("node")), "other", F.lit(-1))
+    near = stored(at.join(heavy, ["graph_id", "node"], "left").withColumn("hub", hub).drop("other"))
+    crowd = near.groupBy("graph_id", "hub").agg(F.count("*").alias("crowd"))
+    part = F.when(F.col("node") == F.col("hub"), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("crowd") / WIDTH)))
+    key = ["graph_id", "hub", "part"]
+    window = Window.partitionBy(*key).orderBy(F.col("node") != F.col("hub"), F.desc("w"), "d", "node").rowsBetween(Window.unboundedPreceding, 0)
+    filled = near.join(crowd, ["graph_id", "hub"]).withColumn("part", part).withColumn("first", F.sum("size").over(window) <= F.col("most"))
+    rest = Window.partitionBy(*key, "first")
+    each = F.greatest(F.lit(1), F.floor(F.col("most") / F.max("size").over(rest)))
+    place = F.floor((F.row_number().over(rest.orderBy("size", "node")) - 1) / each)
+    named = filled.withColumn("place", F.when(~F.col("first"), place)).withColumn("into", F.min("node").over(Window.partitionBy(*key, "place")))
+    return named.where("node > into").select("graph_id", "node", "into")
 
 
 def _merged(e: DataFrame, at: DataFrame, into: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,10 +129,13 @@ def best_halves(w: np.ndarray, size: np.ndarray, starts: int, seed: int) -> np.n
 
 
 def _gains(e: DataFrame, sides: DataFrame) -> DataFrame:
-    """(graph_id, node, side, size, gain): by how much less the cut would weigh with the node on the other side."""
-    near = _ends(e, "w").join(sides.select("graph_id", F.col("node").alias("other"), F.col("side").alias("theirs")), ["graph_id", "other"])
-    sums = near.join(sides, ["graph_id", "node"]).groupBy("graph_id", "node").agg(F.sum(F.when(F.col("side") == F.col("theirs"), -F.col("w")).otherwise(F.col("w"))).alias("gain"))
-    return sides.join(sums, ["graph_id", "node"], "left").na.fill(0, ["gain"])
+    """(graph_id, node, side, size, gain, cut): by how much less the cut would weigh with the node on the other side, and its edges there."""
+    for end in ("u", "v"):
+        e = e.join(sides.select("graph_id", F.col("node").alias(end), F.col("side").alias(f"side_{end}")), ["graph_id", end])
+    far = F.when(F.col("side_u") == F.col("side_v"), 0).otherwise(F.col("w"))
+    ends = e.select("graph_id", F.explode(F.array("u", "v")).alias("node"), (2 * far - F.col("w")).alias("gain"), far.alias("cut"))
+    sums = ends.groupBy("graph_id", "node").agg(F.sum("gain").alias("gain"), F.sum("cut").alias("cut"))
+    return sides.join(sums, ["graph_id", "node"], "left").na.fill(0, ["gain", "cut"])
 
 
 def _by_gain(rows: DataFrame, *key: str) -> DataFrame:
@@ -146,11 +151,12 @@ def refined(e: DataFrame, sides: DataFrame, least: float = LEAST) -> DataFrame:
     change from the same side gain more). A graph is done when a round shortens its cut by less than ``least`` of it, or not at all."""
     while True:
         gains = stored(_gains(e, sides))
-        strong = lambda x: F.struct(F.col(f"{x}gain"), F.xxhash64(f"{x}node"), F.col(f"{x}node"))
-        theirs = gains.select("graph_id", F.col("node").alias("other"), F.col("gain").alias("_gain"), F.col("node").alias("_node"), F.col("side").alias("_side"))
-        near = _ends(e, "w").join(gains.select("graph_id", "node", "gain", "side"), ["graph_id", "node"]).join(theirs, ["graph_id", "other"]).where("side <> _side")
-        beaten = near.where(strong("") < strong("_")).select("graph_id", "node").distinct()
-        cut = near.where("side = 0").groupBy("graph_id").agg(F.sum("w").alias("cut"))
+        met = e
+        for end in ("u", "v"):
+            strong = F.struct("gain", F.xxhash64("node"), "node").alias(f"strong_{end}")
+            met = met.join(gains.select("graph_id", F.col("node").alias(end), strong, F.col("side").alias(f"side_{end}")), ["graph_id", end])
+        beaten = met.where("side_u <> side_v").select("graph_id", F.when(F.col("strong_u") < F.col("strong_v"), F.col("u")).otherwise(F.col("v")).alias("node")).distinct()
+        cut = gains.groupBy("graph_id").agg((F.sum("cut") / 2).alias("cut"))
         ranked = _by_gain(gains.join(beaten, ["graph_id", "node"], "left_anti"), "side", "size")
         one, two = (ranked.where(F.col("side") == s).select("graph_id", "size", "step", F.col("node").alias(f"n{s}"), F.col("gain").alias(f"g{s}")) for s in (0, 1))
         moved = stored(one.join(two, ["graph_id", "size", "step"]).where("g0 + g1 > 0").select("graph_id", "n0", "n1", (F.col("g0") + F.col("g1")).alias("gain")))
@@ -176,24 +182,34 @@ def bisection(edges: DataFrame, seed: int = 42, coarse: int = COARSE, starts: in
     n = at.groupBy("graph_id").agg(F.count("*").alias("n"))
     at = stored(at.join(n, "graph_id").select("graph_id", "node", "size", F.greatest(F.lit(2), F.ceil(1.5 * F.col("n") / coarse)).alias("most")))
     levels: list[tuple[DataFrame, DataFrame, DataFrame]] = []
-    while True:
-        large = at.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > coarse).select("graph_id")
-        some = [x.join(large, "graph_id", "left_semi") for x in (e, at)]
-        into = stored(_pairs(*some, seed + len(levels)))
-        if not into.limit(1).count():
+    tries = poor = 0
+    while poor < 3:
+        large = stored(at.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > coarse))
+        most = large.agg(F.sum("n")).first()[0]
+        if not most:
             break
-        levels.append((e, at, into))
-        e, at = _merged(e, at, into)
+        some = [x.join(large.select("graph_id"), "graph_id", "left_semi") for x in (e, at)]
+        into = stored(_clusters(*some, seed + tries))
+        n, tries = into.count(), tries + 1
+        poor = 0 if n >= FEW * most else poor + 1
+        if n:
+            levels.append((e, at, into))
+            e, at = _merged(e, at, into)
 
     def divided(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(right.node.to_numpy())
+        ids, batch = np.sort(right.node.to_numpy()), int(right.batch.iloc[0])
         w = np.zeros((len(ids), len(ids)))
         i, j = np.searchsorted(ids, left.u), np.searchsorted(ids, left.v)
         w[i, j] = w[j, i] = left.w
         size = right.set_index("node").loc[ids]["size"].to_numpy()
-        return pd.DataFrame({"graph_id": right.graph_id.iloc[0], "node": ids, "size": size, "side": best_halves(w, size, starts, seed)})
-
-    sides = stored(e.groupBy("graph_id").cogroup(at.groupBy("graph_id")).applyInPandas(divided, "graph_id string, node long, size long, side int"))
+        side = best_halves(w, size, min(BATCH, starts - batch * BATCH), seed + batch)
+        return pd.DataFrame({"graph_id": right.graph_id.iloc[0], "node": ids, "size": size, "side": side, "batch": batch, "cut": w[side == 0][:, side == 1].sum()})
+
+    batches = F.explode(F.sequence(F.lit(0), F.lit((starts - 1) // BATCH))).alias("batch")
+    begun = [x.select("*", batches).groupBy("graph_id", "batch") for x in (e, at)]
+    halves = stored(begun[0].cogroup(begun[1]).applyInPandas(divided, "graph_id string, node long, size long, side int, batch int, cut double"))
+    best = halves.groupBy("graph_id").agg(F.min(F.struct("cut", "batch")).alias("b")).select("graph_id", "b.batch")
+    sides = stored(halves.join(best, ["graph_id", "batch"]).select("graph_id", "node", "size", "side"))
     for fine, nodes, into in reversed(levels):
         whole = sides.select("graph_id", F.col("node").alias("into"), "side")
         known = nodes.join(into, ["graph_id", "node"], "left").withColumn("into", F.coalesce("into", "node"))

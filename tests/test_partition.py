@@ -120,3 +120,37 @@ def test_small_graphs_are_halved_as_well_as_can_be():
         side = partition.best_halves(w, np.ones(n, int), 20, 1)
         least = min(w[list(x)][:, [v for v in range(n) if v not in x]].sum() for x in itertools.combinations(range(n), n // 2))
         assert side.sum() in (n // 2, n - n // 2) and w[side == 0][:, side == 1].sum() == least
+
+
+def test_levels_merge_several_nodes_at_once(spark, monkeypatch):
+    """A graph of 400 nodes is merged to 40 with few tables (39 when nodes were merged pair by pair), and halved with a short cut."""
+    rng = random.Random(3)
+    rows = sorted(planted("four", 400, 4, 0.08, 0.002, rng))
+    made, merged = [], []
+    stored = partition.stored
+    monkeypatch.setattr(partition, "stored", lambda df, *a: made.append(1) or stored(df, *a))
+    monkeypatch.setattr(partition, "_merged", lambda *a, old=partition._merged: merged.append(len(made)) or old(*a))
+    got = {r.node: r.side for r in partition.bisection(spark.createDataFrame(rows, EDGES), coarse=40).collect()}
+    assert len(got) == 400 and sum(got.values()) == 200
+    assert sum(got[a] != got[b] for _, a, b in rows) <= 1.5 * min(sum((a // 100 in two) != (b // 100 in two) for _, a, b in rows) for two in ((0, 1), (0, 2), (0, 3)))
+    assert merged[-1] <= 25
+
+
+def test_clusters_keep_to_their_size(spark, monkeypatch):
+    """Hubs of many nodes are dealt into several windows; no cluster is too large, and most nodes are in one with others."""
+    monkeypatch.setattr(partition, "WIDTH", 16)
+    rng = random.Random(4)
+    rows = [("star", 0, i, 1) for i in range(1, 301)] + [("drawn", *sorted(rng.sample(range(100), 2)), 1) for _ in range(300)]
+    size = {(g, v): 1 + v % 3 for g, a, b, _ in rows for v in (a, b)}
+    e = spark.createDataFrame(sorted(set(rows)), "graph_id string, u long, v long, w long")
+    at = spark.createDataFrame([(g, v, s, 9) for (g, v), s in size.items()] + [("lone", v, 4, 9) for v in range(6)], "graph_id string, node long, size long, most long")
+    size |= {("lone", v): 4 for v in range(6)}
+    for seed in range(2):
+        into = {(r.graph_id, r.node): r.into for r in partition._clusters(e, at, seed).collect()}
+        total = collections.Counter()
+        for (g, v), s in size.items():
+            assert (g, into.get((g, v), v)) not in into
+            total[g, into.get((g, v), v)] += s
+        assert max(total.values()) <= 9
+        number = collections.Counter(g for g, _ in total)
+        assert number["star"] <= 160 and number["drawn"] <= 60 and number["lone"] == 3
