@@ -113,18 +113,39 @@ class VantageTree:
     def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
         """(queries, k) rows and their inner products, unordered; -1 and -inf where there are fewer.
 
-        A side is left out if its nearest possible distance, times ``factor``, is over the k-th best so far; 1 is exact.
+        Bounds come from the leaf on a query's side of all nodes; then every node is visited once, by all queries that may find something
+        there. A side is left out if its nearest possible distance, times ``factor``, is over the k-th best so far; 1 is exact. What leaves
+        give below a query's bound is gathered, and bounds are set anew when there is much of it, for all queries at once.
         """
         norm = np.maximum(np.linalg.norm(queries, axis=1), 1e-300)
         self.q = np.concatenate([queries * (self.top / norm)[:, None], np.zeros((len(queries), 1))], axis=1)
-        self.best = np.full((len(queries), k), np.inf)
-        self.row = np.full((len(queries), k), -1)
+        self.k, self.kth = k, np.full(len(queries), np.inf)
+        self.held, self.new, self.fresh = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+        self.seen = np.full(len(queries), -1)
+        self._nearest_leaf(self.root, np.arange(len(queries)))
+        self._settle()
         self._visit(self.root, np.arange(len(queries)), factor)
-        score = np.full(self.row.shape, -np.inf)
+        who, place = self._settle()
+        rows = np.full((len(queries), k), -1)
+        rows[who, place] = self.held[1]
+        score = np.full(rows.shape, -np.inf)
         for n in range(k):
-            has = self.row[:, n] >= 0
-            score[has, n] = (queries[has] * self.vectors[self.row[has, n]]).sum(axis=1)
-        return self.row, score
+            has = rows[:, n] >= 0
+            score[has, n] = (queries[has] * self.vectors[rows[has, n]]).sum(axis=1)
+        return rows, score
+
+    def _settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keeps the k nearest found of each query, and from them its bound; returns whose they are, and their places."""
+        who, row, d = (np.concatenate(x) for x in zip(self.held, *self.new, strict=True))
+        order = np.lexsort((d, who))
+        who, row, d = who[order], row[order], d[order]
+        n = np.bincount(who, minlength=len(self.kth))
+        place = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+        last = place == self.k - 1
+        self.kth[who[last]] = d[last]
+        good = place < self.k
+        self.held, self.new, self.fresh = (who[good], row[good], d[good]), [], 0
+        return who[good], place[good]
 
     def search_ties(self, queries: np.ndarray, k: int, factor: float = 1.0, more: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(which queries, rows, inner products) with all that tie with a query's k-th product: ``more`` rows than k are looked for, and
@@ -139,36 +160,39 @@ class VantageTree:
             yield who[~tied], row[~tied], score[~tied]
             who, more = who[tied], more + m
 
+    def _leaf(self, rows: np.ndarray, who: np.ndarray) -> None:
+        d = np.maximum(2 * self.top**2 - 2 * self.q[who] @ self.points[rows].T, 0)
+        i, j = np.nonzero(d < self.kth[who][:, None])
+        self.new.append((who[i], rows[j], d[i, j]))
+        self.fresh += len(i)
+        if self.fresh > 2 * self.k * len(self.kth):
+            self._settle()
+
+    def _nearest_leaf(self, at: int, who: np.ndarray) -> None:
+        node = self.nodes[at]
+        if not len(who):
+            return
+        if len(node) == 1:
+            self.seen[who] = at
+            self._leaf(node[0], who)
+            return
+        _, center, (low, _, low_max), (high, high_min, _) = node
+        inner = np.linalg.norm(self.q[who] - center, axis=1) < (low_max + high_min) / 2
+        self._nearest_leaf(low, who[inner])
+        self._nearest_leaf(high, who[~inner])
+
     def _visit(self, at: int, who: np.ndarray, factor: float) -> None:
         node = self.nodes[at]
         if len(node) == 1:
-            rows = node[0]
-            if not len(rows):
-                return
-            d = np.maximum(2 * self.top**2 - 2 * self.q[who] @ self.points[rows].T, 0)
-            near = (d < self.best[who].max(axis=1)[:, None]).any(axis=1)
-            who, d = who[near], d[near]
-            all_d = np.concatenate([self.best[who], d], axis=1)
-            all_r = np.concatenate([self.row[who], np.broadcast_to(rows, d.shape)], axis=1)
-            k = self.best.shape[1]
-            pick = np.argpartition(all_d, k - 1, axis=1)[:, :k]
-            self.best[who], self.row[who] = np.take_along_axis(all_d, pick, 1), np.take_along_axis(all_r, pick, 1)
+            self._leaf(node[0], who[self.seen[who] != at])
             return
-        _, center, (low, _, low_max), (high, high_min, high_max) = node
-        d = np.linalg.norm(self.q[who] - center, axis=1)
-        inner = d < (low_max + high_min) / 2
-        low_min = node[2][1]
-        for first in (True, False):
-            for side in (True, False):
-                mine = inner == side
-                child, a, b = (low, low_min, low_max) if side == first else (high, high_min, high_max)
-                some, dist = who[mine], d[mine]
-                if not len(some):
-                    continue
-                gap = np.maximum(0, np.maximum(a - dist, dist - b))
-                some = some[gap * factor <= np.sqrt(self.best[some].max(axis=1))]
-                if len(some):
-                    self._visit(child, some, factor)
+        _, center, *sides = node
+        dist = np.linalg.norm(self.q[who] - center, axis=1)
+        for child, a, b in sides:
+            gap = np.maximum(0, np.maximum(a - dist, dist - b))
+            some = who[gap * factor <= np.sqrt(self.kth[who])]
+            if len(some):
+                self._visit(child, some, factor)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:

@@ -375,6 +375,21 @@ def test_vantage_points(spark, factor):
     assert not search.nearest(df.limit(0), df.limit(0), 3).collect()
 
 
+@pytest.mark.parametrize("near", [0.3, 3.0])
+def test_vantage_tree_nodes_are_visited_once(monkeypatch, near):
+    """However many queries part at a node, each is gone through once a search, and all that is nearest is found."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20, 12))[rng.integers(0, 20, 3000)] + near * rng.normal(size=(3000, 12))
+    tree, q, visits = search.VantageTree(x, np.linalg.norm(x, axis=1).max() * 1.001, leaf=32), x[:300], []
+    monkeypatch.setattr(search.VantageTree, "_visit", lambda *a, old=search.VantageTree._visit: visits.append(1) or old(*a))
+    row, score = tree.search(q, 25)
+    assert len(visits) <= len(tree.nodes)
+    assert all(len(set(r)) == 25 for r in row.tolist()) and np.allclose(score, (q[:, None] * x[row]).sum(axis=2))
+    assert np.allclose(np.sort(score, axis=1), np.sort(q @ x.T, axis=1)[:, -25:])
+    row, score = tree.search(q[:2], 4000)
+    assert all(sorted(r[r >= 0].tolist()) == list(range(3000)) for r in row) and (score == -np.inf).sum() == 2000
+
+
 def test_vantage_points_ties(spark):
     """80 different vectors tie with the fifth product, spread over trees; the smallest ids of them are wanted."""
     x = np.zeros((200, 3))
