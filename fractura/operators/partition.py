@@ -18,8 +18,11 @@ from .perturb import draw
 
 #: Nodes of a graph that is not merged further, starts that divide it, and nodes that one window puts together.
 COARSE, STARTS, WIDTH = 512, 20, 4_096
-#: Nodes for one that others join, starts that one task makes, and the share of nodes that a level must merge not to be a poor one.
-SPREAD, BATCH, FEW = 4, 5, 0.05
+#: Nodes for one that others join, and starts that one task makes.
+SPREAD, BATCH = 4, 5
+#: Shares of the nodes that a level must merge not to be a poor one, three of which end the merging, and for another one to follow where no
+#: graph has over twice COARSE nodes.
+FEW, SOME = 0.05, 0.25
 #: Share of the cut that a round of exchanges must take off for another one to follow.
 LEAST = 0.02
 
@@ -185,13 +188,13 @@ def bisection(edges: DataFrame, seed: int = 42, coarse: int = COARSE, starts: in
     tries = poor = 0
     while poor < 3:
         large = stored(at.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > coarse))
-        most = large.agg(F.sum("n")).first()[0]
-        if not most:
+        every, widest = large.agg(F.sum("n"), F.max("n")).first()
+        if not every:
             break
         some = [x.join(large.select("graph_id"), "graph_id", "left_semi") for x in (e, at)]
         into = stored(_clusters(*some, seed + tries))
         n, tries = into.count(), tries + 1
-        poor = 0 if n >= FEW * most else poor + 1
+        poor = 3 if widest <= 2 * coarse and n < SOME * every else 0 if n >= FEW * every else poor + 1
         if n:
             levels.append((e, at, into))
             e, at = _merged(e, at, into)

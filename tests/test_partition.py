@@ -123,7 +123,7 @@ def test_small_graphs_are_halved_as_well_as_can_be():
 
 
 def test_levels_merge_several_nodes_at_once(spark, monkeypatch):
-    """A graph of 400 nodes is merged to 40 with few tables (39 when nodes were merged pair by pair), and halved with a short cut."""
+    """A graph of 400 nodes is merged to few with few tables (39 when nodes were merged pair by pair), and halved with a short cut."""
     rng = random.Random(3)
     rows = sorted(planted("four", 400, 4, 0.08, 0.002, rng))
     made, merged = [], []
