@@ -6,6 +6,7 @@ Each word gives the network its own evidence (smoothed log odds in the labelled
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -286,25 +287,31 @@ def _worst(network: Network, x: np.ndarray, per_text: np.ndarray, argmax: bool =
 
 
 def train(texts: list[str | None], toxic: np.ndarray, seed: int = SEED) -> Model:
-    """Fits counts and network. A training text's own label never enters its own inputs (its count is left out of the log odds)."""
+    """Fits counts and network. A training text's own label never enters its own inputs (its count is left out of the log odds).
+
+    Inputs of all words, 24 bytes each, are in a temporary file, so that memory is that of the texts, their counts and their windows."""
     rng, toxic = np.random.default_rng(seed), np.asarray(toxic, np.int64)
-    words, grams, parts, sizes = Counts(toxic), Counts(toxic), [], []
+    words, grams, sizes, heats = Counts(toxic), Counts(toxic), [], []
     group = np.cumsum([len(t or "") for t in texts]) // GROUP_CHARS
     groups = [np.flatnonzero(group == g) for g in np.unique(group)]
     for g in groups:
         w = split([texts[k] for k in g])
         words.add(g[w.text], w.hash)
         grams.add(np.concatenate([g[w.text[w.gram_word[n]]] for n in GRAMS]), np.concatenate([w.grams[n] for n in GRAMS]))
-    for g in groups:
-        w = split([texts[k] for k in g])
-        y = toxic[g[w.text]]
-        gram_y = iter([y[w.gram_word[n]] for n in GRAMS])
-        parts.append(inputs(w, lambda h, y=y: words.without(h, y), lambda h, gram_y=gram_y: grams.without(h, next(gram_y))))
-        sizes.append(w.per_text)
-    x, per_text = np.concatenate(parts), np.concatenate(sizes)
+    with tempfile.TemporaryFile() as file:
+        for g in groups:
+            w = split([texts[k] for k in g])
+            y = toxic[g[w.text]]
+            gram_y = iter([y[w.gram_word[n]] for n in GRAMS])
+            part = inputs(w, lambda h, y=y: words.without(h, y), lambda h, gram_y=gram_y: grams.without(h, next(gram_y)))
+            file.write(part)
+            heats.append(part[:, :5].max(axis=1))
+            sizes.append(w.per_text)
+        file.flush()
+        per_text, heat = np.concatenate(sizes), np.concatenate(heats)
+        x = np.memmap(file, np.float32, "r", shape=(len(heat), INPUTS)) if len(heat) else np.zeros((0, INPUTS), np.float32)
     network, state = Network(seed), {}
     text, first, size = windows(per_text)
-    heat = x[:, :5].max(axis=1) if len(x) else np.zeros(0)
     for step in range(4):
         if step == 0:
             heats = np.array([heat[a : a + n].max() if n > 0 else 0 for a, n in zip(first, size, strict=True)])
@@ -334,8 +341,8 @@ def _distinct(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model | None:
     """Fits to at most ``rows`` documents of each label (those of the smallest hash of their key), none longer than ``chars`` characters.
 
-    Only keys meet the labels in a shuffle; texts are then read for the keys picked, whose number is bounded by ``rows``. Rows without
-    key, label or text are not used; of rows with one key the smallest text and the larger label are taken. None if a label has no rows.
+    Only keys meet the labels in a shuffle; texts are then read for the keys picked, whose number is bounded by ``rows``, and come to the
+    driver a partition at a time. Rows without key, label or text are not used; of rows with one key the smallest text and the larger label are taken. None if a label has no rows.
     """
     spark = docs.sparkSession
     usable = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= chars)).select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -345,8 +352,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "to
     if len({r.y for r in picked}) < 2:
         return None
     few = F.broadcast(spark.createDataFrame(picked, known.schema))
-    sample = usable.join(few, "k").groupBy("k", "y").agg(F.min("t").alias("t")).orderBy("y", F.xxhash64("k"), "k").collect()
-    return train([r.t for r in sample], np.array([r.y for r in sample]))
+    sample = usable.join(few, "k").groupBy("k", "y").agg(F.min("t").alias("t")).orderBy("y", F.xxhash64("k"), "k").toLocalIterator()
+    texts, toxic = zip(*((r.t, r.y) for r in sample), strict=True)
+    return train(list(texts), np.array(toxic))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -195,6 +195,20 @@ def test_toxicity(frame, spark):
     assert not toxicity.score(docs.limit(0), model).collect()
 
 
+def test_training_keeps_inputs_out_of_memory(monkeypatch):
+    """Inputs of all words stood in memory twice; now only texts, counts and windows do."""
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity.Network, "fit", lambda *a: None)
+    monkeypatch.setattr(toxicity, "GROUP_CHARS", 100_000)
+    texts = ["a bb " * 8_000 for _ in range(100)]
+    tracemalloc.start()
+    toxicity.train(texts, np.arange(100) % 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * 1_600_000 * 4 * toxicity.INPUTS
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network()
